@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from corpusmill.constants import BOS_ID
 from corpusmill.functions.hashing import seeded_uniform
 
+SUM_DIGITS = 12
+
 
 def penalize_repeats(candidates: DataFrame, emitted: DataFrame, penalty: float) -> DataFrame:
     """Weaken tokens already generated for the prompt (prompt_id, token_id), each once."""
@@ -44,12 +46,17 @@ def with_probability(candidates: DataFrame, name: str = "probability") -> DataFr
 
 
 def top_p(candidates: DataFrame, p: float | None) -> DataFrame:
-    """Keep tokens while the probability of all better ones is below ``p``."""
+    """Keep tokens while the probability of all better ones is below ``p``.
+
+    Sums are rounded, so that one that reaches ``p`` exactly does not depend on the order of
+    its additions.
+    """
     if p is None or not 0.0 < p < 1.0:
         return candidates
     best_first = Window.partitionBy("prompt_id").orderBy(F.desc("logit"), "token_id")
     before = F.sum("_p").over(best_first.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = with_probability(candidates, "_p").withColumn("_before", F.coalesce(before, F.lit(0.0)))
+    earlier = F.round(F.coalesce(before, F.lit(0.0)), SUM_DIGITS)
+    ranked = with_probability(candidates, "_p").withColumn("_before", earlier)
     return ranked.where(F.col("_before") < p).drop("_p", "_before")
 
 
