@@ -7,7 +7,7 @@ that the outcome equals merging one pair at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.constants import (
@@ -32,7 +32,7 @@ from corpusmill.sources import vocabulary
 # a plain replace. Control characters cannot occur in normalized text.
 OPEN, CLOSE, FOREIGN, NEXT = "\x02", "\x03", "\x04", "\x05"
 RANKED_PAIRS = 1_000
-PENDING_MERGES = 48
+PENDING_MERGES = 32
 ROWS_PER_TASK = 5_000
 
 # Unicode scripts that a piece must not mix. Han takes in the Japanese kana.
@@ -179,21 +179,55 @@ def independent_merges(ranked: list, learned: set[str], limit: int = RANKED_PAIR
     return final or chosen[:1]
 
 
+def _literal_steps(merges: list) -> Column:
+    """Merges as one literal array of replacements; constant folding builds it once."""
+    apart = NEXT.join(f"{OPEN}{m.l}{CLOSE}{OPEN}{m.r}{CLOSE}" for m in merges)
+    whole = NEXT.join(f"{OPEN}{m.piece}{CLOSE}" for m in merges)
+    return F.arrays_zip(F.split(F.lit(apart), NEXT).alias("apart"), F.split(F.lit(whole), NEXT).alias("joined"))
+
+
 def apply_merges(words: DataFrame, merges: list) -> DataFrame:
     """Join pairs left to right, in learned order.
 
-    The merges are one literal list folded over the text, so the generated code is the same
-    in every round and is compiled once.
+    The merges are folded over the text, so the generated code is the same in every round
+    and is compiled once.
     """
     if not merges:
         return words
-    apart = NEXT.join(f"{OPEN}{m.l}{CLOSE}{OPEN}{m.r}{CLOSE}" for m in merges)
-    whole = NEXT.join(f"{OPEN}{m.piece}{CLOSE}" for m in merges)
-    steps = F.arrays_zip(F.split(F.lit(apart), NEXT).alias("apart"), F.split(F.lit(whole), NEXT).alias("joined"))
-    joined = F.aggregate(steps, F.col("symbols"), lambda text, m: F.replace(text, m["apart"], m["joined"]))
+    joined = F.aggregate(
+        _literal_steps(merges), F.col("symbols"), lambda text, m: F.replace(text, m["apart"], m["joined"])
+    )
     return words.withColumn("symbols", joined)
 
 
+def passing_pieces(words: DataFrame, merges: list, learned: set[str], count: int) -> list[str]:
+    """Pieces of pairs that stood side by side at some time but were never merged.
+
+    Once no pair is left, greedy merging goes on with pairs of frequency zero, shortest
+    first. Here the merges are replayed one by one on every word to find them; that happens
+    only for texts too small for the wanted vocabulary.
+    """
+
+    def pairs_in(text: Column) -> Column:
+        parts = F.split(F.substring(text, F.lit(2), F.length(text) - 2), CLOSE + OPEN)
+        inner = F.size(parts) - 1
+        return F.zip_with(F.slice(parts, F.lit(1), inner), F.slice(parts, F.lit(2), inner), lambda l, r: F.concat(l, r))
+
+    def replay(state: Column, m: Column) -> Column:
+        text = F.replace(state["text"], m["apart"], m["joined"])
+        seen = F.when(text == state["text"], state["seen"]).otherwise(
+            F.array_union(state["seen"], F.when(F.contains(text, F.lit(CLOSE + OPEN)), pairs_in(text)).otherwise(F.array()))
+        )
+        return F.struct(text.alias("text"), seen.alias("seen"))
+
+    start = F.struct(F.col("symbols").alias("text"), pairs_in(F.col("symbols")).alias("seen"))
+    seen = F.aggregate(_literal_steps(merges), start, replay)["seen"] if merges else start["seen"]
+    pieces = words.select(F.explode(seen).alias("piece")).distinct()
+    fitting = pieces.where(F.char_length("piece") <= MAX_PIECE_CHARS)
+    best = fitting.orderBy(F.char_length("piece"), "piece").limit(len(learned) + count).collect()
+    return [r.piece for r in best if r.piece not in learned][:count]
+
+
 def _store(words: DataFrame) -> DataFrame:
     """Write the stretches that can still merge, in as many parts as their number deserves."""
     open_words = words.where(F.contains("symbols", F.lit(CLOSE + OPEN)))
@@ -204,19 +238,26 @@ def _store(words: DataFrame) -> DataFrame:
 
 def learn_merges(words: DataFrame, count: int) -> list[str]:
     """``count`` merged pieces in the order greedy merging finds them."""
-    learned: list[str] = []
-    words, pending = _store(words), []
-    while len(learned) < count:
+    merges: list = []
+    learned: set[str] = set()
+    start = words = _store(words)
+    pending: list = []
+    while len(merges) < count:
         ranked = ranked_pairs(apply_merges(words, pending))
-        fresh = independent_merges(ranked, set(learned)) if ranked else []
+        fresh = independent_merges(ranked, learned)[: count - len(merges)] if ranked else []
         if not fresh:
-            raise ValueError(f"the text supports only {len(learned)} merges, {count} are needed")
-        fresh = fresh[: count - len(learned)]
-        learned.extend(p.piece for p in fresh)
+            break
+        merges += fresh
+        learned.update(p.piece for p in fresh)
         pending += fresh
         if len(pending) >= PENDING_MERGES:
             words, pending = _store(apply_merges(words, pending)), []
-    return learned
+    pieces = [p.piece for p in merges]
+    if len(pieces) < count:
+        pieces += passing_pieces(start, merges, learned, count - len(pieces))
+    if len(pieces) < count:
+        raise ValueError(f"the text supports only {len(pieces)} merges, {count} are needed")
+    return pieces
 
 
 def fit(

@@ -90,7 +90,7 @@ _PARTS = {
     "s4": """select *, coalesce(sum(e) over (partition by prompt_id order by logit desc, token_id
         rows between unbounded preceding and 1 preceding), 0) / sum(e) over (partition by prompt_id) before from s3""",
     "ev": """select event_type run, event_id step, case when event_id % 7 <> 0 then value end loss,
-        case when event_id % 7 = 0 then value end val_loss, epoch_us(ts) / 1e6 seconds from events""",
+        case when event_id % 7 = 0 then value end val_loss, epoch_us(ts) / 1e6 as seconds from events""",
 }
 
 # What each expression reads.
@@ -203,7 +203,7 @@ def oracles() -> dict[str, str]:
             max(id) < 260 in_vocab from tok group by split"""),
         "range_violations": _sql("ids", """select * from (select doc_id,
             len(list_filter(ids[2:n-1], lambda t: t < 0 or t > 65535))::int unfit,
-            len(list_filter(ids[2:n-1], lambda t: t >= 200))::int outside_vocab from ids)
+            len(list_filter(ids[2:n-1], lambda t: t >= 132))::int outside_vocab from ids)
             where unfit > 0 or outside_vocab > 0"""),
         "windows_xy": _sql("win", f"""select {windows_of}, md5(array_to_string(ids[1:{LENGTH}], ',')) x_md5,
             md5(array_to_string(ids[2:], ',')) y_md5 from win"""),
@@ -224,7 +224,7 @@ def oracles() -> dict[str, str]:
         "token_nll": _sql("nll", f"""select split, count(*) tokens, round(avg(nll), {DIGITS}) loss,
             round(ln(260), {DIGITS}) uniform_loss from nll group by split"""),
         "eval_perplexity": _sql("bl", f"""select round(coalesce(mean, 'nan'::double), {DIGITS}) loss,
-            round(coalesce(exp(least(mean, 80.0)), 'nan'::double), {DIGITS}) perplexity, tokens
+            round(case when mean is null then 'nan'::double else exp(least(mean, 80.0)) end, {DIGITS}) perplexity, tokens
             from (select sum(loss_sum) / sum(tokens) mean, coalesce(sum(tokens), 0)::bigint tokens
                   from bl where split = 'val' and batch_no < 50)"""),
         "step_loss": _sql("sl", f"select step, round(loss, {DIGITS}) loss from sl"),

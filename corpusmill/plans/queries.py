@@ -31,6 +31,8 @@ VOCAB = 400
 LIMIT = 500
 SAMPLE_LINES = 300
 MAX_PROMPT = 256
+# Four specials and the ASCII bytes: everything else is out of range.
+ASCII_VOCAB = 132
 LR = {"peak": 3e-4, "floor": 3e-5, "warmup": 20, "total": 200}
 DIGITS = 6
 
@@ -317,7 +319,7 @@ def id_range_audit(spark, sf):
 @query
 def range_violations(spark, sf):
     docs = _accepted(spark, sf).select("doc_id", by.byte_ids(F.col("text")).alias("ids"))
-    return pack.range_violations(docs, 200)
+    return pack.range_violations(docs, ASCII_VOCAB)
 
 
 # ---------------------------------------------------------------- windows and batches

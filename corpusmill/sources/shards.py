@@ -85,14 +85,16 @@ class ShardRange(InputPartition):
 
 
 class ShardReader(DataSourceReader):
-    def __init__(self, path: str, length: int | None):
-        self.path, self.length = path, length
+    def __init__(self, path: str, length: int | None, range_tokens: int = RANGE_TOKENS):
+        self.path, self.length, self.range_tokens = path, length, range_tokens
 
     def partitions(self) -> list[ShardRange]:
         shards = list_shards(self.path)
         if not shards:
             raise FileNotFoundError(f"No shards in {self.path}. Run the preprocess job first.")
-        step = RANGE_TOKENS if self.length is None else max(1, RANGE_TOKENS // self.length) * self.length
+        step = self.range_tokens
+        if self.length is not None:
+            step = max(1, step // self.length) * self.length
         ranges = []
         for split, shard, file, size in shards:
             total = size // DISK_TYPE.itemsize
@@ -222,7 +224,8 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 class TokenShards(DataSource):
-    """``token_shards``: options ``path``, ``context_length`` (read windows), ``vocab_size``."""
+    """``token_shards``: options ``path``, ``context_length`` to read windows, ``range_tokens``
+    per read task, and ``vocab_size`` to check written ids."""
 
     @classmethod
     def name(cls) -> str:
@@ -233,7 +236,8 @@ class TokenShards(DataSource):
 
     def reader(self, schema) -> ShardReader:
         length = self.options.get("context_length")
-        return ShardReader(self.options["path"], int(length) if length else None)
+        range_tokens = int(self.options.get("range_tokens", RANGE_TOKENS))
+        return ShardReader(self.options["path"], int(length) if length else None, range_tokens)
 
     def writer(self, schema, overwrite: bool) -> ShardWriter:
         vocab = self.options.get("vocab_size")
@@ -268,18 +272,16 @@ def write(
     writer.save()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """Chunks of every shard under ``path``."""
     spark.dataSource.register(TokenShards)
     _require_shards(path)
-    return spark.read.format("token_shards").option("path", path).load()
+    return spark.read.format("token_shards").options(path=path, **options).load()
 
 
-def read_windows(spark: SparkSession, path: str, length: int) -> DataFrame:
+def read_windows(spark: SparkSession, path: str, length: int, **options: object) -> DataFrame:
     """Training windows straight from the files: no shuffle, byte ranges aligned to windows."""
-    spark.dataSource.register(TokenShards)
-    _require_shards(path)
-    return spark.read.format("token_shards").option("path", path).option("context_length", str(length)).load()
+    return read(spark, path, context_length=length, **options)
 
 
 def _require_shards(path: str) -> None:
