@@ -90,7 +90,7 @@ def write_packed(
     spark = packed.placed.sparkSession
     totals = packed.totals()
     counts = {r.split: r.num_shards for r in totals.collect()}
-    shards.write(packed.chunks, counts, path, packed.vocab_size)
+    shards.write(packed.chunks, counts, packed.shard_size, path, packed.vocab_size)
     verification = shards.verify(spark, path, eos_id) if verify else None
     records = metadata.assemble(totals, packed.vocab_size, eos_id, bos_id, packed.shard_size, verification)
     return metadata.write_records(records, path, extra)

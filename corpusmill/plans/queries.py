@@ -286,7 +286,7 @@ def dataset_manifest(spark, sf):
 def token_count_fallback(spark, sf):
     path = fresh_path(spark, "bare")
     packed = _packed(spark, sf)
-    shards.write(packed.chunks, {r.split: r.num_shards for r in packed.totals().collect()}, path)
+    shards.write(packed.chunks, {r.split: r.num_shards for r in packed.totals().collect()}, SHARD, path)
     counts = [(s, metadata.token_count(spark, f"{path}/{s}")) for s in ("train", "val")]
     return spark.createDataFrame(counts, "split STRING, num_tokens BIGINT")
 

@@ -16,7 +16,13 @@ def scan(spark: SparkSession, path: str, rows_per_block: int | None = None) -> D
     """Documents of a parquet corpus in blocks of neighbouring ``doc_id``."""
     raw = spark.read.schema(DOCUMENT_SCHEMA).parquet(path)
     options = {} if rows_per_block is None else {"rows_per_block": rows_per_block}
-    return raw.withColumn("block", key_blocks(raw, "doc_id", **options))
+    return spread(raw.withColumn("block", key_blocks(raw, "doc_id", **options)))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Use all cores on a corpus of fewer file splits than that; large ones stay as they are."""
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(parallel) if docs.rdd.getNumPartitions() < parallel else docs
 
 
 def scan_keyless(spark: SparkSession, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ DISK_TYPE = np.dtype("<u2")
 RANGE_TOKENS = 32 << 20
 ROW_TOKENS = 64 << 10
 HASH_BYTES = 8 << 20
-MAX_WRITE_TASKS = 100_000
+TASK_TOKENS = 100_000_000
 _SHARD_NAME = re.compile(r"shard_(\d+)\.bin")
 
 
@@ -76,7 +76,7 @@ def list_shards(path: str) -> list[tuple[str, int, str, int]]:
 
 
 @dataclass
-class ShardRange(InputPartition):
+class ShardRange:
     split: str
     shard: int
     file: str
@@ -84,11 +84,29 @@ class ShardRange(InputPartition):
     tokens: int
 
 
-class ShardReader(DataSourceReader):
-    def __init__(self, path: str, length: int | None, range_tokens: int = RANGE_TOKENS):
-        self.path, self.length, self.range_tokens = path, length, range_tokens
+@dataclass
+class ReadTask(InputPartition):
+    ranges: list[ShardRange]
 
-    def partitions(self) -> list[ShardRange]:
+
+class ShardReader(DataSourceReader):
+    def __init__(self, path: str, length: int | None, range_tokens: int = RANGE_TOKENS, tasks: int = 1):
+        self.path, self.length, self.range_tokens, self.tasks = path, length, range_tokens, tasks
+
+    def partitions(self) -> list[ReadTask]:
+        """Long shards are cut and short ones read together, towards equal tasks."""
+        ranges = self._ranges()
+        goal = min(self.range_tokens, -(-sum(r.tokens for r in ranges) // self.tasks))
+        tasks, filled = [], goal
+        for piece in ranges:
+            if filled + piece.tokens > goal:
+                tasks.append(ReadTask([]))
+                filled = 0
+            tasks[-1].ranges.append(piece)
+            filled += piece.tokens
+        return tasks
+
+    def _ranges(self) -> list[ShardRange]:
         shards = list_shards(self.path)
         if not shards:
             raise FileNotFoundError(f"No shards in {self.path}. Run the preprocess job first.")
@@ -104,7 +122,11 @@ class ShardReader(DataSourceReader):
                 ranges.append(ShardRange(split, shard, file, start, min(step + extra, total - start)))
         return ranges
 
-    def read(self, partition: ShardRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ReadTask) -> Iterator[pa.RecordBatch]:
+        for piece in partition.ranges:
+            yield from self._read_range(piece)
+
+    def _read_range(self, partition: ShardRange) -> Iterator[pa.RecordBatch]:
         filesystem, _ = open_path(self.path)
         per_row = ROW_TOKENS if self.length is None else self.length
         rows_at_once = max(1, (4 << 20) // per_row)
@@ -225,7 +247,7 @@ class ShardWriter(DataSourceArrowWriter):
 
 class TokenShards(DataSource):
     """``token_shards``: options ``path``, ``context_length`` to read windows, ``range_tokens``
-    per read task, and ``vocab_size`` to check written ids."""
+    and ``tasks`` to size read tasks, and ``vocab_size`` to check written ids."""
 
     @classmethod
     def name(cls) -> str:
@@ -237,33 +259,42 @@ class TokenShards(DataSource):
     def reader(self, schema) -> ShardReader:
         length = self.options.get("context_length")
         range_tokens = int(self.options.get("range_tokens", RANGE_TOKENS))
-        return ShardReader(self.options["path"], int(length) if length else None, range_tokens)
+        tasks = int(self.options.get("tasks", "1"))
+        return ShardReader(self.options["path"], int(length) if length else None, range_tokens, tasks)
 
     def writer(self, schema, overwrite: bool) -> ShardWriter:
         vocab = self.options.get("vocab_size")
         return ShardWriter(self.options["path"], overwrite, int(vocab) if vocab else None)
 
 
+def _tasks(spark: SparkSession, shard_count: int, tokens: int) -> int:
+    """Tasks for whole shards: one full-size shard each, small shards together."""
+    wanted = max(2 * spark.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
+    return max(1, min(shard_count, wanted))
+
+
 def write(
-    chunks: DataFrame, shards_per_split: dict[str, int], path: str,
+    chunks: DataFrame, shards_per_split: dict[str, int], shard_size: int, path: str,
     vocab_size: int | None = None, mode: str = "overwrite", first: dict[str, int] | None = None,
 ) -> None:
-    """Write packed chunks as shard files, one shard per task.
+    """Write packed chunks as shard files.
 
-    The partition id is the shard's running number, so tasks are equal by construction and
-    no sampling pass is needed.
+    Tasks take equal runs of shards by their running number, so they are balanced by
+    construction and no sampling pass is needed.
     """
-    chunks.sparkSession.dataSource.register(TokenShards)
+    spark = chunks.sparkSession
+    spark.dataSource.register(TokenShards)
     first = first or {}
     number, total = F.lit(0), 0
     for split, count in sorted(shards_per_split.items()):
         here = F.col("shard") - F.lit(first.get(split, 0)) + F.lit(total)
         number = F.when(F.col("split") == split, here).otherwise(number)
         total += count
-    tasks = max(1, min(total, MAX_WRITE_TASKS))
+    tasks = _tasks(spark, total, total * shard_size)
+    task = F.floor(number * F.lit(tasks) / F.lit(max(1, total))).cast("int")
     ordered = (
         chunks.select("split", "shard", "shard_offset", "ids")
-        .repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int"))
+        .repartitionById(tasks, F.pmod(task, F.lit(tasks)))
         .sortWithinPartitions("split", "shard", "shard_offset")
     )
     writer = ordered.write.format("token_shards").option("path", path).mode(mode)
@@ -276,6 +307,7 @@ def read(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """Chunks of every shard under ``path``."""
     spark.dataSource.register(TokenShards)
     _require_shards(path)
+    options = {"tasks": 2 * spark.sparkContext.defaultParallelism, **options}
     return spark.read.format("token_shards").options(path=path, **options).load()
 
 
@@ -306,8 +338,8 @@ def verify(spark: SparkSession, path: str, eos_id: int = EOS_ID) -> DataFrame:
                 names = ["split", "shard", "path", "token_count", "eos_count", "sha256"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    tasks = max(1, min(len(shards), MAX_WRITE_TASKS))
-    return listing.repartition(tasks, "split", "shard").mapInArrow(check, VERIFY_SCHEMA)
+    tasks = _tasks(spark, len(shards), sum(size for *_, size in shards) // DISK_TYPE.itemsize)
+    return listing.repartition(tasks).mapInArrow(check, VERIFY_SCHEMA)
 
 
 def _digest(filesystem: pafs.FileSystem, file: str, eos_id: int) -> tuple[int, int, str]:

@@ -103,7 +103,9 @@ class IncrementalBuild:
             wanted = wanted | ((F.col("split") == s) & (F.col("shard") >= first[s]) & (F.col("shard") < end[s]))
         chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.output}/chunks").where(wanted)
         counts = {s: end[s] - first[s] for s in SPLITS if end[s] > first[s]}
-        shards.write(chunks, counts, f"{self.output}/shards", self.vocab_size, "append", first)
+        shards.write(
+            chunks, counts, self.shard_size, f"{self.output}/shards", self.vocab_size, "append", first
+        )
 
     def close(self, spark: SparkSession) -> dict[str, dict]:
         """Write the partly filled last shards, then verify and describe the dataset."""

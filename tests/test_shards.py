@@ -69,13 +69,13 @@ def test_unordered_chunks_are_refused(spark, path):
     rows = [("train", 0, 0, [1, 2]), ("train", 0, 5, [3])]
     chunks = spark.createDataFrame(rows, shards.CHUNK_SCHEMA)
     with pytest.raises(PySparkException, match="expected 2"):
-        shards.write(chunks, {"train": 1}, path)
+        shards.write(chunks, {"train": 1}, 10, path)
 
 
 def test_numeric_shard_order(spark, path):
     names = [1, 9, 10, 99, 100, 999, 1_000, 10_000, 100_000]
     rows = [("train", n, 0, [n % 60_000]) for n in reversed(names)]
-    shards.write(spark.createDataFrame(rows, shards.CHUNK_SCHEMA), {"train": 9}, path, first={"train": 1})
+    shards.write(spark.createDataFrame(rows, shards.CHUNK_SCHEMA), {"train": 9}, 10, path, first={"train": 1})
     assert [i for _, i, _, _ in shards.list_shards(path)] == names
 
 
@@ -106,7 +106,7 @@ def test_metadata_lookup(spark, path):
     row = metadata.read(spark, path).first()
     assert row.packing == "other" and row.dtype == "uint16" and row.verification[0].eos_count == 1
     bare = f"{path}/bare"
-    shards.write(shards.read(spark, path), {"": 1}, bare)
+    shards.write(shards.read(spark, path), {"": 1}, 10_000, bare)
     assert metadata.read(spark, bare).count() == 0
     assert metadata.token_count(spark, bare) == 301
     assert metadata.vocab_size(spark, bare) is None
