@@ -44,7 +44,10 @@ def positions(
     shard_order = seeded_hash(_worker_seed(seed), F.col("shard")) if shuffle else F.col("shard")
     stream = Window.partitionBy("split", "worker").orderBy("epoch", shard_order, "shard")
     before = F.coalesce(F.sum("windows").over(stream.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = shards.withColumn("_base", before)
+    # The running total leaves each worker's shards in one task; windows are listed only after
+    # the shards are spread again. A given count keeps adaptive execution from undoing it.
+    tasks = int(shard_tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    based = shards.withColumn("_base", before).repartition(tasks, "split", "worker", "epoch", "shard")
     keys = based.select(
         "split", "worker", "epoch", "shard", "_base",
         F.explode(F.expr("sequence(0L, windows - 1)")).alias("window"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 100_000
@@ -24,11 +24,17 @@ def key_blocks(df: DataFrame, key: str, rows_per_block: int = ROWS_PER_BLOCK) ->
 
     Dense keys are cut into equal key ranges, so a block holds at most
     ``DENSE_SPAN * rows_per_block`` rows. Sparse or clumped keys are cut at sampled
-    quantiles. The sample only places the cuts; every row keeps its exact position.
+    quantiles. The sample only places the cuts; every row keeps its exact position. The key
+    range is noted in the column's metadata.
     """
     stats = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     if not stats.n:
         return F.lit(0).cast("bigint")
+    noted = {"low": stats.lo, "high": stats.hi, "rows": stats.n}
+    return _block_of(df, key, rows_per_block, stats).alias("block", metadata=noted)
+
+
+def _block_of(df: DataFrame, key: str, rows_per_block: int, stats: Row) -> Column:
     parallel = df.sparkSession.sparkContext.defaultParallelism
     blocks = min(MAX_BLOCKS, max(-(-stats.n // rows_per_block), min(4 * parallel, stats.n)))
     span = stats.hi - stats.lo + 1

@@ -121,7 +121,8 @@ def load_or_fit(
 ) -> DataFrame:
     """The saved vocabulary, or a new one fitted on the first accepted documents."""
     if not vocabulary.exists(path):
-        vocabulary.save(fit.fit(corpus.number(accepted), vocab_size, sample_documents=sample_documents), path)
+        sample = corpus.number(accepted, sample_documents)
+        vocabulary.save(fit.fit(sample, vocab_size, sample_documents=sample_documents), path)
     return vocabulary.load(accepted.sparkSession, path)
 
 

@@ -16,7 +16,7 @@ def scan(spark: SparkSession, path: str, rows_per_block: int | None = None) -> D
     """Documents of a parquet corpus in blocks of neighbouring ``doc_id``."""
     raw = spark.read.schema(DOCUMENT_SCHEMA).parquet(path)
     options = {} if rows_per_block is None else {"rows_per_block": rows_per_block}
-    return spread(raw.withColumn("block", key_blocks(raw, "doc_id", **options)))
+    return spread(raw.select("*", key_blocks(raw, "doc_id", **options).alias("block")))
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -39,5 +39,26 @@ def accept(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def number(docs: DataFrame, limit: int | None = None, first: int = 0) -> DataFrame:
     """Global ordinal of accepted documents; ``limit`` counts accepted ones, None is all."""
-    numbered = with_ordinal(docs, ["doc_id"], first=first)
-    return numbered if limit is None else numbered.where(F.col("ordinal") < limit)
+    if limit is None:
+        return with_ordinal(docs, ["doc_id"], first=first)
+    return with_ordinal(head(docs, limit), ["doc_id"], first=first).where(F.col("ordinal") < first + limit)
+
+
+def head(docs: DataFrame, n: int) -> DataFrame:
+    """A key prefix with at least the first ``n`` rows, or everything.
+
+    Ordinals depend on smaller keys only, so a prefix keeps them. A guess from the key range
+    noted by the scan is widened until it holds enough rows; on files sorted by key its bound
+    skips all later row groups.
+    """
+    span = docs.schema["block"].metadata
+    if not span or span["rows"] <= n:
+        return docs
+    width = max(1, (span["high"] - span["low"] + 1) * n // span["rows"])
+    while True:
+        width *= 2
+        prefix = docs.where(F.col("doc_id") < span["low"] + width)
+        if span["low"] + width > span["high"]:
+            return docs
+        if prefix.count() >= n:
+            return prefix
