@@ -32,7 +32,7 @@ from corpusmill.sources import vocabulary
 # a plain replace. Control characters cannot occur in normalized text.
 OPEN, CLOSE, FOREIGN, NEXT = "\x02", "\x03", "\x04", "\x05"
 RANKED_PAIRS = 1_000
-PENDING_MERGES = 32
+PENDING_MERGES = 20
 ROWS_PER_TASK = 5_000
 
 # Unicode scripts that a piece must not mix. Han takes in the Japanese kana.
@@ -228,19 +228,23 @@ def passing_pieces(words: DataFrame, merges: list, learned: set[str], count: int
     return [r.piece for r in best if r.piece not in learned][:count]
 
 
+def _still_open(words: DataFrame) -> DataFrame:
+    """Stretches that can still merge; whole ones are left out."""
+    return words.where(F.contains("symbols", F.lit(CLOSE + OPEN)))
+
+
 def _store(words: DataFrame) -> DataFrame:
-    """Write the stretches that can still merge, in as many parts as their number deserves."""
-    open_words = words.where(F.contains("symbols", F.lit(CLOSE + OPEN)))
+    """Write the stretches in as many parts as their number deserves."""
     parallel = words.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(parallel, open_words.count() // ROWS_PER_TASK))
-    return materialize(open_words.repartition(tasks), "symbols")
+    tasks = max(1, min(parallel, words.count() // ROWS_PER_TASK))
+    return materialize(words.repartition(tasks), "symbols")
 
 
 def learn_merges(words: DataFrame, count: int) -> list[str]:
     """``count`` merged pieces in the order greedy merging finds them."""
     merges: list = []
     learned: set[str] = set()
-    start = words = _store(words)
+    start = words = _store(_still_open(words))
     pending: list = []
     while len(merges) < count:
         ranked = ranked_pairs(apply_merges(words, pending))
@@ -251,7 +255,7 @@ def learn_merges(words: DataFrame, count: int) -> list[str]:
         learned.update(p.piece for p in fresh)
         pending += fresh
         if len(pending) >= PENDING_MERGES:
-            words, pending = _store(apply_merges(words, pending)), []
+            words, pending = materialize(_still_open(apply_merges(words, pending)), "symbols"), []
     pieces = [p.piece for p in merges]
     if len(pieces) < count:
         pieces += passing_pieces(start, merges, learned, count - len(pieces))
