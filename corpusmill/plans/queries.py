@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.constants import BOS_ID, BYTE_VOCAB_SIZE, EOS_ID
+from corpusmill.constants import BYTE_VOCAB_SIZE, EOS_ID
 from corpusmill.functions import bytes as by
 from corpusmill.functions import codec
 from corpusmill.functions import text as tx
