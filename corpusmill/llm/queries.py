@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import quality
+from corpusmill.llm import quality, tokens
+from corpusmill.llm.bpe import default_path
+from corpusmill.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +23,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op5_token_parquet(spark, sf):
+    path = fresh_path(spark, "tokens")
+    tokens.write(tokens.encode(_table(spark, sf, "documents"), default_path(), end_id=1), path)
+    return tokens.digest(tokens.read(spark, path))
+
+
 @query
 def op10_quality_rules(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", "text")
