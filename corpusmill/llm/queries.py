@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import quality, tokens
+from corpusmill.llm import packing, quality, tokens
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path
 
@@ -23,6 +23,14 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op2_harmonic_packing(spark, sf):
+    placed = packing.pack(_table(spark, sf, "documents"), default_path(), end_id=2)
+    narrow = "doc_id BIGINT, start BIGINT, doc_tokens BIGINT, sequence_id BIGINT, offset BIGINT"
+    summed = tokens.checksums(placed.select("doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids"), narrow)
+    return summed.withColumnRenamed("n_read", "length")
+
+
 @query
 def op5_token_parquet(spark, sf):
     path = fresh_path(spark, "tokens")
