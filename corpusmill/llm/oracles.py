@@ -41,6 +41,13 @@ judged as (select *, not base_failed and {" and ".join(tests)} kept from q_base)
 
 def oracles() -> dict[str, str]:
     return {
+        "op4_arc_to_warc": """with p as (select page_id, encode(coalesce(html, '')) b, row_number() over () r from pages),
+d as (select page_id, octet_length(b)::bigint payload_bytes, sha1(b) payload_digest, r from p),
+k as (select *, first_value(page_id) over (partition by payload_digest order by page_id desc nulls last, r) top,
+  row_number() over (partition by payload_digest order by page_id desc nulls last, r) place from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and place > 1 then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 1000 and place > 1 then top end refers_to from k""",
         "op10_quality_rules": f"""with {quality_ctes("documents")}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged""",
     }

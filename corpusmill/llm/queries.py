@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import packing, quality, tokens
+from corpusmill.llm import packing, quality, tokens, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path
 
@@ -31,6 +31,14 @@ def op2_harmonic_packing(spark, sf):
     return summed.withColumnRenamed("n_read", "length")
 
 
+@query
+def op4_arc_to_warc(spark, sf):
+    arcs, warcs = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    files = warc.write_arc(_table(spark, sf, "pages"), arcs)
+    records = warc.read_warc(warc.convert(files, arcs, warcs), warcs)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op5_token_parquet(spark, sf):
     path = fresh_path(spark, "tokens")
