@@ -39,6 +39,23 @@ q_base as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {qu
 judged as (select *, not base_failed and {" and ".join(tests)} kept from q_base)"""
 
 
+def hits_ctes(source: str) -> str:
+    """CTEs ending in ``d_found``: (rid, doc_id, n_words, n_hit, items) for each row of ``source``."""
+    cut = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+d_rows as (select row_number() over () rid, doc_id, {cut.format("text")} ws from {source}),
+d_items as (select item_id, {cut.format("text")} ws from benchmark),
+d_windows as (select distinct item_id, list_slice(ws, i, i + least(10, len(ws)) - 1) g from
+  (select *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) i from d_items where len(ws) > 0)),
+d_words as (select rid, unnest(ws) w, unnest(range(1, len(ws) + 1)) pos from d_rows),
+d_hits as (select distinct d_words.rid, pos, len(g) n, item_id from d_windows join d_words on w = g[1]
+  join d_rows on d_rows.rid = d_words.rid and list_slice(d_rows.ws, pos, pos + len(g) - 1) = g),
+d_covered as (select rid, count(distinct p) n_hit from (select rid, unnest(range(pos, pos + n)) p from d_hits) group by rid),
+d_named as (select rid, list(i order by i) items from (select distinct rid, coalesce(item_id::varchar, '') i from d_hits) group by rid),
+d_found as (select d_rows.rid, doc_id, len(ws) n_words, coalesce(n_hit, 0) n_hit, coalesce(items, []) items
+  from d_rows left join d_covered using (rid) left join d_named using (rid))"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op4_arc_to_warc": """with p as (select page_id, encode(coalesce(html, '')) b, row_number() over () r from pages),
@@ -48,6 +65,8 @@ k as (select *, first_value(page_id) over (partition by payload_digest order by
 select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and place > 1 then 'revisit' else 'response' end record_type,
   case when payload_bytes >= 1000 and place > 1 then top end refers_to from k""",
+        "op9_positional_index": f"""with {hits_ctes("documents")}
+select doc_id, n_words, n_hit, len(items) n_items, sha256(array_to_string(items, ',')) items_sha256, n_hit > 0 contaminated from d_found""",
         "op10_quality_rules": f"""with {quality_ctes("documents")}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged""",
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import packing, quality, tokens, warc
+from corpusmill.llm import decontam, packing, quality, tokens, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path
 
@@ -46,6 +46,11 @@ def op5_token_parquet(spark, sf):
     return tokens.digest(tokens.read(spark, path))
 
 
+@query
+def op9_positional_index(spark, sf):
+    return decontam.digest(decontam.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")))
+
+
 @query
 def op10_quality_rules(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", "text")
