@@ -6,6 +6,7 @@ anything. So the ids of a text are those of its words in a row, and the ids of a
 are those of its letter, digit and sign parts. Each worker keeps the ids of the parts it has
 met, up to a bound, and asks the library only for new ones. Words with an apostrophe, an
 angle bracket, a control character or a character beyond Latin letters are asked for whole.
+A part needs only lower case, so the library's merge model is called on it directly.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import numpy as np
 from corpusmill.llm.words import lower_words, worker_state
 
 ID_TYPE = np.dtype("<u4")
-MAX_PARTS = 500_000
-MAX_WORDS = 400_000
+MAX_PARTS = 700_000
+MAX_WORDS = 700_000
 
 # Latin letters that lower-case to one letter (ASCII, Latin-1, most of Latin Extended-A, as UTF-8).
 _LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf]"
@@ -28,6 +29,11 @@ _PART = re.compile(rb"(?:[a-z]|" + _LATIN + rb")+|[0-9]|[^a-z0-9\x80-\xff]+")
 _PLAIN = re.compile(rb"(?:[!-&(-;=?-~]|" + _LATIN + rb")+")
 
 
+# The byte-level spelling: printable Latin-1 stands for itself, other bytes follow from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -44,6 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merges = self.library.model.tokenize
         self.parts: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.max_parts, self.max_words = max_parts, max_words
@@ -56,17 +63,33 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _part(self, part: bytes) -> bytes:
+        """Ids of one plain part: beyond lower case it needs no normalizing, and it is one piece to the merges."""
+        if part.isascii():
+            spelled = part.decode("ascii")
+        else:
+            spelled = part.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(_SPELLED)
+        return array("I", [t.id for t in self.merges(spelled)]).tobytes()
+
     def _learn(self, new: Iterable[bytes]) -> None:
         """Puts the ids of each new word into ``words``."""
         if len(self.parts) > self.max_parts:
             self.parts.clear()
-        known = self.parts
-        cut = [(w, _PART.findall(w) if _PLAIN.fullmatch(w) else [w]) for w in new]
-        missing = list({p for _, parts in cut for p in parts if p not in known})
-        if missing:
-            known.update(zip(missing, self._ask([p.decode("utf-8") for p in missing]), strict=True))
-        for word, parts in cut:
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        known, words, whole = self.parts, self.words, []
+        plain, cut, part_ids = _PLAIN.fullmatch, _PART.findall, self._part
+        for word in new:
+            if not plain(word):
+                whole.append(word)
+                continue
+            found = []
+            for part in cut(word):
+                ids = known.get(part)
+                if ids is None:
+                    ids = known[part] = part_ids(part)
+                found.append(ids)
+            words[word] = found[0] if len(found) == 1 else b"".join(found)
+        if whole:
+            words.update(zip(whole, self._ask([w.decode("utf-8") for w in whole]), strict=True))
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """The ids of each text, null as empty, with ``end_id`` after them."""
