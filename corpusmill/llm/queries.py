@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, packing, quality, tokens, warc
+from corpusmill.llm import decontam, packing, quality, simhash, tokens, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path
 
@@ -23,6 +23,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_simhash_popcount(spark, sf):
+    found = simhash.near_duplicates(_table(spark, sf, "documents"))
+    text = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
 @query
 def op2_harmonic_packing(spark, sf):
     placed = packing.pack(_table(spark, sf, "documents"), default_path(), end_id=2)
