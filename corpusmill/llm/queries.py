@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontam, packing, quality, simhash, tokens, warc
+from corpusmill.llm import chat, decontam, packing, quality, simhash, tokens, toxicity, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path, materialize
 
@@ -71,6 +71,16 @@ def op7_budgeted_windows(spark, sf):
     return chat.digest(chat.read_back(formatted))
 
 
+@query
+def op8_counterfactual_toxicity(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf, "labels"))
+    scored = docs.select("doc_id", toxicity.scorer(model)(F.col("text")).alias("score"))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op9_positional_index(spark, sf):
     return decontam.digest(decontam.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")))
