@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import quality
+from corpusmill.llm import licences, quality
 
 
 def _list(items) -> str:
@@ -56,8 +56,25 @@ d_found as (select d_rows.rid, doc_id, len(ws) n_words, coalesce(n_hit, 0) n_hit
   from d_rows left join d_covered using (rid) left join d_named using (rid))"""
 
 
+def _licence_sql() -> str:
+    table = ", ".join(f"('{sentence}', '{name}')" for name, sentence in licences.SENTENCES.items())
+    named = ", ".join(
+        f"case when regexp_matches(row, '{'|'.join(licences.rule_pattern(s) for s in ways)}') then '{name}' end"
+        for name, ways in licences.RULES.items()
+    )
+    return f"""with l_rows as (select row_number() over () rid, doc_id,
+  regexp_replace(lower(coalesce(text, '')), '[.!?:;]+([ \\x09-\\x0D]|$)', chr(10), 'g') t from documents),
+l_cut as (select rid, doc_id, string_split(regexp_replace(regexp_replace(t, '[\\x0D\\x0A]+', chr(10), 'g'), '[^a-z0-9\\x0A]+', ' ', 'g'), chr(10)) ss from l_rows),
+l_each as (select rid, trim(unnest(ss)) s, unnest(range(len(ss))) pos from l_cut),
+l_ids as (select rid, list(name order by pos) ids from l_each join (values {table}) k(sentence, name) on s = sentence group by rid),
+l_all as (select doc_id, coalesce(ids, []) ids, ' ' || array_to_string(coalesce(ids, []), ' ') || ' ' row from l_cut left join l_ids using (rid))
+select doc_id, len(ids) n_known, array_to_string(ids, ',') sentence_ids,
+  array_to_string(list_filter([{named}], lambda x: x is not null), ',') licences from l_all"""
+
+
 def oracles() -> dict[str, str]:
     return {
+        "op3_sentence_licences": _licence_sql(),
         "op4_arc_to_warc": """with p as (select page_id, encode(coalesce(html, '')) b, row_number() over () r from pages),
 d as (select page_id, octet_length(b)::bigint payload_bytes, sha1(b) payload_digest, r from p),
 k as (select *, first_value(page_id) over (partition by payload_digest order by page_id desc nulls last, r) top,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontam, packing, quality, simhash, tokens, toxicity, warc
+from corpusmill.llm import chat, decontam, licences, packing, quality, simhash, tokens, toxicity, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path, materialize
 
@@ -38,6 +38,11 @@ def op2_harmonic_packing(spark, sf):
     return summed.withColumnRenamed("n_read", "length")
 
 
+@query
+def op3_sentence_licences(spark, sf):
+    return licences.scan(_table(spark, sf, "documents"))
+
+
 @query
 def op4_arc_to_warc(spark, sf):
     arcs, warcs = fresh_path(spark, "arc"), fresh_path(spark, "warc")
