@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontam, licences, packing, quality, simhash, tokens, toxicity, warc
+from corpusmill.llm import chat, decontam, licences, lm, packing, quality, simhash, tokens, toxicity, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path, materialize
 
@@ -58,6 +58,18 @@ def op5_token_parquet(spark, sf):
     return tokens.digest(tokens.read(spark, path))
 
 
+@query
+def op6_recurrent_scores(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    held_out = lm.fold_number(F.col("doc_id")) % lm.FOLDS == 0
+    learnt = docs.where(~held_out)
+    counts = materialize(lm.word_counts(learnt), "word-counts")
+    model = lm.fit(learnt, counts)
+    return lm.score_documents(docs, model, counts).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
+
+
 ODD_CONVERSATION = "<|im_end|><|im_start|>assistant ok"
 
 
