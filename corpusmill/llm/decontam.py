@@ -264,11 +264,11 @@ def documents_of(index: DataFrame) -> DataFrame:
     return rows.select("block", F.col("slot").cast("bigint").alias("slot"), "doc_id", length.alias("n_words"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted as strings), contaminated."""
-    hits = None
+def locate(docs: DataFrame, items: DataFrame, window: int, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """The index of ``docs`` over the items' words, and the hits of the items' windows."""
     terms = {w for group in query_groups(items) for _, words in group for w in words}
     index = materialize(build_index(docs, terms, key, text), "index")
+    hits = None
     for group in query_groups(items):
         queries: dict[tuple[bytes, ...], list] = defaultdict(list)
         for item_id, words in group:
@@ -276,24 +276,42 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
                 queries[phrase].append(item_id)
         found = search(index, queries)
         hits = found if hits is None else hits.unionByName(found)
-    every = documents_of(index)
+    return index, hits
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted as strings), contaminated."""
+    index, hits = locate(docs, items, window, key, text)
+    every, none, zero = documents_of(index), F.array().cast("array<string>"), F.lit(0).cast("bigint")
     if hits is None:
-        merged = every.select("*", F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    else:
-        span = F.struct("first", "last")
-        per_doc = hits.groupBy("block", "slot").agg(
-            F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items")
-        )
-        start = F.struct(F.lit(-1).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
-
-        def add(state, s):
-            fresh = F.greatest(F.lit(0).cast("bigint"), s.getField("last") - F.greatest(s.getField("first") - 1, state.getField("end")))
-            return F.struct(F.greatest(s.getField("last"), state.getField("end")).alias("end"), (state.getField("n") + fresh).alias("n"))
-
-        covered = per_doc.select("block", "slot", "items", F.aggregate("spans", start, add, lambda s: s.getField("n")).alias("n_hit"))
-        joined = every.join(covered, ["block", "slot"], "left")
-        merged = joined.withColumn("n_hit", F.coalesce("n_hit", F.lit(0))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return merged.select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
+        return every.select("doc_id", "n_words", zero.alias("n_hit"), none.alias("items"), F.lit(False).alias("contaminated"))
+    per_doc = hits.groupBy("block", "slot").agg(
+        F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"),
+        F.sort_array(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"),
+    )
+    start = F.struct(F.lit(-1).cast("bigint").alias("end"), zero.alias("n"))
+
+    def add(state, span):
+        last, end = span.getField("last"), state.getField("end")
+        fresh = F.greatest(zero, last - F.greatest(span.getField("first") - 1, end))
+        return F.struct(F.greatest(last, end).alias("end"), (state.getField("n") + fresh).alias("n"))
+
+    n_hit = F.aggregate("spans", start, add, lambda s: s.getField("n")).alias("n_hit")
+    joined = every.join(per_doc.select("block", "slot", "items", n_hit), ["block", "slot"], "left")
+    n_hit = F.coalesce("n_hit", zero)
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def keep(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any hit, with their columns unchanged.
+
+    Rows are matched by the key and a hash of the text, so rows that share a key are judged
+    by their own texts; a null key or text is matched like a value.
+    """
+    mark = F.xxhash64(F.col(key).cast("bigint"), F.col(text))
+    bad = contamination(docs.select(mark.alias("_mark"), F.col(text).alias("_text")), items, window, "_mark", "_text")
+    marks = bad.where("contaminated").select(F.col("doc_id").alias("_mark")).distinct()
+    return docs.join(marks, mark == marks["_mark"], "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

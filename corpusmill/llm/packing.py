@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import ID_TYPE, Encoder
-from corpusmill.llm.tokens import id_lists, slices
+from corpusmill.llm.tokens import checksums, id_lists, slices
 from corpusmill.session import materialize
 
 CAPACITY = 4_096
@@ -199,6 +199,13 @@ def pack(
     return closed.unionByName(second).unionByName(last)
 
 
+def digest(placed: DataFrame) -> DataFrame:
+    """``placed`` with each piece's ids replaced by their CRC-32."""
+    narrow = "doc_id BIGINT, start BIGINT, doc_tokens BIGINT, sequence_id BIGINT, offset BIGINT"
+    rows = placed.select("doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids")
+    return checksums(rows, narrow).withColumnRenamed("n_read", "length")
+
+
 def sequences(placed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
     """(sequence_id, ids, n_tokens): whole sequences padded to ``capacity``.
 

@@ -125,7 +125,10 @@ def measures(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
         "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))),
     }
     packed = F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()])
-    return covered.withColumn("_measures", packed).drop("_words", "_lines", "_covered")
+    # One generated row each: a filter on the counts is not moved below this, where it would
+    # have to compute them again, once for each element that a lambda looks at.
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return covered.select(*kept, F.explode(F.array(packed)).alias("_measures"))
 
 
 def base_failed(row: Column) -> Column:
