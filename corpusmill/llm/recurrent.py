@@ -131,41 +131,49 @@ def forward(p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray,
 
 
 def output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
-    """Natural log probability of each target; with ``grads``, their sums and the states' gradient."""
-    members = p["bo"].shape[1]
-    kind, member = targets // members, targets % members
-    logits = states @ p["Wc"] + p["bc"]
+    """Natural log probability of each target; with ``grads``, their sums and the states' gradient.
+
+    Everything is laid out by target class once, so that each class works on a slice.
+    """
+    classes, members = p["bo"].shape
+    kind = (targets // members).astype(np.uint16)
+    order = np.argsort(kind, kind="stable")
+    kind, states, member = kind[order].astype(np.intp), states[order], (targets % members)[order]
+    every = np.arange(len(order))
+    logits = states @ p["Wc"]
+    logits += p["bc"]
     np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], logits.dtype)
-    every = np.arange(len(targets))
-    found = np.log(np.maximum(logits[every, kind], 1e-30) / total)
+    total = logits @ np.ones(classes, logits.dtype)
+    share = logits.ravel()[every * classes + kind] / total
     back = None
     if grads is not None:
         logits /= total[:, None]
-        logits[every, kind] -= 1
+        logits.ravel()[every * classes + kind] -= 1
         grads["Wc"] += states.T @ logits
         grads["bc"] += logits.sum(0)
         back = logits @ p["Wc"].T
-    order = np.argsort(kind, kind="stable")
-    ends = np.cumsum(np.bincount(kind, minlength=p["bo"].shape[0]))
-    start = 0
-    for k, end in enumerate(ends):
-        if end == start:
-            continue
-        at = order[start:end]
-        own, which, rows = states[at], member[at], np.arange(end - start)
-        start = end
-        inner = own @ p["Wo"][k] + p["bo"][k]
-        np.exp(inner, out=inner)
-        total = inner @ np.ones(members, inner.dtype)
-        found[at] += np.log(np.maximum(inner[rows, which], 1e-30) / total)
-        if grads is not None:
-            inner /= total[:, None]
-            inner[rows, which] -= 1
-            grads["Wo"][k] += own.T @ inner
-            grads["bo"][k] += inner.sum(0)
-            back[at] += inner @ p["Wo"][k].T
-    return found, back
+    inner, ones = np.empty((len(order), members), logits.dtype), np.ones(members, logits.dtype)
+    ends = np.cumsum(np.bincount(kind, minlength=classes))
+    slices = [(k, slice(int(b - n), int(b))) for k, (b, n) in enumerate(zip(ends, np.diff(ends, prepend=0), strict=True)) if n]
+    for k, own in slices:
+        np.matmul(states[own], p["Wo"][k], out=inner[own])
+        inner[own] += p["bo"][k]
+    np.exp(inner, out=inner)
+    total = inner @ ones
+    share *= inner.ravel()[every * members + member] / total
+    found = np.empty(len(order), share.dtype)
+    found[order] = np.log(np.maximum(share, 1e-37))
+    if grads is None:
+        return found, None
+    inner /= total[:, None]
+    inner.ravel()[every * members + member] -= 1
+    for k, own in slices:
+        grads["Wo"][k] += states[own].T @ inner[own]
+        grads["bo"][k] += inner[own].sum(0)
+        back[own] += inner[own] @ p["Wo"][k].T
+    unsorted = np.empty_like(back)
+    unsorted[order] = back
+    return found, unsorted
 
 
 def window_gradient(shape: Shape, p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray, phase: int, every: int = LOSS_EVERY):
