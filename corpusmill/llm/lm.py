@@ -43,6 +43,7 @@ ROUNDS = 3
 FOLDS = 10
 CHUNK_TOKENS = 4_000_000
 COUNTER_WORDS = 200_000
+STEPS_PER_DOUBLING = 64
 PIECE = 4_096
 SALTS = 16
 
@@ -172,11 +173,30 @@ def _round(docs: DataFrame, model: Model, rate: float) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(rows, key=lambda r: r.piece)])
 
 
+def _head(words: DataFrame, most: int) -> list:
+    """Frequent words, at most ``most`` of them, by falling count.
+
+    Counts are grouped by a step of their logarithm; whole steps are taken from the top, so
+    that the driver gets no row beyond the head.
+    """
+    step = F.floor(F.log2("n") * STEPS_PER_DOUBLING)
+    sizes = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("size")).collect()
+    lowest, size = None, 0
+    for r in sorted(sizes, reverse=True):
+        size += r["size"]
+        if size > most:
+            break
+        lowest = r["step"]
+    if lowest is None:
+        return []
+    return sorted(words.where(step >= lowest).collect(), key=lambda r: (-r.n, bytes(r.word)))
+
+
 def fit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", rounds: int = ROUNDS, head_words: int = HEAD_WORDS, shape: Shape | None = None, rate: float = 0.015) -> Model:
     """A model of ``docs``, whose ``word_counts`` are given; one pass, a share of the documents per round."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    head = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(head_words).collect()
+    head = _head(counts.where(F.octet_length("word") > 0), head_words)
     shape = shape or Shape()
     model = Model(
         [bytes(r.word) for r in head], np.array([r.n for r in head], np.int64), totals.n, totals.v, shape, np.empty(0, np.float32), ends=ends
