@@ -20,12 +20,9 @@ MAX_TOKEN_ID = 65_535
 MIN_WORDS = 32
 VAL_EVERY = 200
 SHARD_SIZE = 100_000_000
-SAMPLE_DOCUMENTS = 100_000
 VOCAB_SIZE = 32_768
 MIN_VOCAB_SIZE = 300
 CHARACTER_COVERAGE = 0.9995
-MAX_SENTENCE_BYTES = 16_384
-INPUT_SENTENCES = 2_000_000
 MAX_PIECE_CHARS = 16
 
 # Defaults of the training and generation plans.
@@ -33,7 +30,6 @@ CONTEXT_LENGTH = 2_048
 SEED = 42
 EPOCH_SEED_STRIDE = 1_000_003
 MAX_LOSS_FOR_EXP = 80.0
-EVAL_BATCHES = 50
 
 # The visible word-boundary mark used inside pieces.
 SPACE_MARK = "▁"

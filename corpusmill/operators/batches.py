@@ -19,7 +19,7 @@ def assign_workers(shard_tokens: DataFrame, workers: int) -> DataFrame:
 
 
 def _worker_seed(seed: int) -> Column:
-    return F.lit(seed) + F.col("worker") + F.col("epoch") * F.lit(EPOCH_SEED_STRIDE)
+    return F.lit(seed) + F.col("worker") + F.col("epoch").cast("bigint") * F.lit(EPOCH_SEED_STRIDE)
 
 
 def positions(

@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 from corpusmill.constants import (
     CHARACTER_COVERAGE,
     FIRST_MERGE_ID,
-    INPUT_SENTENCES,
     MAX_PIECE_CHARS,
-    MAX_SENTENCE_BYTES,
     MIN_VOCAB_SIZE,
-    SAMPLE_DOCUMENTS,
     SEED,
     SPACE_MARK,
     VOCAB_SIZE,
@@ -46,22 +43,24 @@ SCRIPTS = (
 
 def sample_lines(
     docs: DataFrame,
-    sample_documents: int | None = SAMPLE_DOCUMENTS,
-    max_bytes: int = MAX_SENTENCE_BYTES,
-    input_sentences: int | None = INPUT_SENTENCES,
+    sample_documents: int | None = None,
+    max_bytes: int | None = None,
+    input_sentences: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """Lines to fit on: the first accepted documents, flattened, without over-long lines.
+    """Lines to fit on: all accepted documents, flattened.
 
-    ``docs`` has doc_id, ordinal and text. If more than ``input_sentences`` lines are left,
-    that many are drawn by hash.
+    ``docs`` has doc_id, ordinal and text. Each limit is off unless it is given: the first
+    ``sample_documents`` documents, lines of at most ``max_bytes``, and ``input_sentences``
+    of those drawn by hash.
     """
     if sample_documents is not None:
         docs = docs.where(F.col("ordinal") < sample_documents)
     flat = docs.select("doc_id", tx.flatten(F.col("text")).alias("line"))
-    lines = flat.where((F.col("line") != "") & (F.octet_length("line") <= max_bytes))
-    may_exceed = sample_documents is None or (input_sentences or 0) < sample_documents
-    if input_sentences is None or not may_exceed:
+    lines = flat.where(F.col("line") != "")
+    if max_bytes is not None:
+        lines = lines.where(F.octet_length("line") <= max_bytes)
+    if input_sentences is None:
         return lines
     return hash_sample(lines, seeded_hash(F.lit(seed), F.col("doc_id")), ["doc_id"], input_sentences)
 
@@ -240,15 +239,24 @@ def _store(words: DataFrame) -> DataFrame:
     return materialize(words.repartition(tasks), "symbols")
 
 
-def learn_merges(words: DataFrame, count: int) -> list[str]:
+def best_merges(words: DataFrame, learned: set[str], limit: int) -> list:
+    """The next safe merges; the ranking is read deeper while it shows nothing but repeats."""
+    while True:
+        ranked = ranked_pairs(words, limit)
+        fresh = independent_merges(ranked, learned, limit) if ranked else []
+        if fresh or len(ranked) < limit:
+            return fresh
+        limit *= 4
+
+
+def learn_merges(words: DataFrame, count: int, ranked: int = RANKED_PAIRS) -> list[str]:
     """``count`` merged pieces in the order greedy merging finds them."""
     merges: list = []
     learned: set[str] = set()
     start = words = _store(_still_open(words))
     pending: list = []
     while len(merges) < count:
-        ranked = ranked_pairs(apply_merges(words, pending))
-        fresh = independent_merges(ranked, learned)[: count - len(merges)] if ranked else []
+        fresh = best_merges(apply_merges(words, pending), learned, ranked)[: count - len(merges)]
         if not fresh:
             break
         merges += fresh
@@ -268,15 +276,17 @@ def fit(
     docs: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     coverage: float = CHARACTER_COVERAGE,
-    sample_documents: int | None = SAMPLE_DOCUMENTS,
+    sample_documents: int | None = None,
+    max_bytes: int | None = None,
+    input_sentences: int | None = None,
 ) -> DataFrame:
-    """A vocabulary of exactly ``vocab_size`` pieces from numbered documents."""
+    """A vocabulary of exactly ``vocab_size`` pieces from numbered documents, by default all of them."""
     if vocab_size < MIN_VOCAB_SIZE:
-        raise ValueError(f"vocab_size={vocab_size} is too small for byte fallback; use at least {MIN_VOCAB_SIZE}")
-    words = materialize(normalize_words(word_histogram(sample_lines(docs, sample_documents))), "words")
+        raise ValueError(f"{vocab_size} pieces cannot hold all bytes and some merges; ask for {MIN_VOCAB_SIZE} or more")
+    words = materialize(normalize_words(word_histogram(sample_lines(docs, sample_documents, max_bytes, input_sentences))), "words")
     rows = alphabet(char_histogram(words), coverage).orderBy("rank").limit(vocab_size).collect()
     if not rows:
-        raise ValueError("No training text was provided to the tokenizer")
+        raise ValueError("the corpus has no line to learn pieces from")
     letters = [r.char for r in rows]
     wanted = vocab_size - FIRST_MERGE_ID - len(letters)
     if wanted < 0:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.constants import EVAL_BATCHES, MAX_LOSS_FOR_EXP
+from corpusmill.constants import MAX_LOSS_FOR_EXP
 from corpusmill.operators.order import previous_values
 
 
@@ -17,13 +17,13 @@ def step_loss(batch_losses: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    batch_sums: DataFrame, max_batches: int = EVAL_BATCHES, group: Sequence[str] = ()
+    batch_sums: DataFrame, max_batches: int | None = None, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Token-weighted loss and perplexity of the first ``max_batches`` batches.
+    """Token-weighted loss and perplexity of all batches, or the first ``max_batches``.
 
     Input: batch_no, loss_sum, tokens. Without tokens, loss and perplexity are NaN.
     """
-    used = (F.col("batch_no") < max_batches)
+    used = F.lit(True) if max_batches is None else F.col("batch_no") < max_batches
     loss_sum = F.coalesce(F.sum(F.when(used, F.col("loss_sum"))), F.lit(0.0))
     tokens = F.coalesce(F.sum(F.when(used, F.col("tokens"))), F.lit(0)).cast("bigint")
     sums = batch_sums.groupBy(*group).agg(loss_sum.alias("_loss"), tokens.alias("tokens"))

@@ -25,9 +25,12 @@ def key_blocks(df: DataFrame, key: str, rows_per_block: int = ROWS_PER_BLOCK) ->
     Dense keys are cut into equal key ranges, so a block holds at most
     ``DENSE_SPAN * rows_per_block`` rows. Sparse or clumped keys are cut at sampled
     quantiles. The sample only places the cuts; every row keeps its exact position. The key
-    range is noted in the column's metadata.
+    range is noted in the column's metadata. Rows without a key have no place and are refused.
     """
-    stats = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    rows = F.count(F.lit(1)).alias("rows")
+    stats = df.agg(F.count(key).alias("n"), rows, F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if stats.n != stats.rows:
+        raise ValueError(f"{stats.rows - stats.n} rows have no {key}")
     if not stats.n:
         return F.lit(0).cast("bigint")
     noted = {"low": stats.lo, "high": stats.hi, "rows": stats.n}
@@ -86,12 +89,21 @@ def running_base(table: DataFrame, value: str, name: str, group: Sequence[str] =
 
 
 def with_ordinal(
-    df: DataFrame, keys: Sequence[str | Column], name: str = "ordinal", first: int = 0
+    df: DataFrame, keys: Sequence[str | Column], name: str = "ordinal", first: int = 0, unique: bool = False
 ) -> DataFrame:
-    """Zero-based global position of each row by (block, keys)."""
+    """Zero-based global position of each row by (block, keys).
+
+    With ``unique``, two rows of equal keys fail the job, as their order would be left to chance.
+    """
     counts = df.groupBy("block").agg(F.count(F.lit(1)).alias("_rows"))
     base = running_base(counts, "_rows", "_base")
-    inside = F.row_number().over(Window.partitionBy("block").orderBy(*keys)) - 1
+    inside = Window.partitionBy("block").orderBy(*keys)
+    place = F.row_number().over(inside) - 1
+    if unique:
+        key = F.struct(*keys)
+        message = F.concat(F.lit("two rows have the key "), F.to_json(key))
+        place = F.when(F.lag(key).over(inside) == key, F.raise_error(message)).otherwise(place)
+    inside = place
     return (
         df.withColumn("_inside", inside)
         .join(base, "block")

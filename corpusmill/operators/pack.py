@@ -27,6 +27,21 @@ def framing_tokens(add_bos: bool = True) -> int:
     return 2 if add_bos else 1
 
 
+def sized(docs: DataFrame, length: Column, carry: Sequence[str], extra_tokens: int) -> DataFrame:
+    """Token counts and offsets inside a block; zero for documents that encode to nothing.
+
+    Those are dropped after this is written: a filter here would be moved below the
+    encoder's projection and so run the encoder twice.
+    """
+    framed = F.when(F.col("n") > 0, F.col("n") + extra_tokens).otherwise(0)
+    return (
+        docs.withColumn("n", length.cast("bigint"))
+        .withColumn("n", framed)
+        .withColumn("_inside", inside_offset("n", "ordinal", ["split"]))
+        .select("doc_id", "ordinal", "split", "block", "n", "_inside", *carry)
+    )
+
+
 def place(
     docs: DataFrame, length: Column, carry: Sequence[str], extra_tokens: int = framing_tokens()
 ) -> DataFrame:
@@ -37,14 +52,7 @@ def place(
     produced ``length`` and ``carry`` runs once; the per-block token totals then come
     from a narrow scan of the written table.
     """
-    sized = (
-        docs.withColumn("n", length.cast("bigint"))
-        .where(F.col("n") > 0)
-        .withColumn("n", F.col("n") + extra_tokens)
-        .withColumn("_inside", inside_offset("n", "ordinal", ["split"]))
-        .select("doc_id", "ordinal", "split", "block", "n", "_inside", *carry)
-    )
-    written = materialize(sized, "placed")
+    written = materialize(sized(docs, length, carry, extra_tokens), "placed").where("n > 0")
     totals = written.groupBy("split", "block").agg(F.sum("n").alias("_tokens"))
     base = running_base(totals, "_tokens", "_base", ["split"])
     return written.join(base, ["split", "block"]).select(
@@ -84,10 +92,10 @@ def checked(ids: Column, vocab_size: int | None = None) -> Column:
         return F.raise_error(F.concat(F.lit("Token id "), F.element_at(bad, 1).cast("string"), F.lit(message)))
 
     unfit = F.filter(ids, lambda t: (t < 0) | (t > MAX_TOKEN_ID))
-    result = F.when(F.size(unfit) > 0, complain(unfit, " does not fit in uint16"))
+    result = F.when(F.size(unfit) > 0, complain(unfit, " is no uint16"))
     if vocab_size is not None:
         foreign = F.filter(ids, lambda t: t >= vocab_size)
-        message = f" is outside the declared vocab of {vocab_size}"
+        message = f" exceeds the declared vocab, {vocab_size} ids"
         result = result.when(F.size(foreign) > 0, complain(foreign, message))
     return result.otherwise(ids)
 

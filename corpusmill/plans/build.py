@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from corpusmill.constants import (
     BOS_ID,
     BYTE_VOCAB_SIZE,
+    CHARACTER_COVERAGE,
     EOS_ID,
     MIN_WORDS,
-    SAMPLE_DOCUMENTS,
     SHARD_SIZE,
     VAL_EVERY,
     VOCAB_SIZE,
@@ -25,13 +25,11 @@ from corpusmill.sources import corpus, metadata, shards, vocabulary
 
 
 @dataclass(frozen=True)
-class Packed:
-    """A placed corpus and its shard chunks."""
+class Placed:
+    """Documents with their places in the token streams."""
 
     placed: DataFrame
-    chunks: DataFrame
     shard_size: int
-    vocab_size: int
 
     def totals(self) -> DataFrame:
         return pack.split_totals(self.placed, self.shard_size)
@@ -40,6 +38,14 @@ class Packed:
         return pack.shard_token_counts(self.placed, self.shard_size)
 
 
+@dataclass(frozen=True)
+class Packed(Placed):
+    """A placed corpus and its shard chunks."""
+
+    chunks: DataFrame
+    vocab_size: int
+
+
 def numbered_documents(
     spark: SparkSession,
     path: str,
@@ -54,11 +60,16 @@ def numbered_documents(
     return numbered.withColumn("split", pack.split_of(F.col("ordinal"), val_every))
 
 
+def place_keys(numbered: DataFrame, shard_size: int, add_bos: bool = True) -> Placed:
+    """Where each document's bytes would lie; only keys and lengths are stored."""
+    return Placed(pack.place(numbered, by.byte_length(F.col("text")), [], pack.framing_tokens(add_bos)), shard_size)
+
+
 def pack_bytes(numbered: DataFrame, shard_size: int, add_bos: bool = True) -> Packed:
     """Pack with the byte-only tokenizer; ids are made after placing, so text is what is stored."""
     placed = pack.place(numbered, by.byte_length(F.col("text")), ["text"], pack.framing_tokens(add_bos))
     framed = pack.frame(by.byte_ids(F.col("text")), BOS_ID if add_bos else None)
-    return Packed(placed, pack.chunks(placed, framed, shard_size), shard_size, BYTE_VOCAB_SIZE)
+    return Packed(placed, shard_size, pack.chunks(placed, framed, shard_size), BYTE_VOCAB_SIZE)
 
 
 def pack_pieces(
@@ -75,7 +86,7 @@ def pack_ids(
 ) -> Packed:
     placed = pack.place(encoded, F.size("ids"), ["ids"], pack.framing_tokens(bos_id is not None))
     framed = pack.frame(F.col("ids"), bos_id, eos_id)
-    return Packed(placed, pack.chunks(placed, framed, shard_size), shard_size, vocab_size)
+    return Packed(placed, shard_size, pack.chunks(placed, framed, shard_size), vocab_size)
 
 
 def write_packed(
@@ -117,13 +128,25 @@ def write_token_shards(
 
 
 def load_or_fit(
-    accepted: DataFrame, path: str, vocab_size: int = VOCAB_SIZE, sample_documents: int | None = SAMPLE_DOCUMENTS
+    accepted: DataFrame,
+    path: str,
+    vocab_size: int = VOCAB_SIZE,
+    sample_documents: int | None = None,
+    max_bytes: int | None = None,
+    input_sentences: int | None = None,
+    coverage: float = CHARACTER_COVERAGE,
 ) -> DataFrame:
-    """The saved vocabulary, or a new one fitted on the first accepted documents."""
+    """The saved vocabulary, or a new one fitted on all accepted documents.
+
+    A saved vocabulary of another size is refused. The three limits narrow the fit only.
+    """
     if not vocabulary.exists(path):
         sample = corpus.number(accepted, sample_documents)
-        vocabulary.save(fit.fit(sample, vocab_size, sample_documents=sample_documents), path)
-    return vocabulary.load(accepted.sparkSession, path)
+        vocabulary.save(fit.fit(sample, vocab_size, coverage, sample_documents, max_bytes, input_sentences), path)
+    saved = vocabulary.load(accepted.sparkSession, path)
+    if (pieces := saved.count()) != vocab_size:
+        raise ValueError(f"{path} holds {pieces} pieces, {vocab_size} were asked for")
+    return saved
 
 
 def preprocess(
@@ -131,15 +154,21 @@ def preprocess(
     corpus_path: str,
     output: str,
     vocab_size: int = VOCAB_SIZE,
-    limit: int | None = 100_000,
-    sample_documents: int | None = SAMPLE_DOCUMENTS,
+    limit: int | None = None,
+    sample_documents: int | None = None,
+    max_bytes: int | None = None,
+    input_sentences: int | None = None,
+    coverage: float = CHARACTER_COVERAGE,
     val_every: int = VAL_EVERY,
     shard_size: int = SHARD_SIZE,
     min_words: int = MIN_WORDS,
 ) -> dict[str, dict]:
     """Fit or reuse the vocabulary, then write both splits and the manifest."""
     accepted = corpus.accept(corpus.scan(spark, corpus_path), min_words)
-    pieces = vocabulary.Pieces.of(load_or_fit(accepted, f"{output}/tokenizer", vocab_size, sample_documents))
+    fitted = load_or_fit(
+        accepted, f"{output}/tokenizer", vocab_size, sample_documents, max_bytes, input_sentences, coverage
+    )
+    pieces = vocabulary.Pieces.of(fitted)
     numbered = corpus.number(accepted, limit)
     numbered = numbered.withColumn("split", pack.split_of(F.col("ordinal"), val_every))
     extra = {

@@ -10,6 +10,7 @@ from corpusmill.plans.queries import (
     LENGTH,
     LIMIT,
     LR,
+    MAX_LINE_BYTES,
     MAX_PROMPT,
     SAMPLE_LINES,
     SHARD,
@@ -61,8 +62,7 @@ _PARTS = {
     "bl": """select split, batch_no, avg(nll) batch_loss, sum(nll) loss_sum, count(*) tokens
         from nll join bs using (split, shard, win) group by all""",
     "sl": f"select batch_no // {ACCUMULATION} step, avg(batch_loss) loss from bl where split = 'train' group by all",
-    "line": r"""select doc_id, regexp_replace(t, '\s+', ' ', 'g') line from k
-        where octet_length(encode(regexp_replace(t, '\s+', ' ', 'g'))) <= 16384 and ord < 100000""",
+    "line": r"select doc_id, ord, regexp_replace(t, '\s+', ' ', 'g') line from k",
     "wd": "select word, count(*) freq from (select unnest(string_split(line, ' ')) word from line) group by all",
     "ch": "select char, sum(freq) freq from (select unnest(string_split('▁' || word, '')) char, freq from wd) group by all",
     "al": """select char, freq, row_number() over (order by freq desc, encode(char)) - 1 rank from (
@@ -74,13 +74,12 @@ _PARTS = {
     "prob": """select *, exp(logit - max(logit) over (partition by prompt_id)) e from tops""",
     "nuc": """select *, coalesce(sum(e) over (partition by prompt_id order by logit desc, token_id
         rows between unbounded preceding and 1 preceding), 0) / sum(e) over (partition by prompt_id) before from prob""",
-    "pr": f"""select conv_id * 1000 + turn prompt_id, case when len(ids) >= {MAX_PROMPT}
+    "pr": f"""select conv_id || '-' || turn prompt_id, case when len(ids) >= {MAX_PROMPT}
         then ids[-{MAX_PROMPT - 1}:] else ids end ids from (select conv_id, turn, list_concat([2], list_transform(
         regexp_extract_all(hex(encode(text)), '..'), lambda h: 4 + ('0x' || h)::int)) ids
         from conversations where text is not null)""",
     "pc": "select prompt_id, y token_id, ln(n) - 3.0 logit from pr join bi on ids[-1] = x",
-    "em": """select distinct prompt_id, id token_id from (
-        select prompt_id, unnest(ids) id, unnest(range(len(ids))) i from pr) where i % 3 = 0""",
+    "em": "select distinct prompt_id, unnest(ids) token_id from pr",
     "pen": """select prompt_id, token_id, case when em.token_id is null then logit
         when logit > 0 then logit / 1.3 else logit * 1.3 end logit
         from pc left join em using (prompt_id, token_id)""",
@@ -147,7 +146,8 @@ def oracles() -> dict[str, str]:
         "flatten_text": _sql("f", r"select doc_id, md5(regexp_replace(t, '\s+', ' ', 'g')) flat_md5 from f"),
         "doc_split": _sql("d", "select doc_id, ord ordinal, split from d"),
         "accepted_limit": _sql("k", f"select doc_id, ord ordinal from k order by ord limit {LIMIT}"),
-        "fit_sample_cap": _sql("line", "select doc_id, octet_length(encode(line))::bigint n_bytes from line"),
+        "fit_sample_cap": _sql("line", f"""select doc_id, octet_length(encode(line))::bigint n_bytes
+            from line where ord < {LIMIT} and octet_length(encode(line)) <= {MAX_LINE_BYTES}"""),
         "fit_line_sample": _sql("line", f"select doc_id from line order by {_hash('42', 'doc_id')}, doc_id limit {SAMPLE_LINES}"),
         "word_histogram": _sql("wd", "select word, freq from wd"),
         "char_coverage": _sql("al", "select char, freq::bigint freq, rank from al"),
@@ -226,7 +226,7 @@ def oracles() -> dict[str, str]:
         "eval_perplexity": _sql("bl", f"""select round(coalesce(mean, 'nan'::double), {DIGITS}) loss,
             round(case when mean is null then 'nan'::double else exp(least(mean, 80.0)) end, {DIGITS}) perplexity, tokens
             from (select sum(loss_sum) / sum(tokens) mean, coalesce(sum(tokens), 0)::bigint tokens
-                  from bl where split = 'val' and batch_no < 50)"""),
+                  from bl where split = 'val')"""),
         "step_loss": _sql("sl", f"select step, round(loss, {DIGITS}) loss from sl"),
         "loss_trend": _sql("sl", f"""select round(min_by(loss, step), {DIGITS}) first_loss,
             round(max_by(loss, step), {DIGITS}) last_loss, max_by(loss, step) < min_by(loss, step) decreased from sl"""),

@@ -17,7 +17,7 @@ from corpusmill.functions.schedule import warmup_cosine
 from corpusmill.operators import audit, batches, candidates, fit, metrics, pack, scorer, windows
 from corpusmill.operators.order import hash_sample, key_blocks
 from corpusmill.plans import build
-from corpusmill.session import fresh_path, work_dir
+from corpusmill.session import fresh_path, materialize, work_dir
 from corpusmill.sources import corpus, history, metadata, shards, vocabulary
 from corpusmill.streaming import tail
 from corpusmill.streaming.incremental import IncrementalBuild, landing_stream
@@ -30,6 +30,8 @@ WORKERS = 2
 VOCAB = 400
 LIMIT = 500
 SAMPLE_LINES = 300
+DELIVERY_FILES = 1_000_000
+MAX_LINE_BYTES = 16_384
 MAX_PROMPT = 256
 # Four specials and the ASCII bytes: everything else is out of range.
 ASCII_VOCAB = 132
@@ -60,6 +62,10 @@ def _packed(spark: SparkSession, sf: str) -> build.Packed:
     return build.pack_bytes(_numbered(spark, sf), SHARD)
 
 
+def _keys(spark: SparkSession, sf: str) -> build.Placed:
+    return build.place_keys(_numbered(spark, sf), SHARD)
+
+
 def _written(spark: SparkSession, sf: str) -> str:
     path = fresh_path(spark, "dataset")
     metadata.write_manifest(build.write_packed(_packed(spark, sf), path), path)
@@ -125,13 +131,13 @@ def accepted_limit(spark, sf):
 
 @query
 def fit_sample_cap(spark, sf):
-    lines = fit.sample_lines(_numbered(spark, sf))
+    lines = fit.sample_lines(_numbered(spark, sf), LIMIT, MAX_LINE_BYTES)
     return lines.select("doc_id", F.octet_length("line").cast("bigint").alias("n_bytes"))
 
 
 @query
 def fit_line_sample(spark, sf):
-    lines = fit.sample_lines(_numbered(spark, sf), input_sentences=None)
+    lines = fit.sample_lines(_numbered(spark, sf))
     hashed = seeded_hash(F.lit(42), F.col("doc_id"))
     return hash_sample(lines, hashed, ["doc_id"], SAMPLE_LINES).select("doc_id")
 
@@ -153,7 +159,7 @@ def char_coverage(spark, sf):
 @query
 def initial_pair_counts(spark, sf):
     words = _words(spark, sf)
-    letters = [r.char for r in fit.alphabet(fit.char_histogram(words)).limit(VOCAB).collect()]
+    letters = [r.char for r in fit.alphabet(fit.char_histogram(words)).collect()]
     return fit.symbol_pairs(fit.as_symbols(words, letters))
 
 
@@ -232,7 +238,7 @@ def framed_documents(spark, sf):
 
 @query
 def pack_offsets(spark, sf):
-    return _packed(spark, sf).placed.select("doc_id", "split", "n", "offset")
+    return _keys(spark, sf).placed.select("doc_id", "split", "n", "offset")
 
 
 @query
@@ -244,7 +250,7 @@ def shard_layout(spark, sf):
 
 @query
 def split_totals(spark, sf):
-    return _packed(spark, sf).totals()
+    return _keys(spark, sf).totals()
 
 
 @query
@@ -340,21 +346,21 @@ def windows_from_shards(spark, sf):
 
 @query
 def window_counts(spark, sf):
-    return windows.window_counts(_packed(spark, sf).shard_tokens(), LENGTH)
+    return windows.window_counts(_keys(spark, sf).shard_tokens(), LENGTH)
 
 
 @query
 def worker_partition(spark, sf):
-    return batches.assign_workers(_packed(spark, sf).shard_tokens(), 3)
+    return batches.assign_workers(_keys(spark, sf).shard_tokens(), 3)
 
 
 @query
 def shuffled_plan(spark, sf):
-    return batches.positions(_packed(spark, sf).shard_tokens(), WORKERS, 2, LENGTH)
+    return batches.positions(_keys(spark, sf).shard_tokens(), WORKERS, 2, LENGTH)
 
 
 def _steps(spark, sf, shuffle=False, epochs=1):
-    tokens = _packed(spark, sf).shard_tokens()
+    tokens = _keys(spark, sf).shard_tokens()
     return batches.steps(batches.batches(tokens, BATCH, WORKERS, epochs, LENGTH, shuffle), ACCUMULATION)
 
 
@@ -384,7 +390,9 @@ def step_cadence(spark, sf):
 
 
 def _train_bigrams(shifted):
-    return scorer.bigram_counts(scorer.token_pairs(shifted.where(F.col("split") == "train")))
+    """Counted once and written: the totals that a scorer derives from them are cheap then."""
+    counts = scorer.bigram_counts(scorer.token_pairs(shifted.where(F.col("split") == "train")))
+    return materialize(counts, "bigrams")
 
 
 @query
@@ -495,10 +503,11 @@ def stream_build(spark, sf):
     docs = spark.read.schema(corpus.DOCUMENT_SCHEMA).parquet(_documents(sf))
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     cut = span.lo + (span.hi - span.lo) // 3
-    for part in (docs.where(F.col("doc_id") <= cut), docs.where(F.col("doc_id") > cut)):
-        part.coalesce(1).write.mode("append").parquet(landing)
     job = IncrementalBuild(out, BYTE_VOCAB_SIZE, shard_size=SHARD)
-    job.start(landing_stream(spark, landing)).awaitTermination()
+    # Two deliveries, each one batch of as many files as its writers made.
+    for part in (docs.where(F.col("doc_id") <= cut), docs.where(F.col("doc_id") > cut)):
+        part.write.mode("append").parquet(landing)
+        job.start(landing_stream(spark, landing, DELIVERY_FILES)).awaitTermination()
     job.close(spark)
     return shards.verify(spark, f"{out}/shards")
 
@@ -537,7 +546,7 @@ def nucleus_candidates(spark, sf):
 def _prompts(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").where(F.col("text").isNotNull())
     return turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
+        F.concat_ws("-", "conv_id", "turn").alias("prompt_id"),
         candidates.prepare_prompt(by.byte_ids(F.col("text")), MAX_PROMPT).alias("ids"),
     )
 
@@ -558,9 +567,9 @@ def _prompt_candidates(spark, sf):
 
 
 def _penalized(spark, sf):
-    """Every third character of the turn stands in for what was generated so far."""
-    emitted = _prompts(spark, sf).select("prompt_id", F.posexplode("ids").alias("at", "token_id"))
-    return candidates.penalize_repeats(_prompt_candidates(spark, sf), emitted.where("at % 3 = 0"), 1.3)
+    """The turn stands in for what was generated so far."""
+    emitted = _prompts(spark, sf).select("prompt_id", F.explode("ids").alias("token_id"))
+    return candidates.penalize_repeats(_prompt_candidates(spark, sf), emitted, 1.3)
 
 
 @query

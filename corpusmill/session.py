@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,11 +40,12 @@ def work_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(WORK_DIR_SETTING, "")
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {WORK_DIR_SETTING} to a folder every executor can reach")
     app = spark.conf.get("spark.app.id")
     if app not in _local_work_dirs:
-        _local_work_dirs[app] = tempfile.mkdtemp(prefix="corpusmill-")
+        _local_work_dirs[app] = folder = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return _local_work_dirs[app]
 
 

@@ -40,8 +40,8 @@ def accept(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def number(docs: DataFrame, limit: int | None = None, first: int = 0) -> DataFrame:
     """Global ordinal of accepted documents; ``limit`` counts accepted ones, None is all."""
     if limit is None:
-        return with_ordinal(docs, ["doc_id"], first=first)
-    return with_ordinal(head(docs, limit), ["doc_id"], first=first).where(F.col("ordinal") < first + limit)
+        return with_ordinal(docs, ["doc_id"], first=first, unique=True)
+    return with_ordinal(head(docs, limit), ["doc_id"], first=first, unique=True).where(F.col("ordinal") < first + limit)
 
 
 def head(docs: DataFrame, n: int) -> DataFrame:

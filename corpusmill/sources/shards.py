@@ -183,9 +183,9 @@ class ShardWriter(DataSourceArrowWriter):
             return
         low, high = int(tokens.min()), int(tokens.max())
         if low < 0 or high > MAX_TOKEN_ID:
-            raise ValueError(f"Token id {low if low < 0 else high} does not fit in uint16")
+            raise ValueError(f"Token id {low if low < 0 else high} is no uint16")
         if self.vocab_size is not None and high >= self.vocab_size:
-            raise ValueError(f"Token id {high} is outside the declared vocab of {self.vocab_size}")
+            raise ValueError(f"Token id {high} exceeds the declared vocab, {self.vocab_size} ids")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenShards:
         filesystem, root = open_path(self.path)

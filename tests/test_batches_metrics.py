@@ -140,3 +140,9 @@ def test_untrained_scorer_is_uniform(spark):
     grid = spark.createDataFrame([(1, 2)], "x INT, y INT")
     row = scorer.pair_nll(grid, nothing, 4_096, weight=0.0).first()
     assert row.nll == pytest.approx(scorer.uniform_loss(4_096))
+
+
+def test_late_epochs_do_not_overflow(spark):
+    tokens = spark.createDataFrame([("train", 0, 9)], "split STRING, shard INT, tokens BIGINT")
+    got = batches.positions(tokens, 1, 5_000, 4).agg(F.max("epoch").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    assert (got.last, got.n) == (4_999, 10_000)

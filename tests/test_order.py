@@ -87,3 +87,11 @@ def test_limit_counts_accepted(spark, path):
 def test_cadence(spark):
     steps = spark.range(1, 31).where(on_cadence(F.col("id"), 10)).collect()
     assert [r.id for r in steps] == [10, 20, 30]
+
+
+def test_missing_and_repeated_keys_are_refused(spark, path):
+    long_text = "word " * 40
+    for name, keys, error, message in (("null", [1, None], ValueError, "1 rows have no doc_id"), ("twice", [1, 2, 2], Exception, "two rows")):
+        spark.createDataFrame([(k, long_text) for k in keys], "doc_id BIGINT, text STRING").write.parquet(f"{path}/{name}")
+        with pytest.raises(error, match=message):
+            corpus.number(corpus.accept(corpus.scan(spark, f"{path}/{name}"))).collect()

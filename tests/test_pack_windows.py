@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corpusmill.functions import codec
 from corpusmill.operators import audit, pack, windows
 from corpusmill.operators.order import key_blocks, with_ordinal
 from corpusmill.plans import build
@@ -90,7 +91,7 @@ def test_out_of_range_ids(spark):
     with pytest.raises(PySparkException, match="uint16"):
         docs.select(pack.checked(F.col("ids"))).collect()
     docs = id_documents(spark, [[5, 600]])
-    with pytest.raises(PySparkException, match="declared vocab of 500"):
+    with pytest.raises(PySparkException, match="declared vocab, 500"):
         docs.select(pack.checked(F.col("ids"), 500)).collect()
     assert docs.select(pack.checked(F.col("ids"), 601).alias("ids")).first().ids == [5, 600]
     bad = pack.range_violations(id_documents(spark, [[1], [-1, 600, 70_000]]), 500).collect()
@@ -114,3 +115,14 @@ def test_delimiter_split_by_chunk_edge(spark):
     chunks = spark.createDataFrame(rows, "split STRING, shard INT, shard_offset INT, ids ARRAY<INT>")
     row = audit.delimiters(chunks).first()
     assert (row.first_id, row.violations) == (2, 1)
+
+
+def test_the_encoder_runs_once_and_keys_travel_without_text(spark, pieces):
+    docs = spark.createDataFrame([(i, "Pano kerti") for i in range(5)], "doc_id BIGINT, text STRING")
+    ordered = with_ordinal(docs.withColumn("block", key_blocks(docs, "doc_id")), ["doc_id"]).withColumn("split", F.lit("train"))
+    encoded = ordered.withColumn("ids", codec.encode(F.col("text"), pieces))
+    plan = pack.sized(encoded, F.size("ids"), ["ids"], 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    placed = build.place_keys(ordered, 100)
+    assert "text" not in placed.placed.columns
+    assert placed.totals().first().num_tokens == 5 * (2 + len("Pano kerti"))

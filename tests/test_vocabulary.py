@@ -63,10 +63,10 @@ def test_mixed_scripts_equal_library(spark):
 
 
 def test_codec_examples(spark, pieces):
-    text = "river stone"
+    text = "Pano kerti"
     ids, back = encoded(spark, [text], pieces, add_bos=True, add_eos=True)[text]
     assert ids[0] == 2 and ids[-1] == 3 and back == text
-    novel = "quixotic zebras photosynthesize"
+    novel = "Wyvern jinxed 7 fjords"
     ids, back = encoded(spark, [novel], pieces)[novel]
     assert ids and 1 not in ids and back == novel
     assert encoded(spark, [""], pieces)[""] == ([], "")
@@ -138,11 +138,23 @@ def test_round_choice_equals_one_at_a_time():
         assert learn(words, 30, True) == learn(words, 30, False)
 
 
+def test_merges_do_not_depend_on_how_many_pairs_are_ranked(spark):
+    words = spark.createDataFrame([("abab", 9), ("abcab", 7), ("bcbc", 5), ("cabba", 3)], "word STRING, freq BIGINT")
+    symbols = fit.as_symbols(words, list("abc") + ["▁"])
+    assert fit.learn_merges(symbols, 7, ranked=1) == fit.learn_merges(symbols, 7)
+
+
+def test_ranking_is_read_past_repeats(spark, monkeypatch):
+    pairs = [type("Pair", (), {"l": f"l{i}", "r": f"r{i}", "piece": f"p{i}", "freq": 5_000 - i}) for i in range(1_001)]
+    monkeypatch.setattr(fit, "ranked_pairs", lambda words, limit: pairs[:limit])
+    assert [p.piece for p in fit.best_merges(None, {f"p{i}" for i in range(1_000)}, 1_000)] == ["p1000"]
+
+
 def test_guards(spark):
     docs = documents(spark, ["some text"]).withColumn("ordinal", F.col("doc_id"))
-    with pytest.raises(ValueError, match="too small"):
+    with pytest.raises(ValueError, match="cannot hold all bytes"):
         fit.fit(docs, 299)
-    with pytest.raises(ValueError, match="No training text"):
+    with pytest.raises(ValueError, match="no line to learn"):
         fit.fit(documents(spark, [" ", ""]).withColumn("ordinal", F.col("doc_id")), 300)
     with pytest.raises(ValueError, match="merges"):
         fit.fit(docs, 5_000)
@@ -151,7 +163,8 @@ def test_guards(spark):
 def test_sample_is_a_prefix_of_short_lines(spark):
     texts = ["one two", "x" * 20_000, "three  four", "five"]
     docs = documents(spark, texts).withColumn("ordinal", F.col("doc_id"))
-    assert [r.line for r in fit.sample_lines(docs, 3).orderBy("doc_id").collect()] == ["one two", "three four"]
+    assert [r.line for r in fit.sample_lines(docs, 3, 16_384).orderBy("doc_id").collect()] == ["one two", "three four"]
+    assert fit.sample_lines(docs).count() == 4
     drawn = fit.sample_lines(docs, None, input_sentences=2).collect()
     assert len(drawn) == 2
 
@@ -163,6 +176,8 @@ def test_save_load_and_reuse(spark, path, fitted):
     assert vocabulary.size(vocabulary.load(spark, path)) == 512
     reused = build.load_or_fit(documents(spark, ["never read"]), path, 512)
     assert Pieces.of(reused) == Pieces.of(fitted)
+    with pytest.raises(ValueError, match="512 pieces, 400"):
+        build.load_or_fit(documents(spark, ["never read"]), path, 400)
     wrong = fitted.withColumn("id", F.when(F.col("id") == 3, 2).when(F.col("id") == 2, 3).otherwise(F.col("id")))
     vocabulary.save(wrong, f"{path}-wrong")
     with pytest.raises(ValueError, match="special ids"):
