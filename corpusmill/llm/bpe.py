@@ -20,8 +20,8 @@ import numpy as np
 from corpusmill.llm.words import lower_words, worker_state
 
 ID_TYPE = np.dtype("<u4")
-MAX_PARTS = 700_000
-MAX_WORDS = 700_000
+MAX_PARTS = 500_000
+MAX_WORDS = 500_000
 
 # Latin letters that lower-case to one letter (ASCII, Latin-1, most of Latin Extended-A, as UTF-8).
 _LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf]"

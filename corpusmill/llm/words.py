@@ -31,12 +31,14 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def worker_state(key: object, make: Callable[[], object]) -> object:
-    """A value kept in this Python worker across tasks.
+    """A value kept in this Python worker across tasks, until another one is asked for.
 
-    Functions reach the workers by value, so their own module globals last one task only.
+    Functions reach the workers by value, so their own module globals last one task only. One
+    value at a time bounds what a worker holds when it serves the stages of a pipeline in turn.
     """
     name = "_corpusmill_worker_state"
     holder = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
-    if key not in holder:
-        holder[key] = make()
-    return holder[key]
+    if holder.get("key") != key:
+        holder["value"] = None
+        holder["value"], holder["key"] = make(), key
+    return holder["value"]
