@@ -69,6 +69,44 @@ _PARTS = {
         select *, coalesce(sum(freq) over (order by freq desc, encode(char)
         rows between unbounded preceding and 1 preceding), 0) / sum(freq) over () before from ch)
         where before::float < 0.9995::float""",
+    # Byte-pair learning, one merge per step. Symbols stand between chr(2) and chr(3); the row
+    # without text carries what was learned. Scripts: Latin and the rest, as the tables have.
+    "run": r"""select run, sum(freq)::bigint freq from (select unnest(regexp_extract_all(part,
+        '▁?(?:\p{Latin}+|[^\p{Latin}▁]+)|▁')) run, freq from (select unnest(regexp_split_to_array('▁' || word,
+        (select '[^' || string_agg(regexp_escape(char), '') || ']+' from al))) part, freq from wd))
+        where length(run) > 1 group by run""",
+    "mg": f"""select 0 step, chr(2) || array_to_string(string_split(run, ''), chr(3) || chr(2)) || chr(3) t, freq,
+        null::varchar[] learned from run
+        union all select 0, null, 0, []::varchar[]
+        union all select step + 1, replace(t, chr(2) || l || chr(3) || chr(2) || r || chr(3), chr(2) || l || r || chr(3)),
+            freq, list_append(learned, l || r)
+        from mg, (select l, r from (
+                select unnest(s[1:len(s) - 1]) l, unnest(s[2:]) r, freq from (
+                    select string_split(t[2:length(t) - 1], chr(3) || chr(2)) s, freq from mg where t is not null))
+            where length(l || r) <= 16
+                and not list_contains((select learned from mg where t is null), l || r)
+            group by l, r order by sum(freq) desc, length(l || r), encode(l || r), encode(l) limit 1) best
+        where step < {VOCAB} - 260 - (select count(*) from al)""",
+    "mp": """select unnest(learned) piece, unnest(range(len(learned))) rank
+        from (select learned from mg where t is null order by step desc limit 1)""",
+    "voc": f"""select * from (values (0, '<pad>'), (1, '<unk>'), (2, '<bos>'), (3, '<eos>')) v(id, piece), (select 0.0::double score, 'special' kind)
+        union all select 4 + b, printf('<0x%02X>', b), 0.0, 'byte' from (select unnest(range(256))::int b)
+        union all select (260 + rank)::int, piece, (0 - rank)::double, 'merge' from mp
+        union all select ({VOCAB} - (select count(*) from al) + rank)::int, char,
+            -({VOCAB} - 260 - (select count(*) from al) + rank)::double, 'char' from al""",
+    "mr": "select map(list(piece), list(rank)) m from mp",
+    "vi": "select map(list(piece), list(id)) m from voc where kind in ('merge', 'char')",
+    # Encoding of each distinct word: the earliest learned pair first, leftmost of equals.
+    "en": """select 0 step, word, string_split('▁' || word, '') s from wd
+        union all select step + 1, word, list_concat(s[1:p - 1], [s[p] || s[p + 1]], s[p + 2:]) from (
+            select step, word, s, best, list_position(ranks, best) p from (
+                select *, list_min(ranks) best from (select en.*, list_transform(range(1, len(s)),
+                    lambda i: coalesce(m[s[i] || s[i + 1]], 1000000)) ranks from en, mr))) where best < 1000000""",
+    "wi": """select word, flatten(list_transform(s, lambda p: case when m[p] is not null then [m[p]]
+        else list_transform(regexp_extract_all(hex(encode(p)), '..'), lambda h: 4 + ('0x' || h)::int) end)) ids
+        from (select word, arg_max(s, step) s from en group by word), vi""",
+    "lw": "select doc_id, unnest(ws) word, unnest(range(len(ws))) pos from (select doc_id, string_split(line, ' ') ws from line)",
+    "di": "select doc_id, flatten(list(ids order by pos)) ids from lw join wi using (word) group by doc_id",
     "cand": "select x prompt_id, y token_id, ln(n) logit from bi",
     "tops": "select * from (select *, rank() over (partition by prompt_id order by logit desc) r from cand) where r <= 20",
     "prob": """select *, exp(logit - max(logit) over (partition by prompt_id)) e from tops""",
@@ -98,11 +136,16 @@ _NEEDS = {
     "w": "pos", "win": "w", "pairs": "win", "bi": "pairs", "ux": "bi", "uy": "bi", "un": "bi",
     "nll": "ux uy un", "nw": "st", "po": "nw", "fb": "po", "bt": "fb", "bs": "bt", "bl": "nll bs",
     "sl": "bl", "line": "k", "wd": "line", "ch": "wd", "al": "ch", "cand": "bi", "tops": "cand",
-    "prob": "tops", "nuc": "prob", "pc": "pr bi", "em": "pr", "pen": "pc em", "s1": "pc", "s2": "s1",
+    "run": "wd al", "mg": "run al", "mp": "mg", "voc": "mp al", "mr": "mp", "vi": "voc", "en": "wd mr",
+    "wi": "en vi", "lw": "line", "di": "lw wi", "prob": "tops", "nuc": "prob", "pc": "pr bi", "em": "pr", "pen": "pc em", "s1": "pc", "s2": "s1",
     "s3": "s2", "s4": "s3",
 }
 
 
+# Expressions that read themselves.
+_RECURSIVE = ("mg", "en")
+
+
 def _sql(parts: str, select: str) -> str:
     wanted: list[str] = []
 
@@ -117,7 +160,7 @@ def _sql(parts: str, select: str) -> str:
     if not wanted:
         return select
     # Some expressions are read several times; computing them once keeps the check quick.
-    return "with " + ",\n".join(f"{n} as materialized ({_PARTS[n]})" for n in wanted) + "\n" + select
+    return "with recursive " + ",\n".join(f"{n} as {'' if n in _RECURSIVE else 'materialized '}({_PARTS[n]})" for n in wanted) + "\n" + select
 
 
 def _hash(*parts: str) -> str:
@@ -162,6 +205,10 @@ def oracles() -> dict[str, str]:
             v(kind, pieces, first_id, last_id) union all
             select 'merge', {VOCAB} - 260 - count(*), 260, ({VOCAB} - count(*) - 1)::int from al union all
             select 'char', count(*), ({VOCAB} - count(*))::int, {VOCAB - 1} from al"""),
+        "bpe_vocab": _sql("voc", "select id, piece, score, kind from voc"),
+        "bpe_encode": _sql("di", f"select doc_id, len(ids)::int n_ids, {ids_md5} ids_md5 from di"),
+        "bpe_piece_histogram": _sql("di voc", """select id, piece, uses from (
+            select id, count(*) uses from (select unnest(ids) id from di) group by id) join voc using (id)"""),
         "bpe_roundtrip": _sql("k", r"select doc_id, md5(regexp_replace(t, '\s+', ' ', 'g')) text_md5 from k"),
         "bpe_shard_audit": _sql("d", """select split, count(*) num_documents, count(*) eos_count, true agrees,
             0::bigint unk_count, true in_vocab from d group by split"""),
