@@ -20,8 +20,8 @@ import numpy as np
 from corpusmill.llm.words import lower_words, worker_state
 
 ID_TYPE = np.dtype("<u4")
-MAX_PARTS = 500_000
-MAX_WORDS = 500_000
+MAX_PARTS = 350_000
+MAX_WORDS = 350_000
 
 # Latin letters that lower-case to one letter (ASCII, Latin-1, most of Latin Extended-A, as UTF-8).
 _LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf]"
@@ -51,8 +51,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.merges = self.library.model.tokenize
+        # Each cache has two generations: what is used again moves to the new one, the old one goes.
         self.parts: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.old_parts: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.max_parts, self.max_words = max_parts, max_words
 
     @classmethod
@@ -74,8 +77,8 @@ class Encoder:
     def _learn(self, new: Iterable[bytes]) -> None:
         """Puts the ids of each new word into ``words``."""
         if len(self.parts) > self.max_parts:
-            self.parts.clear()
-        known, words, whole = self.parts, self.words, []
+            self.old_parts, self.parts = self.parts, {}
+        known, old, words, whole = self.parts, self.old_parts, self.words, []
         plain, cut, part_ids = _PLAIN.fullmatch, _PART.findall, self._part
         for word in new:
             if not plain(word):
@@ -85,7 +88,8 @@ class Encoder:
             for part in cut(word):
                 ids = known.get(part)
                 if ids is None:
-                    ids = known[part] = part_ids(part)
+                    ids = old.get(part)
+                    ids = known[part] = part_ids(part) if ids is None else ids
                 found.append(ids)
             words[word] = found[0] if len(found) == 1 else b"".join(found)
         if whole:
@@ -99,8 +103,10 @@ class Encoder:
         new = distinct.difference(self.words)
         if new and len(self.words) > self.max_words:
             # The bound is looked at before learning: the words of this batch must all stay.
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
             new = distinct
-        self._learn(new)
+        kept = new.intersection(self.old_words)
+        self.words.update((w, self.old_words[w]) for w in kept)
+        self._learn(new - kept)
         ids = self.words.__getitem__
         return [b"".join(map(ids, parts)) + end for parts in split]

@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import ID_TYPE, Encoder
 from corpusmill.llm.tokens import checksums, id_lists, slices
-from corpusmill.session import materialize
+from corpusmill.session import fresh_path
 
 CAPACITY = 4_096
 TOLERANCE = 1 / 48
 FINE_CLASSES = 64
+ROW_GROUP_BYTES = 32 << 20
 # Worker bins are numbered within a worker; bins filled after pooling follow in ranges of their own.
 WORKER_BITS, POOLED, MERGED = 32, 1 << 60, 1 << 61
 
@@ -175,7 +176,10 @@ def pack(
     reads of that table, so that no text is encoded twice.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    pieces = materialize(rows.mapInArrow(fill(tokenizer, end_id, capacity, tolerance), PIECES), "pieces")
+    path = fresh_path(docs.sparkSession, "pieces")
+    filled = rows.mapInArrow(fill(tokenizer, end_id, capacity, tolerance), PIECES)
+    filled.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    pieces = docs.sparkSession.read.schema(PIECES).parquet(path)
     columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     own = F.shiftleft(F.col("worker").cast("bigint"), WORKER_BITS) + F.col("bin")
