@@ -116,6 +116,38 @@ def steps(batched: DataFrame, accumulation: int, max_steps: int | None = None) -
     return stepped if max_steps is None else stepped.where(F.col("step") < max_steps)
 
 
+def restarted(batched: DataFrame, passes: int) -> DataFrame:
+    """Finite data read again and again: the same order and the same dropped rest each time.
+
+    Input: the batches of one pass. Their numbers go on from pass to pass; ``steps`` with
+    ``max_steps`` ends the last one where training ends.
+    """
+    # One row per split.
+    sizes = batched.groupBy("split").agg((F.max("batch_no") + 1).alias("_size"))
+    again = batched.join(F.broadcast(sizes), "split")
+    again = again.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    return again.withColumn("batch_no", F.col("pass") * F.col("_size") + F.col("batch_no")).drop("_size")
+
+
+def epochs_for(
+    shard_tokens: DataFrame, batch_size: int, workers: int, length: int, accumulation: int, max_steps: int
+) -> int:
+    """Epochs after which no worker with data can have run dry before ``max_steps``.
+
+    With that many, batches of endless data are numbered as if every worker went on for ever.
+    """
+    per_worker = (
+        windows_per_shard(assign_workers(shard_tokens, workers), length)
+        .groupBy("split", "worker")
+        .agg(F.sum("windows").alias("n"))
+        .where("n > 0")
+    )
+    loaders = per_worker.groupBy("split").agg(F.count(F.lit(1)).alias("w"), F.min("n").alias("least"))
+    wanted = max_steps * accumulation
+    need = F.ceil(F.lit(wanted) / F.col("w")) * batch_size
+    return int(loaders.agg(F.max(F.ceil(need / F.col("least")))).first()[0] or 1)
+
+
 def tokens_per_step(batch_size: int, accumulation: int, length: int) -> int:
     return batch_size * accumulation * length
 

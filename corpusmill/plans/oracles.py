@@ -262,6 +262,17 @@ def oracles() -> dict[str, str]:
             win::int "window", position from ({shuffled.format(epochs=2)})"""),
         "batch_steps": _sql("bs", f"""select split, worker::int worker, 0 epoch, shard::int shard, win::int "window", batch_no,
             slot::int slot, batch_no // {ACCUMULATION} step, (batch_no % {ACCUMULATION})::int micro from bs"""),
+        "restarted_steps": _sql("bs", f"""select worker::int worker, shard::int shard, win::int "window", slot::int slot,
+            (p * size + batch_no)::bigint batch_no, p::int "pass", (p * size + batch_no) // {ACCUMULATION} step,
+            ((p * size + batch_no) % {ACCUMULATION})::int micro
+            from (select * from bs where split = 'train'), (select unnest(range(2)) p),
+            (select max(batch_no) + 1 size, (max(batch_no) // {ACCUMULATION} + 1) * 3 // 2 most from bs where split = 'train')
+            where (p * size + batch_no) // {ACCUMULATION} < most"""),
+        "endless_steps": _sql("bs", f"""select worker::int worker, epoch::int epoch, shard::int shard, win::int "window",
+            batch_no, (position % {BATCH})::int slot, batch_no // {ACCUMULATION} step, (batch_no % {ACCUMULATION})::int micro
+            from (select *, position // {BATCH} * {WORKERS} + worker batch_no from ({shuffled.format(epochs=4)}) where split = 'train'),
+            (select (max(batch_no) // {ACCUMULATION} + 1) * 3 // 2 most from bs where split = 'train')
+            where batch_no // {ACCUMULATION} < most"""),
         "lr_schedule": _sql("bs", f"""select step, tokens, {BATCH * ACCUMULATION * LENGTH}::bigint tokens_per_step, {lr} lr
             from (select batch_no // {ACCUMULATION} step, count(*) * {LENGTH} tokens from bs
                   where split = 'train' group by all)"""),

@@ -369,6 +369,29 @@ def batch_steps(spark, sf):
     return _steps(spark, sf)
 
 
+def _one_and_a_half_passes(spark, sf):
+    """Training steps beyond one pass, whatever the corpus."""
+    last = _steps(spark, sf).where(F.col("split") == "train").agg(F.max("step").alias("last")).first().last
+    return (last + 1) * 3 // 2
+
+
+@query
+def restarted_steps(spark, sf):
+    max_steps = _one_and_a_half_passes(spark, sf)
+    one = batches.batches(_keys(spark, sf).shard_tokens(), BATCH, WORKERS, 1, LENGTH, False)
+    again = batches.restarted(one.where(F.col("split") == "train"), 2)
+    return batches.steps(again, ACCUMULATION, max_steps).drop("split", "epoch")
+
+
+@query
+def endless_steps(spark, sf):
+    max_steps = _one_and_a_half_passes(spark, sf)
+    tokens = _keys(spark, sf).shard_tokens().where(F.col("split") == "train")
+    epochs = batches.epochs_for(tokens, BATCH, WORKERS, LENGTH, ACCUMULATION, max_steps)
+    endless = batches.batches(tokens, BATCH, WORKERS, epochs, LENGTH)
+    return batches.steps(endless, ACCUMULATION, max_steps).drop("split")
+
+
 @query
 def lr_schedule(spark, sf):
     used = _steps(spark, sf, shuffle=True).where(F.col("split") == "train").groupBy("step").agg(
