@@ -18,7 +18,8 @@ def test_every_oracle_has_a_query():
 CHECKED = (
     "corpus_filter", "initial_pair_counts", "byte_encode_stats", "shard_layout", "shard_scan", "pretokenized_shards",
     "range_violations", "windows_from_shards", "shuffled_plan", "lr_schedule", "step_loss", "throughput", "live_history",
-    "nucleus_candidates", "gumbel_sample",
+    "nucleus_candidates", "gumbel_sample", "repetition_penalty", "eval_perplexity", "bpe_vocab", "bpe_encode",
+    "restarted_steps", "endless_steps",
 )
 
 
