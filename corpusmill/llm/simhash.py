@@ -19,6 +19,9 @@ exchange along links, with tables written between rounds.
 Defined results: null, empty and blank texts have fingerprint zero and link like others.
 Repeated rows share a component. A null id never names a component, unless it has no other.
 An empty table gives an empty result. Other columns are ignored.
+
+The pipeline's ``keep_one`` is not bound to these settings: it links rows whose sets of five-word
+shingles have a similarity (intersection over union) of 0.8 or more, all of them, see ``similar_rows``.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import slices
@@ -43,6 +46,10 @@ HALVES = 2
 TILE = 2_048
 PRINTS = "doc_id BIGINT, fingerprint BIGINT"
 LINKS = "a BIGINT, b BIGINT"
+# For ``keep_one``, which has no fingerprint: exact similarity of whole sets of longer shingles.
+NEAR_SHINGLE = 5
+SIGNS = [f"s{i}" for i in range(8)]
+RANGE_BITS = 18
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -248,13 +255,202 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(lookup, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def shingle_set(words: list[bytes], shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of all shingles, sorted; a shorter text is one shingle, an empty one none."""
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(b" ".join(words), seed)], np.uint64)
+    joined = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+    return np.unique(np.fromiter((digest(s, seed) for s in joined), np.uint64, len(words) - shingle + 1))
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of shingles falls on each: two sets differ by no fewer shingles than bits."""
+    size = max(64 * len(SIGNS), 1 << max(0, len(found) - 1).bit_length())
+    odd = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity bits over fewer places: a place's number is taken modulo their number."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, sid, n, parity bits, shingles) of every row; equal sets have equal ``sid``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(lower_words(t)) for t in batch.column(1).to_pylist()]
+            whole = [f.tobytes() for f in found]
+            bits = [parity(f) for f in found]
+            signs = np.array([folded(b, 8 * len(SIGNS)).view(np.int64) for b in bits], np.int64).reshape(-1, len(SIGNS))
+            columns = [
+                batch.column(0),
+                pa.array([_signed(xxhash.xxh64_intdigest(w, SEED)) for w in whole], pa.int64()),
+                pa.array([len(f) for f in found], pa.int64()),
+                *[pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(SIGNS))],
+                pa.array([b.tobytes() for b in bits], pa.binary()),
+                pa.array(whole, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "n", *SIGNS, "bits", "shingles"])
+
+    schema = f"doc_id BIGINT, sid BIGINT, n BIGINT, {', '.join(f'{s} BIGINT' for s in SIGNS)}, bits BINARY, shingles BINARY"
+    return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def _frequency_steps(sets: DataFrame) -> np.ndarray:
+    """A step per range of shingle hashes, above zero where a range is met far more often than others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RANGE_BITS, np.int64)
+        for batch in batches:
+            for whole in batch.column(0).to_pylist():
+                # Hashes of one set rarely share a range; a repeated one may count once.
+                counts[np.frombuffer(whole, np.uint64) >> np.uint64(64 - RANGE_BITS)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    counts = sets.select("shingles").mapInArrow(run, "at BIGINT, n BIGINT").groupBy("at").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "shingle-ranges")
+    mean = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) / (1 << RANGE_BITS)
+    steps = np.zeros(1 << RANGE_BITS, np.int8)
+    for r in counts.where(F.col("n") > F.lit(4 * mean + 16)).collect():
+        steps[r.at] = int(np.log2(r.n / mean)) if mean else 0
+    return steps
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(sid, shingles): the first shingles of each distinct set in one order for all, rare ones first.
+
+    Sets of similarity 0.8 share four fifths of either, so at least one of the first fifth (and one).
+    """
+    steps = _frequency_steps(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = []
+            for whole in batch.column(1).to_pylist():
+                found = np.frombuffer(whole, np.uint64)
+                order = np.argsort(steps[found >> np.uint64(64 - RANGE_BITS)], kind="stable")
+                firsts.append(found[order][: len(found) - (4 * len(found) + 4) // 5 + 1].view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
+            values = pa.array(np.concatenate([np.empty(0, np.int64), *firsts]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["sid", "first"])
+
+    made = sets.select("sid", "shingles").mapInArrow(run, "sid BIGINT, first ARRAY<BIGINT>")
+    return made.dropDuplicates(["sid"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle those whose shingle has more, with the row before and the first of the shingle."""
+    held = None
+    for batch in batches:
+        shingle, sid = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shingle", "sid"))
+        if not len(shingle):
+            continue
+        if held is not None:
+            shingle, sid = np.append(held[0], shingle), np.append(held[1], sid)
+        starts = np.append(True, shingle[1:] != shingle[:-1])
+        first = sid[np.maximum.accumulate(np.where(starts, np.arange(len(sid)), 0))]
+        before = np.where(starts, sid, np.append(sid[:1], sid[:-1]))
+        goes_on = ~starts
+        if held is not None:
+            first[: int(np.argmax(np.append(starts[1:], True))) + 1] = held[3]
+            before[0], goes_on[0] = held[2], held[4]
+        shared = goes_on | np.append(~starts[1:], False)
+        held = (shingle[-1], sid[-1], before[-1], first[-1], bool(goes_on[-1]))
+        shared[-1] = False
+        columns = [pa.array(c[shared]) for c in (shingle, sid, before, first)]
+        yield pa.RecordBatch.from_arrays(columns, ["shingle", "sid", "before", "first"])
+    if held is not None and held[4]:
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in held[:4]], ["shingle", "sid", "before", "first"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = (batch.column(n).to_pylist() for n in ("left", "right"))
+        near = []
+        for a, b in zip(left, right, strict=True):
+            one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            near.append(9 * both >= 4 * (len(one) + len(two)))
+        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(near, pa.bool_())) for n in ("a", "b")], ["a", "b"])
+
+
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bound of ``_bound`` by all parity bits, whose number grows with the set."""
+    for batch in batches:
+        left, right, total = (batch.column(n).to_pylist() for n in ("left", "right", "total"))
+        near = []
+        for a, b, n in zip(left, right, total, strict=True):
+            size = min(len(a), len(b))
+            apart = folded(np.frombuffer(a, np.uint8), size) ^ folded(np.frombuffer(b, np.uint8), size)
+            near.append(9 * int(np.bitwise_count(apart).sum(dtype=np.int64)) <= n)
+        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(near, pa.bool_())) for n in ("a", "b")], ["a", "b"])
+
+
+def _bound(a: str, b: str) -> Column:
+    """Whether sizes and parity bits of two sets allow a similarity of 0.8: they differ by a ninth of their sizes at most."""
+    apart = " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SIGNS)
+    return F.expr(f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) and 9 * ({apart}) <= {a}.n + {b}.n")
+
+
+def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b) of set numbers whose whole sets have a similarity of 0.8 or more."""
+    one, two = facts.alias("one"), facts.alias("two")
+    near = pairs.join(one, F.col("a") == F.col("one.sid")).join(two, F.col("b") == F.col("two.sid")).where(_bound("one", "two"))
+    near = near.select("a", "b", F.col("one.bits").alias("left"), F.col("two.bits").alias("right"), F.expr("one.n + two.n").alias("total"))
+    near = materialize(near.mapInArrow(_allowed, LINKS), f"{label}-candidates")
+    asked = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    whole = sets.select("sid", "shingles").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
+    whole = materialize(whole, f"{label}-sets")
+    left = whole.select(F.col("sid").alias("a"), F.col("shingles").alias("left"))
+    right = whole.select(F.col("sid").alias("b"), F.col("shingles").alias("right"))
+    return materialize(near.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_similar, LINKS), label)
+
+
+def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, sid, root) of every row: components of all pairs with five-word shingle sets of similarity 0.8 or more.
+
+    Candidates share one of the first shingles, so no pair is missed. Each set's most frequent
+    neighbours are verified first; what they leave apart is then compared pair by pair, so that a large
+    group of near copies costs no square of its size.
+    """
+    sets = materialize(shingle_sets(docs, key, text), "shingles")
+    facts = materialize(sets.select("sid", "n", *SIGNS, "bits").dropDuplicates(["sid"]), "shingle-facts")
+    rows = _prefixes(sets).select(F.explode("first").alias("shingle"), "sid")
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sid")
+    met = materialize(dealt.mapInArrow(_shared, "shingle BIGINT, sid BIGINT, before BIGINT, first BIGINT"), "shared-shingles")
+    # Of the sets before it and of the first ones, each set tries the one it meets most often.
+    tried = met.select(F.posexplode(F.array("before", "first")).alias("kind", "a"), F.col("sid").alias("b")).where("a <> b")
+    best = tried.groupBy("kind", "b", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "b").agg(F.max(F.struct("n", "a")).alias("m"))
+    chains = best.select("m.a", "b").distinct()
+    chained = _verified(chains, facts, sets, "chained")
+    roots = components(chained, "chains").withColumnRenamed("node", "sid")
+    rooted = met.select("shingle", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    every = Window.partitionBy("shingle")
+    apart = rooted.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low <> high")
+    apart = materialize(apart.select("shingle", "sid", "root").join(facts.drop("bits"), "sid"), "apart")
+    one, two = apart.alias("one"), apart.alias("two")
+    across = one.join(two, F.expr("one.shingle = two.shingle and one.sid < two.sid and one.root <> two.root") & _bound("one", "two"))
+    pairs = across.select(F.col("one.sid").alias("a"), F.col("two.sid").alias("b")).distinct()
+    links_ = chained.unionByName(_verified(pairs, facts, sets, "compared"))
+    roots = components(links_, "similar").withColumnRenamed("node", "sid")
+    return sets.select("doc_id", "sid").join(roots, "sid", "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one named by it, with its columns unchanged.
+    """One row of each component of ``similar_rows``: the one of the least id, with its columns unchanged.
 
     Rows without an id are all kept. Rows that share an id are taken as one document: it stays
     if any of them names a component, as the first by a hash of its text.
     """
-    classes = near_duplicates(docs, key, text).where("doc_id is not null")
+    rows = materialize(similar_rows(docs, key, text).where("doc_id is not null"), "similar-rows")
+    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = rows.join(named, "root")
     other = classes.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("other"))
     dropped = other.where("other").select(F.col("doc_id").alias("_id"))
     named = docs.join(dropped, docs[key].cast("bigint") == dropped["_id"], "left_anti")

@@ -81,3 +81,33 @@ def test_keep_one_keeps_columns_and_one_row_of_each(spark):
 
 def test_nothing(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_keep_one_links_all_pairs_of_similarity_four_fifths(spark):
+    rng = np.random.default_rng(8)
+    base = [[f"w{v}" for v in rng.integers(0, 400, rng.integers(3, 200))] for _ in range(40)]
+    texts = []
+    for words in base:
+        texts.append(words)
+        for edits in rng.integers(1, 9, 4):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = f"x{rng.integers(0, 1_000)}"
+            texts.append(copy)
+    passage = [f"p{i}" for i in range(60)]
+    texts += [passage + [f"q{i}-{k}" for k in range(30)] for i in range(30)] + [passage + [f"z{i}"] for i in range(30)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    expected = {find(i) for i in range(len(texts))}
+    docs = documents(spark, [(i, " ".join(t), *[None] * 6) for i, t in enumerate(texts)])
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected and len(expected) < len(texts) - 60
