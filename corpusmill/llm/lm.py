@@ -6,7 +6,7 @@ it is costs their share of the counts, so that every text has a proper probabili
 data-parallel: in each of a few rounds every task continues from the shared parameters over
 its share of the documents, reading each of them whole with the state carried along, and the
 results are averaged by tokens read. All training documents are used once, so the work and
-what is gathered grow with the corpus. The gradient counts the loss at every fourth token.
+what is gathered grow with the corpus. The gradient counts the loss at every token.
 
 Scoring reads each text once. Words of the count table's head, whose size is fixed, are looked
 up in memory; the rest are joined with the table as (document, word) rows. No word of that

@@ -15,7 +15,7 @@ import numpy as np
 
 LANES = 512
 STEPS = 32
-LOSS_EVERY = 4
+LOSS_EVERY = 1
 # Weights stay within this, so that no exponential overflows (state units lie in [-1, 1]).
 BOUND = 4.0
 
@@ -237,6 +237,14 @@ def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], optimizer: Ada
     p, state = shape.views(flat), None
     enough = len(laid.tokens) * STEPS // LOSS_EVERY // 2
     gathered, counted = np.zeros(shape.size, np.float32), 0
+
+    def move() -> None:
+        optimizer.move(flat, gathered / max(counted, enough))
+        for name in ("Wc", "Wo"):
+            np.clip(p[name], -BOUND, BOUND, out=p[name])
+        for name in ("bc", "bo"):
+            np.minimum(p[name], BOUND, out=p[name])
+
     for number, tokens, _, goes_on in laid.windows():
         active = tokens.shape[1]
         state = np.zeros((active, shape.hidden), np.float32) if state is None else state[:active]
@@ -244,14 +252,12 @@ def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], optimizer: Ada
         gathered += gradient
         counted += n
         if counted >= enough and counted:
-            gathered /= counted
-            optimizer.move(flat, gathered)
-            for name in ("Wc", "Wo"):
-                np.clip(p[name], -BOUND, BOUND, out=p[name])
-            for name in ("bc", "bo"):
-                np.minimum(p[name], BOUND, out=p[name])
+            move()
             gathered[:] = 0
             counted = 0
+    # The rest is learnt from too, by its share of a step's tokens.
+    if counted:
+        move()
     return int(sum(map(len, docs)))
 
 

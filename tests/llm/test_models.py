@@ -144,3 +144,14 @@ def test_scores_without_training_documents(spark):
     check_scores(spark, held, 10)
     nothing = documents(spark, [])
     assert lm.word_counts(nothing).count() == 0
+
+
+def test_every_token_is_learnt_from():
+    shape = Shape(4, 2, 3)
+    flat = shape.start(np.ones(6))
+    tokens = np.arange(12, dtype=np.int32).reshape(4, 3) % 6
+    assert window_gradient(shape, shape.views(flat), tokens, np.ones((4, 3), np.float32), np.zeros((3, 4), np.float32), 1)[1] == 12
+    # Fewer tokens than a step gathers.
+    moved = flat.copy()
+    train(shape, moved, [np.array([i % 6], np.int32) for i in range(20)], Adam(shape.size, 0.02))
+    assert (moved != flat).any()
