@@ -4,7 +4,7 @@ Prefix sums of turn tokens place each turn: the budget, less the system turn and
 allowance, is the stride, and a turn belongs to the window its first token falls in. A turn
 that runs over the end of its stride and would break the budget gets a window of its own.
 Every window starts with the conversation's leading system turn, then repeats as many whole
-earlier turns as the history allowance holds, then adds its own turns. Only assistant texts
+earlier turns as the history allowance and the rest of the budget hold, then adds its own turns. Only assistant texts
 among its own turns are under the loss mask, so each is a target once in all windows.
 
 The template writes ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a line
@@ -107,12 +107,15 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
         F.sort_array(F.collect_list(F.struct("place", "piece", "skip", "kept_chars", "role", "leads"))).alias("own"),
     )
     numbered_windows = grouped.withColumn("window", F.row_number().over(Window.partitionBy("conv_id").orderBy("span", "over")) - 1)
-    # History: turns [first - n_back, first) where they fit, cut from windows by equality on single places.
-    fits = F.col("fresh") + F.col("system_tokens") + history <= budget
-    wanted = F.when(fits & (F.col("first.n_back") > 0), F.sequence(F.col("first.place") - F.col("first.n_back"), F.col("first.place") - 1))
-    asked = numbered_windows.select(F.col("conv_id").alias("c"), "window", F.explode(wanted).alias("p"))
-    earlier = placed.where(~F.col("leads")).select("conv_id", "place", "piece")
-    met = asked.join(earlier, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("p") == F.col("place")))
+    # History: of the turns [first - n_back, first) those that fit what the window has left, met by equality on single places.
+    left = F.least(F.lit(history), F.lit(budget) - F.col("system_tokens") - F.col("fresh"))
+    wanted = F.when((left > 0) & (F.col("first.n_back") > 0), F.sequence(F.col("first.place") - F.col("first.n_back"), F.col("first.place") - 1))
+    asked = numbered_windows.select(
+        F.col("conv_id").alias("c"), "window", F.col("first.before").alias("at"), left.alias("left"), F.explode(wanted).alias("p")
+    )
+    earlier = placed.where(~F.col("leads")).select("conv_id", "place", "piece", "before")
+    fits = F.col("at") - F.col("before") <= F.col("left")
+    met = asked.join(earlier, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("p") == F.col("place")) & fits)
     repeated = met.groupBy("c", "window").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("history"))
     system = placed.where("leads").select(F.col("conv_id").alias("s"), F.col("piece").alias("system"))
     joined = (

@@ -45,3 +45,18 @@ def test_windows_give_back_every_turn_once(spark, budget, history):
 
 def test_no_turns(spark):
     assert chat.read_back(chat.windows(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_history_is_the_longest_suffix_that_fits(spark):
+    rng = random.Random(4)
+    sizes = [rng.randint(10, 120) for _ in range(300)]
+    rows = [(1, i, "user" if i % 2 else "assistant", " ".join(["w"] * (n - chat.TURN_TOKENS)), None, None) for i, n in enumerate(sizes)]
+    made = sorted(chat.windows(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: r.window)
+    at = 0
+    for r in made:
+        left, wanted = min(chat.HISTORY, chat.BUDGET - r.tokens), 0
+        while wanted < at and sum(sizes[at - wanted - 1 : at]) <= left:
+            wanted += 1
+        assert r.n_repeated == wanted
+        at += r.text.count("<|im_start|>") - r.n_repeated
+    assert at == len(sizes)
