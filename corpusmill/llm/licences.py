@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, all column functions on one row.
 
 A text is lower-cased, cut into sentences at ``. ! ? : ;`` before white space and at line
-breaks, and each sentence is reduced to letters and digits with single blanks. Sentences of
+breaks, once as it stands and once with wrapped lines joined, and each sentence is reduced to letters and digits with single blanks. Sentences of
 ``SENTENCES`` become identifiers, all others are dropped, and the row of identifiers is
 matched against ``RULES``: ordered identifiers that must follow each other with at most
 ``GAP`` other known sentences between. Looking sentences up is a test against a constant set,
@@ -59,29 +59,42 @@ SENTENCES = {
     "name-gpl2": "gpl 2 0 only",
     "name-gpl3": "gpl 3 0 only",
     "name-bsd3": "bsd 3 clause",
+    "name-isc": "isc",
+    "name-mpl2": "mpl 2 0",
+    "name-bsd2": "bsd 2 clause",
+    "name-gpl2-later": "gpl 2 0 or later",
+    "name-gpl3-later": "gpl 3 0 or later",
+    "name-unlicense": "unlicense",
+    "name-cc0": "cc0 1 0",
+    "name-cc-by-4": "cc by 4 0",
+    "name-cc-by-nc-3": "cc by nc 3 0",
+    "name-cc-by-nc-4": "cc by nc 4 0",
+    "name-cc-by-nc-sa-4": "cc by nc sa 4 0",
+    "name-cc-by-nd-4": "cc by nd 4 0",
+    "name-cc-by-sa-4": "cc by sa 4 0",
 }
 
 # Licence -> sequences of identifiers, any of which names it.
 RULES = {
     "Apache-2.0": (("grant-apache2",), ("grant-apache2-2",), ("apache2-compliance", "apache2-copy"), ("spdx", "name-apache2")),
-    "BSD-2-Clause": (("bsd-conditions", "bsd-source", "bsd-binary"),),
+    "BSD-2-Clause": (("bsd-conditions", "bsd-source", "bsd-binary"), ("spdx", "name-bsd2")),
     "BSD-3-Clause": (("bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"), ("spdx", "name-bsd3")),
-    "CC-BY-4.0": (("grant-cc-by-4",),),
-    "CC-BY-NC-3.0": (("grant-cc-by-nc-3",),),
-    "CC-BY-NC-4.0": (("grant-cc-by-nc-4",),),
-    "CC-BY-NC-SA-4.0": (("grant-cc-by-nc-sa-4",),),
-    "CC-BY-ND-4.0": (("grant-cc-by-nd-4",),),
-    "CC-BY-SA-4.0": (("grant-cc-by-sa-4",),),
-    "CC0-1.0": (("grant-cc0",),),
+    "CC-BY-4.0": (("grant-cc-by-4",), ("spdx", "name-cc-by-4")),
+    "CC-BY-NC-3.0": (("grant-cc-by-nc-3",), ("spdx", "name-cc-by-nc-3")),
+    "CC-BY-NC-4.0": (("grant-cc-by-nc-4",), ("spdx", "name-cc-by-nc-4")),
+    "CC-BY-NC-SA-4.0": (("grant-cc-by-nc-sa-4",), ("spdx", "name-cc-by-nc-sa-4")),
+    "CC-BY-ND-4.0": (("grant-cc-by-nd-4",), ("spdx", "name-cc-by-nd-4")),
+    "CC-BY-SA-4.0": (("grant-cc-by-sa-4",), ("spdx", "name-cc-by-sa-4")),
+    "CC0-1.0": (("grant-cc0",), ("spdx", "name-cc0")),
     "GPL-2.0-only": (("grant-gpl2",), ("spdx", "name-gpl2")),
-    "GPL-2.0-or-later": (("gpl-free", "gpl2-later"),),
+    "GPL-2.0-or-later": (("gpl-free", "gpl2-later"), ("spdx", "name-gpl2-later")),
     "GPL-3.0-only": (("grant-gpl3",), ("spdx", "name-gpl3")),
-    "GPL-3.0-or-later": (("gpl-free", "gpl3-later"),),
-    "ISC": (("isc-permission",),),
+    "GPL-3.0-or-later": (("gpl-free", "gpl3-later"), ("spdx", "name-gpl3-later")),
+    "ISC": (("isc-permission",), ("spdx", "name-isc")),
     "MIT": (("grant-mit",), ("grant-mit-2",), ("grant-mit-3",), ("mit-permission", "mit-notice"), ("spdx", "name-mit")),
-    "MPL-2.0": (("mpl2-subject",),),
+    "MPL-2.0": (("mpl2-subject",), ("spdx", "name-mpl2")),
     "Proprietary": (("reserved",),),
-    "Unlicense": (("unlicense-public",),),
+    "Unlicense": (("unlicense-public",), ("spdx", "name-unlicense")),
 }
 
 
@@ -98,12 +111,26 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(plain, "\n"), lambda s: F.btrim(s))
 
 
+def unwrapped(text: Column) -> Column:
+    """Text whose single line breaks, with comment signs, are blanks; blank lines stay breaks."""
+    sign = r"(?://+|/?\*+/?|#+|;+|--+|%+|<!--|-->)?"
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), rf"(?m)^[ \t]*{sign}[ \t]*", "")
+    # A version after an abbreviation goes on with the sentence.
+    return F.regexp_replace(F.regexp_replace(bare, r"(?<!\n)\n(?!\n)", " "), r"(?i)\bv\.\s+(?=[0-9])", "v ")
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_known, sentence_ids, licences): identifiers and licences joined by commas."""
     table = F.create_map(*[F.lit(v) for v in chain.from_iterable((s, i) for i, s in SENTENCES.items())])
-    known = F.filter(sentences(F.col(text)), lambda s: s.isin(list(SENTENCES.values())))
-    rows = docs.select(F.col(key).alias("doc_id"), F.transform(known, lambda s: F.element_at(table, s)).alias("ids"))
-    spaced = rows.withColumn("row", F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")))
+
+    def known(body: Column) -> Column:
+        return F.transform(F.filter(sentences(body), lambda s: s.isin(list(SENTENCES.values()))), lambda s: F.element_at(table, s))
+
+    rows = docs.select(F.col(key).alias("doc_id"), known(F.col(text)).alias("by_line"), known(unwrapped(F.col(text))).alias("joined"))
+    # The cut that knows more sentences is named; licences are those of both, which a sign between keeps apart.
+    rows = rows.withColumn("ids", F.when(F.size("joined") > F.size("by_line"), F.col("joined")).otherwise(F.col("by_line")))
+    both = [F.array_join("by_line", " "), F.array_join("joined", " ")]
+    spaced = rows.withColumn("row", F.concat(F.lit(" "), both[0], F.lit(" | "), both[1], F.lit(" ")))
     named = [
         F.when(F.col("row").rlike("|".join(rule_pattern(s) for s in ways)), F.lit(name)) for name, ways in RULES.items()
     ]

@@ -1,5 +1,6 @@
 """Quality rules, licences and decontamination against plain Python."""
 
+import textwrap
 from collections import Counter
 
 import pytest
@@ -111,3 +112,16 @@ def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id BIGINT, text STRING")
     assert decontam.contamination(documents(spark), none).where("contaminated").count() == 0
     assert decontam.contamination(documents(spark, []), none).count() == 0
+
+
+@pytest.mark.parametrize("sign", ["", " * ", "// ", "# "])
+def test_wrapped_licences(spark, sign):
+    bodies = {"ISC": licences.SENTENCES["isc-permission"], "MIT": licences.SENTENCES["mit-permission"] + ". " + licences.SENTENCES["mit-notice"]}
+    bodies["MPL-2.0"] = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    rows = []
+    for i, body in enumerate(bodies.values()):
+        lines = textwrap.wrap(body, 70)
+        rows.append((i, "\n".join(sign + line for line in ["Copyright 2020 A", "", *lines]), *[None] * 6))
+    rows += [(9, "SPDX-License-Identifier: BSD-2-Clause\ncode", *[None] * 6)]
+    got = {r.doc_id: r.licences for r in licences.scan(documents(spark, rows)).collect()}
+    assert got == {**dict(enumerate(bodies)), 9: "BSD-2-Clause"}
