@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import licences, quality
+from corpusmill.llm import licences, linededup, quality
 
 
 def _list(items) -> str:
@@ -72,8 +72,19 @@ select doc_id, len(ids) n_known, array_to_string(ids, ',') sentence_ids,
   array_to_string(list_filter([{named}], lambda x: x is not null), ',') licences from l_all"""
 
 
+LINES_SQL = f"""with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select r, doc_id, unnest(ls) line, unnest(range(len(ls))) pos from d),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '{linededup.UPPER}', '{linededup.LOWER}') key from l),
+s as (select key, max(doc_id) top from k where length(key) >= {linededup.MIN_POINTS} group by key
+  having count(distinct doc_id) + max(case when doc_id is null then 1 else 0 end) >= {linededup.MIN_DOCUMENTS}),
+j as (select r, doc_id, line, pos, s.key is not null and doc_id is distinct from top gone from k left join s using (key))
+select any_value(doc_id) doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from j group by r"""
+
+
 def oracles() -> dict[str, str]:
     return {
+        "op13_line_bitmaps": LINES_SQL,
         "op3_sentence_licences": _licence_sql(),
         "op4_arc_to_warc": """with p as (select page_id, encode(coalesce(html, '')) b, row_number() over () r from pages),
 d as (select page_id, octet_length(b)::bigint payload_bytes, sha1(b) payload_digest, r from p),

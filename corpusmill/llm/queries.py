@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontam, licences, lm, packing, quality, simhash, tokens, toxicity, warc
+from corpusmill.llm import chat, decontam, licences, linededup, lm, packing, quality, simhash, tokens, toxicity, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path, materialize
 
@@ -111,3 +111,8 @@ def op10_quality_rules(spark, sf):
         quality.base_failed(row).alias("base_failed"),
         F.col("_kept").alias("kept"),
     )
+
+
+@query
+def op13_line_bitmaps(spark, sf):
+    return linededup.digest(_table(spark, sf, "documents"))
