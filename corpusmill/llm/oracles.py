@@ -82,8 +82,62 @@ select any_value(doc_id) doc_id, count(*) n_lines, count(*) filter (gone) n_drop
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from j group by r"""
 
 
+def _repair_sql() -> str:
+    """The same edits by a recursive query that carries whole audits and texts per state and turn."""
+
+    def way(state: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}}"
+
+    def least(*ways: str) -> str:
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def used(state: str, initial: str, name: str) -> str:
+        """The row takes the place of ``initial`` after ``state``."""
+        kept = way(state, "cut", "K", "chr(10) || role || ':' || text")
+        changed = way(state, "2 + cut", "R", f"chr(10) || '{name}:' || text")
+        return f"case when not free then no when ini = '{initial}' then {kept} else {changed} end"
+
+    def inserted(state: str, name: str) -> str:
+        return way(state, "2", "I", f"chr(10) || '{name}:'")
+
+    start = "{'c': 0::bigint, 'a': '', 't': ''}"
+    none = "{'c': 1000000000000::bigint, 'a': '', 't': ''}"
+    system = f"case when free and ini = 's' then {way('b', 'cut', 'K', "chr(10) || role || ':' || text")} else no end"
+    return f"""with recursive t as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+  coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations),
+w as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ord(c)::bigint)),
+  lambda h, x: list_reduce(list_prepend(xor(h, x), range(8)), lambda r, i: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)),
+  4294967295::bigint) % 20 way from t),
+d as (select conv_id, turn, case when way = 4 then 'user' else role end as role,
+  case way when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(case when way = 3 then [1, 2] else [1] end) from w where way <> 0),
+o as (select *, left(role, 1) ini, row_number() over (partition by conv_id order by turn nulls first, role, text) pos from d),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by conv_id, role, text order by pos) > 1 then 2
+  when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 3 else 0 end fault,
+  lag(ini) over (partition by conv_id order by pos) || ini pair from o),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 1) blank,
+  count(*) filter (fault = 2) duplicate, count(*) filter (fault = 3) truncated,
+  count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) illegal, max(pos) last from f group by conv_id),
+v(conv_id, pos, b, s, u, a) as (
+  select conv_id, 0::bigint, {start}, {none}, {inserted("q", "user").replace("q.c", "0").replace("q.a", "''").replace("q.t", "''")},
+    {{'c': 4::bigint, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} from n
+  union all
+  select conv_id, pos, b, s, u, {least("a", inserted("u", "assistant"))} from (
+    select conv_id, pos, b, s, {least("u", inserted("b", "user"), inserted("s", "user"), inserted("a", "user"))} u, a from (
+      select conv_id, pos, {way("b", "3", "D")} b, {least(way("s", "3", "D"), system)} s,
+        {least(way("u", "3", "D"), used("b", "u", "user"), used("s", "u", "user"), used("a", "u", "user"))} u,
+        {least(way("a", "3", "D"), used("u", "a", "assistant"))} a
+      from (select f.*, b, s, u, a, fault not in (1, 2) free, (fault = 3)::bigint cut, {none} no
+        from v join f on f.conv_id is not distinct from v.conv_id and f.pos = v.pos + 1))) ),
+e as (select n.*, {least("b", "a")} best from v join n on n.conv_id is not distinct from v.conv_id and v.pos = n.last)
+select i.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(substr(best.t, 2), '')) repaired_sha256
+from (select distinct conv_id from conversations) i left join e on i.conv_id is not distinct from e.conv_id"""
+
+
 def oracles() -> dict[str, str]:
     return {
+        "op11_survivor_repair": _repair_sql(),
         "op13_line_bitmaps": LINES_SQL,
         "op3_sentence_licences": _licence_sql(),
         "op4_arc_to_warc": """with p as (select page_id, encode(coalesce(html, '')) b, row_number() over () r from pages),
