@@ -135,8 +135,21 @@ select i.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(dup
 from (select distinct conv_id from conversations) i left join e on i.conv_id is not distinct from e.conv_id"""
 
 
+NEGATIVES_SQL = """with e as (select row_number() over () r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l,
+  list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings where vec_id is not null and label is not null
+  and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+a as (select min(r) r, vec_id, l, v from e where vec_id % 100 = 0 group by vec_id, l, v),
+s as (select a.r, a.vec_id anchor_id, e.r place, e.vec_id id, a.l = e.l same,
+  coalesce(list_sum(list_transform(range(1, least(len(a.v), len(e.v)) + 1), lambda i: a.v[i] * e.v[i])), 0)::bigint score from a join e on a.vec_id <> e.vec_id),
+p as (select * from s where same qualify row_number() over (partition by r order by score desc, id) <= 5),
+n as (select p.anchor_id, p.id positive_id, row_number() over (partition by p.r, p.place order by s.score desc, s.id)::int as rank, s.id negative_id,
+  p.score positive_score, s.score negative_score from p join s on s.r = p.r and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select * from n where rank <= 5"""
+
+
 def oracles() -> dict[str, str]:
     return {
+        "op12_rtree_negatives": NEGATIVES_SQL,
         "op11_survivor_repair": _repair_sql(),
         "op13_line_bitmaps": LINES_SQL,
         "op3_sentence_licences": _licence_sql(),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontam, licences, linededup, lm, packing, quality, repair, simhash, tokens, toxicity, warc
+from corpusmill.llm import chat, decontam, licences, linededup, lm, negatives, packing, quality, repair, simhash, tokens, toxicity, warc
 from corpusmill.llm.bpe import default_path
 from corpusmill.session import fresh_path, materialize
 
@@ -118,6 +118,11 @@ def op11_survivor_repair(spark, sf):
     return repair.audit(_table(spark, sf, "conversations"))
 
 
+@query
+def op12_rtree_negatives(spark, sf):
+    return negatives.mine(_table(spark, sf, "embeddings"))
+
+
 @query
 def op13_line_bitmaps(spark, sf):
     return linededup.digest(_table(spark, sf, "documents"))
