@@ -127,7 +127,7 @@ def apply_maps(docs: DataFrame, maps: DataFrame, name: str = "kept") -> DataFram
     n_kept = F.aggregate("keep", F.lit(0), lambda total, run: total + run["count"])
     whole = F.when(n_kept == F.col("n_lines"), text).otherwise(F.array_join(kept_lines, "\n"))
     result = F.struct(F.col("n_lines").cast("bigint").alias("n_lines"), (F.col("n_lines") - n_kept).cast("bigint").alias("n_dropped"), whole.alias("text"))
-    return joined.select("row.*", result.alias(name))
+    return joined.select("row", result.alias("kept")).select("row.*", F.col("kept").alias(name))
 
 
 def digest(docs: DataFrame) -> DataFrame:
