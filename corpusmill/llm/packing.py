@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import ID_TYPE, Encoder
-from corpusmill.llm.tokens import checksums, id_lists, slices
+from corpusmill.llm.tokens import checksums, id_lists, text_slices
 from corpusmill.session import fresh_path
 
 CAPACITY = 4_096
@@ -97,11 +97,13 @@ def fill(tokenizer: str, end_id: int | None, capacity: int, tolerance: float):
         width = ID_TYPE.itemsize
         full = rule.counts
         open_bins: dict[int, list] = {}
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             done: list[tuple] = []
-            encoded = encoder.encode(batch.column("text").to_pylist(), end_id)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                total, start = len(ids) // width, 0
+            offsets, values = encoder.encode_column(batch.column("text"), end_id)
+            encoded, at_byte = values.tobytes(), offsets * ID_TYPE.itemsize
+            for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), at_byte[:-1].tolist(), at_byte[1:].tolist()):
+                ids = encoded[first:last]
+                total, start = (last - first) // width, 0
                 for length, at in rule.cuts(total):
                     held = open_bins.setdefault(at, [0, 0, []])  # ids so far, bin, pieces
                     if not held[2]:

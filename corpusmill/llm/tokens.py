@@ -23,14 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.wordtable import ends_of
 from corpusmill.llm.bpe import ID_TYPE, Encoder
 
 SCHEMA = "part INT, doc_id BIGINT, part_start BIGINT, n_tokens BIGINT, ids ARRAY<INT>"
 ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 3 << 20
 ENCODINGS = ("dictionary", "delta")
 
 
@@ -41,12 +44,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+        # What the slices took goes back, or a worker keeps the most it ever held.
+        pa.default_memory_pool().release_unused()
+
+
 def id_lists(encoded: list[bytes]) -> pa.ListArray:
     """Little-endian 32-bit ids as an Arrow list column."""
     lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // ID_TYPE.itemsize
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    values = pa.array(np.frombuffer(b"".join(encoded), ID_TYPE).astype(np.int32))
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+    return list_column(ends_of(lengths), np.frombuffer(b"".join(encoded), ID_TYPE))
+
+
+def list_column(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def encoded_rows(tokenizer: str, end_id: int | None):
@@ -54,18 +72,16 @@ def encoded_rows(tokenizer: str, end_id: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = Encoder.of(tokenizer), 0, TaskContext.get().partitionId()
-        for batch in slices(batches):
-            encoded = encoder.encode(batch.column("text").to_pylist(), end_id)
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // ID_TYPE.itemsize
-            before = start + np.cumsum(lengths) - lengths
-            start += int(lengths.sum())
+        for batch in text_slices(batches):
+            offsets, values = encoder.encode_column(batch.column("text"), end_id)
             columns = [
-                pa.array(np.full(len(encoded), part, np.int32)),
+                pa.array(np.full(batch.num_rows, part, np.int32)),
                 batch.column("doc_id"),
-                pa.array(before),
-                pa.array(lengths),
-                id_lists(encoded),
+                pa.array(start + offsets[:-1]),
+                pa.array(np.diff(offsets)),
+                list_column(offsets, values),
             ]
+            start += int(offsets[-1])
             yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "part_start", "n_tokens", "ids"])
 
     return run
