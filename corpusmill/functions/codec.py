@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusmill.constants import BOS_ID, EOS_ID, FIRST_BYTE_ID, PAD_ID, SPACE_MARK, UNK_ID
 from corpusmill.functions.text import normalize_line
+from corpusmill.functions.wordtable import WordTable, distinct_words, ends_of, gather_lists
 from corpusmill.sources.vocabulary import Pieces
 
 MEMO_WORDS = 1 << 18
+ROWS_AT_ONCE = 2_048
 SHORT_WORD = 256
 
 # Fixed value: how an unknown id reads after decoding.
@@ -80,34 +84,59 @@ def merge_word(word: str, ids: dict[str, int], merge_limit: int) -> list[int]:
     return result
 
 
+def _one_line_each(texts: pa.Array) -> pa.Array:
+    """Normalized lines; printable ASCII is normal but for its spaces, which the split drops."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.invert(pc.match_substring_regex(texts, "^[ -~]*$"))
+    if not pc.any(odd).as_py():
+        return texts
+    normal = [normalize_line(t) for t in texts.filter(odd).to_pylist()]
+    return pc.replace_with_mask(texts, odd, pa.array(normal, texts.type))
+
+
+class WordEncoder:
+    """Ids of text batches: each distinct word is merged once and gathered from one table."""
+
+    def __init__(self, pieces: tuple[str, ...], kinds: tuple[str, ...]):
+        self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k in ("merge", "char")}
+        self.merge_limit = next((i for i, k in enumerate(kinds) if k == "char"), len(pieces))
+        self.table = WordTable(pa.string(), np.dtype(np.int32))
+
+    def _learn(self, words: pa.Array) -> None:
+        ids = [merge_word(SPACE_MARK + w, self.ids, self.merge_limit) if w else [] for w in words.to_pylist()]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.table.add(words, ends_of(lengths), np.fromiter(chain.from_iterable(ids), np.int32))
+
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        split = pc.split_pattern(_one_line_each(texts.cast(pa.string())), " ")
+        distinct, codes = distinct_words(split)
+        at = self.table.find(distinct)
+        new = np.flatnonzero(at < 0)
+        if len(self.table) + len(new) > MEMO_WORDS:
+            used = np.flatnonzero(at >= 0)
+            self.table.keep(at[used])
+            at[used] = np.arange(len(used))
+        at[new] = len(self.table) + np.arange(len(new))
+        self._learn(distinct.take(pa.array(new)))
+        offsets, values = gather_lists(split, at, codes, self.table)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
 def encode(text: Column, vocab: Pieces, add_bos: bool = False, add_eos: bool = False) -> Column:
     """``ARRAY<INT>`` of token ids; '' gives no ids besides the requested markers.
 
-    Text is normalized and cut at spaces, which no merge crosses, so each distinct word is
-    merged once per task and then looked up.
+    Text is normalized and cut at spaces, which no merge crosses. A batch is split and
+    dictionary-encoded as a whole, so each distinct word is looked up once per batch and merged
+    once per task.
     """
     pieces, kinds = vocab.pieces, vocab.kinds
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k in ("merge", "char")}
-        merge_limit = next((i for i, k in enumerate(kinds) if k == "char"), len(pieces))
-        memo: dict[str, list[int]] = {}
+        encoder = WordEncoder(pieces, kinds)
         for texts in batches:
-            flat, ends = array("i"), array("i", [0])
-            for text in texts.to_pylist():
-                for word in normalize_line(text or "").split(" "):
-                    if not word:
-                        continue
-                    known = memo.get(word)
-                    if known is None:
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        known = memo[word] = merge_word(SPACE_MARK + word, ids, merge_limit)
-                    flat.extend(known)
-                ends.append(len(flat))
-            offsets = pa.array(ends, pa.int32())
-            yield pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+            parts = [encoder.lists(texts.slice(at, ROWS_AT_ONCE)) for at in range(0, len(texts), ROWS_AT_ONCE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     encoded = encode_batches(text)
     if not (add_bos or add_eos):
