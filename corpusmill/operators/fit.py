@@ -1,12 +1,19 @@
 """Fitting a byte-pair vocabulary with Spark jobs.
 
-The word histogram is the only large table. Each round counts adjacent symbol pairs over
-it, takes the best-ranked pairs to the driver and applies several merges at once, chosen so
-that the outcome equals merging one pair at a time.
+The word histogram is the only large table. Pair counts are kept from round to round: a round
+takes the best-ranked pairs to the driver, chooses several merges whose outcome equals merging
+one pair at a time, and finds the stretches that hold a merged pair. Only those are counted,
+before and after the merges, and the difference is added to the counts.
+
+A stretch of text is a string with one character per symbol. A merged piece gets a character of
+its own from the private planes, so a pair is a string of two characters and a merge a replace.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +32,13 @@ from corpusmill.operators.order import hash_sample
 from corpusmill.session import materialize
 from corpusmill.sources import vocabulary
 
-# Words are kept as text: each symbol stands between these two marks, so applying a merge is
-# a plain replace. Control characters cannot occur in normalized text.
-OPEN, CLOSE, FOREIGN, NEXT = "\x02", "\x03", "\x04", "\x05"
+# Control characters cannot occur in normalized text.
+FOREIGN, NEXT, NEVER = "\x04", "\x05", "\x06\x06"
 RANKED_PAIRS = 1_000
-PENDING_MERGES = 20
-ROWS_PER_TASK = 5_000
+ROUNDS_PENDING, MERGES_PENDING, STEP = 4, 48, 8
+STRETCHES_PER_TASK = 40_000
+# The first character that can stand for a merged piece.
+FIRST_SIGN = 0xF0000
 
 # Unicode scripts that a piece must not mix. Han takes in the Japanese kana.
 SCRIPTS = (
@@ -114,7 +122,7 @@ def _run_pattern() -> str:
 
 
 def as_symbols(words: DataFrame, letters: list[str]) -> DataFrame:
-    """Marked symbol text of the stretches within which merging can happen.
+    """The stretches within which merging can happen, with one character per symbol.
 
     A piece never mixes scripts nor holds characters outside the alphabet, so words are cut
     there once. The stretches are fewer and shorter than the words.
@@ -125,26 +133,63 @@ def as_symbols(words: DataFrame, letters: list[str]) -> DataFrame:
     native = F.explode(F.split(F.regexp_replace(marked, f"[^{inside}]+", FOREIGN), FOREIGN))
     native_words = words.select(native.alias("word"), "freq")
     runs = F.explode(F.regexp_extract_all("word", F.lit(_run_pattern()), F.lit(0)))
-    counted = native_words.select(runs.alias("run"), "freq").where(F.char_length("run") > 1).groupBy("run")
-    symbols = F.regexp_replace("run", "(?s)(.)", f"{OPEN}$1{CLOSE}")
-    return counted.agg(F.sum("freq").alias("freq")).select(symbols.alias("symbols"), "freq")
+    counted = native_words.select(runs.alias("symbols"), "freq").where(F.char_length("symbols") > 1)
+    return counted.groupBy("symbols").agg(F.sum("freq").alias("freq"))
+
+
+def _pairs(text: Column) -> Column:
+    """All neighbouring symbols of a stretch; none for a whole one."""
+    starts = F.when(F.char_length(text) > 1, F.sequence(F.lit(1), F.char_length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.substring(text, at, F.lit(2)))
+
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """(pair, freq): neighbouring symbols with the summed frequency of the stretches they occur in."""
+    return words.select(F.explode(_pairs(F.col("symbols"))).alias("pair"), "freq").groupBy("pair").agg(F.sum("freq").alias("freq"))
 
 
 def symbol_pairs(words: DataFrame) -> DataFrame:
     """Adjacent symbols with the summed frequency of the words they occur in."""
-    inner = F.substring(F.col("symbols"), F.lit(2), F.length("symbols") - 2)
-    parts = words.where(F.contains("symbols", F.lit(CLOSE + OPEN))).select(
-        F.split(inner, CLOSE + OPEN).alias("p"), "freq"
+    return pair_counts(words).select(
+        F.substring("pair", 1, 1).alias("l"), F.substring("pair", 2, 1).alias("r"), "freq"
     )
-    count = F.size("p") - 1
-    zipped = F.arrays_zip(F.slice("p", F.lit(1), count).alias("l"), F.slice("p", F.lit(2), count).alias("r"))
-    pairs = parts.select(F.explode(zipped).alias("pair"), "freq")
-    return pairs.groupBy(F.col("pair.l").alias("l"), F.col("pair.r").alias("r")).agg(F.sum("freq").alias("freq"))
 
 
-def ranked_pairs(words: DataFrame, limit: int = RANKED_PAIRS) -> list:
+class Signs:
+    """The characters that stand for merged pieces, and the piece of each."""
+
+    def __init__(self, taken: set[str] = frozenset()):
+        self.taken, self.pieces = taken, []
+
+    @classmethod
+    def beside(cls, words: DataFrame) -> Signs:
+        """Signs that no stretch holds as a letter; private characters of a corpus are few."""
+        private = words.where(F.col("symbols").rlike(r"[\x{F0000}-\x{10FFFF}]"))
+        chars = private.select(F.explode(F.split("symbols", "")).alias("char")).where(F.ascii("char") >= FIRST_SIGN)
+        return cls({r.char for r in chars.distinct().collect()})
+
+    def add(self, piece: str) -> str:
+        while (sign := chr(FIRST_SIGN + len(self.pieces))) in self.taken:
+            self.pieces.append(sign)
+        self.pieces.append(piece)
+        return sign
+
+    def text(self, symbol: Column) -> Column:
+        """The piece a symbol stands for."""
+        if not self.pieces:
+            return symbol
+        # Constant folding turns the text into one literal array.
+        named = F.get(F.split(F.lit(NEXT.join(self.pieces)), NEXT), F.ascii(symbol) - FIRST_SIGN)
+        return F.when(F.ascii(symbol) >= FIRST_SIGN, named).otherwise(symbol)
+
+    def named(self, counts: DataFrame) -> DataFrame:
+        """``counts`` with the pieces of each pair."""
+        left, right = (self.text(F.substring("pair", at, 1)) for at in (1, 2))
+        return counts.select("pair", "freq", left.alias("l"), right.alias("r"), F.concat(left, right).alias("piece"))
+
+
+def ranked_pairs(pairs: DataFrame, limit: int = RANKED_PAIRS) -> list:
     """The best pairs: most frequent, then shortest, then first in code-point order."""
-    pairs = symbol_pairs(words).withColumn("piece", F.concat("l", "r"))
     # Naming freq keeps the test above the aggregation, on distinct pairs.
     short = F.when(F.col("freq") > 0, F.char_length("piece") <= MAX_PIECE_CHARS)
     order = [F.desc("freq"), F.char_length("piece"), F.col("piece"), F.col("l")]
@@ -178,28 +223,90 @@ def independent_merges(ranked: list, learned: set[str], limit: int = RANKED_PAIR
     return final or chosen[:1]
 
 
-def _literal_steps(merges: list) -> Column:
-    """Merges as one literal array of replacements; constant folding builds it once."""
-    apart = NEXT.join(f"{OPEN}{m.l}{CLOSE}{OPEN}{m.r}{CLOSE}" for m in merges)
-    whole = NEXT.join(f"{OPEN}{m.piece}{CLOSE}" for m in merges)
-    return F.arrays_zip(F.split(F.lit(apart), NEXT).alias("apart"), F.split(F.lit(whole), NEXT).alias("joined"))
+class Merge(NamedTuple):
+    """Both symbols of ``pair`` become ``sign``, which stands for ``piece``."""
 
+    pair: str
+    sign: str
+    piece: str
 
-def apply_merges(words: DataFrame, merges: list) -> DataFrame:
-    """Join pairs left to right, in learned order.
 
-    The merges are folded over the text, so the generated code is the same in every round
-    and is compiled once.
-    """
-    if not merges:
-        return words
-    joined = F.aggregate(
-        _literal_steps(merges), F.col("symbols"), lambda text, m: F.replace(text, m["apart"], m["joined"])
-    )
-    return words.withColumn("symbols", joined)
+def _literals(texts: list[str]) -> Column:
+    """One literal array; constant folding builds it once, and the code is the same for any number."""
+    return F.split(F.lit(NEXT.join(texts)), NEXT) if texts else F.array().cast("array<string>")
+
+
+def _padded(items: list, filler: object) -> list:
+    """Filled up to a multiple of ``STEP``, so that the generated code of many rounds is the same."""
+    return [*items, *[filler] * (-len(items) % STEP)]
+
+
+def apply_merges(text: Column, merges: list[Merge]) -> Column:
+    """Join pairs left to right, in learned order."""
+    for m in _padded(merges, Merge(NEVER, NEVER, NEVER)):
+        text = F.replace(text, F.lit(m.pair), F.lit(m.sign))
+    return text
 
 
-def passing_pieces(words: DataFrame, merges: list, learned: set[str], count: int) -> list[str]:
+def holds_any(text: Column, pairs: list[str]) -> Column:
+    """Whether a stretch holds any of the pairs."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in _padded(pairs, NEVER)])
+
+
+class PairState:
+    """Stretches and pair counts as of ``base`` merges, and the merges learned since.
+
+    A round counts only the stretches that hold a pair merged since, before and after, and adds
+    the difference to the kept counts. The stretches themselves are only searched for those
+    pairs, a scan of short strings without a shuffle. Both tables are written anew after a few
+    rounds, the counts from the kept ones and the difference, never from all stretches.
+    """
+
+    def __init__(self, words: DataFrame, signs: Signs):
+        self.merges: list[Merge] = []
+        self.base = self.rounds = 0
+        self.signs = signs
+        self.words = words
+        self.counts = materialize(pair_counts(words), "pair-counts")
+
+    def changed(self) -> DataFrame:
+        """(symbols, freq) as of ``base`` of the stretches that a pending merge changes."""
+        new = {m.sign for m in self.merges[self.base :]}
+        pairs = [m.pair for m in self.merges[self.base :] if not new.intersection(m.pair)]
+        return self.words.where(holds_any(F.col("symbols"), pairs))
+
+    def pairs(self) -> DataFrame:
+        """(pair, freq) after all merges: the kept counts and what the pending merges changed."""
+        pending = self.merges[self.base :]
+        if not pending:
+            return self.counts
+        before, freq = F.col("symbols"), F.col("freq")
+        gone = F.transform(_pairs(before), lambda p: F.struct(p.alias("pair"), (-freq).alias("freq")))
+        come = F.transform(_pairs(F.col("after")), lambda p: F.struct(p.alias("pair"), freq.alias("freq")))
+        moved = self.changed().withColumn("after", apply_merges(before, pending))
+        delta = moved.select(F.inline(F.concat(gone, come)))
+        total = self.counts.unionByName(delta).groupBy("pair").agg(F.sum("freq").alias("freq"))
+        return total.where(F.col("freq") > 0)
+
+    def best(self, learned: set[str], limit: int) -> list:
+        return best_merges(self.signs.named(self.pairs()), learned, limit)
+
+    def add(self, ranked: list) -> None:
+        self.merges += [Merge(p.pair, self.signs.add(p.piece), p.piece) for p in ranked]
+        self.rounds += 1
+        if self.rounds >= ROUNDS_PENDING or len(self.merges) - self.base >= MERGES_PENDING:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Make the pending merges part of both tables."""
+        self.counts = materialize(self.pairs(), "pair-counts")
+        merged = apply_merges(F.col("symbols"), self.merges[self.base :])
+        left = self.words.select(merged.alias("symbols"), "freq").where(F.char_length("symbols") > 1)
+        self.words = materialize(left, "stretches")
+        self.base, self.rounds = len(self.merges), 0
+
+
+def passing_pieces(words: DataFrame, merges: list[Merge], signs: Signs, learned: set[str], count: int) -> list[str]:
     """Pieces of pairs that stood side by side at some time but were never merged.
 
     Once no pair is left, greedy merging goes on with pairs of frequency zero, shortest
@@ -207,66 +314,55 @@ def passing_pieces(words: DataFrame, merges: list, learned: set[str], count: int
     only for texts too small for the wanted vocabulary.
     """
 
-    def pairs_in(text: Column) -> Column:
-        parts = F.split(F.substring(text, F.lit(2), F.length(text) - 2), CLOSE + OPEN)
-        inner = F.size(parts) - 1
-        return F.zip_with(F.slice(parts, F.lit(1), inner), F.slice(parts, F.lit(2), inner), lambda l, r: F.concat(l, r))
-
     def replay(state: Column, m: Column) -> Column:
-        text = F.replace(state["text"], m["apart"], m["joined"])
-        seen = F.when(text == state["text"], state["seen"]).otherwise(
-            F.array_union(state["seen"], F.when(F.contains(text, F.lit(CLOSE + OPEN)), pairs_in(text)).otherwise(F.array()))
-        )
+        text = F.replace(state["text"], m["pair"], m["sign"])
+        seen = F.when(text == state["text"], state["seen"]).otherwise(F.array_union(state["seen"], _pairs(text)))
         return F.struct(text.alias("text"), seen.alias("seen"))
 
-    start = F.struct(F.col("symbols").alias("text"), pairs_in(F.col("symbols")).alias("seen"))
-    seen = F.aggregate(_literal_steps(merges), start, replay)["seen"] if merges else start["seen"]
-    pieces = words.select(F.explode(seen).alias("piece")).distinct()
+    start = F.struct(F.col("symbols").alias("text"), _pairs(F.col("symbols")).alias("seen"))
+    steps = F.arrays_zip(_literals([m.pair for m in merges]).alias("pair"), _literals([m.sign for m in merges]).alias("sign"))
+    seen = F.aggregate(steps, start, replay)["seen"] if merges else start["seen"]
+    pairs = words.select(F.explode(seen).alias("pair")).distinct().withColumn("freq", F.lit(0))
+    pieces = signs.named(pairs).select("piece").distinct()
     fitting = pieces.where(F.char_length("piece") <= MAX_PIECE_CHARS)
     best = fitting.orderBy(F.char_length("piece"), "piece").limit(len(learned) + count).collect()
     return [r.piece for r in best if r.piece not in learned][:count]
 
 
-def _still_open(words: DataFrame) -> DataFrame:
-    """Stretches that can still merge; whole ones are left out."""
-    return words.where(F.contains("symbols", F.lit(CLOSE + OPEN)))
-
-
-def _store(words: DataFrame) -> DataFrame:
-    """Write the stretches in as many parts as their number deserves."""
-    parallel = words.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(parallel, words.count() // ROWS_PER_TASK))
-    return materialize(words.repartition(tasks), "symbols")
-
-
-def best_merges(words: DataFrame, learned: set[str], limit: int) -> list:
+def best_merges(pairs: DataFrame, learned: set[str], limit: int) -> list:
     """The next safe merges; the ranking is read deeper while it shows nothing but repeats."""
     while True:
-        ranked = ranked_pairs(words, limit)
+        ranked = ranked_pairs(pairs, limit)
         fresh = independent_merges(ranked, learned, limit) if ranked else []
         if fresh or len(ranked) < limit:
             return fresh
         limit *= 4
 
 
+def _store(words: DataFrame) -> DataFrame:
+    """Write the stretches in as many parts as their number deserves."""
+    written = materialize(words, "stretches")
+    parallel = words.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, written.count() // STRETCHES_PER_TASK)
+    # Every round reads the parts. A large input keeps those it came in.
+    return materialize(written.repartition(tasks), "stretches") if tasks <= parallel else written
+
+
 def learn_merges(words: DataFrame, count: int, ranked: int = RANKED_PAIRS) -> list[str]:
     """``count`` merged pieces in the order greedy merging finds them."""
-    merges: list = []
     learned: set[str] = set()
-    start = words = _store(_still_open(words))
-    pending: list = []
-    while len(merges) < count:
-        fresh = best_merges(apply_merges(words, pending), learned, ranked)[: count - len(merges)]
+    start = _store(words)
+    signs = Signs.beside(start)
+    state = PairState(start, signs)
+    while len(state.merges) < count:
+        fresh = state.best(learned, ranked)[: count - len(state.merges)]
         if not fresh:
             break
-        merges += fresh
         learned.update(p.piece for p in fresh)
-        pending += fresh
-        if len(pending) >= PENDING_MERGES:
-            words, pending = materialize(_still_open(apply_merges(words, pending)), "symbols"), []
-    pieces = [p.piece for p in merges]
+        state.add(fresh)
+    pieces = [m.piece for m in state.merges]
     if len(pieces) < count:
-        pieces += passing_pieces(start, merges, learned, count - len(pieces))
+        pieces += passing_pieces(start, state.merges, signs, learned, count - len(pieces))
     if len(pieces) < count:
         raise ValueError(f"the text supports only {len(pieces)} merges, {count} are needed")
     return pieces
