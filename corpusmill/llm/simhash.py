@@ -279,7 +279,10 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sid, n, parity bits, shingles) of every row; equal sets have equal ``sid``."""
+    """(doc_id, mark, sid, n, parity bits, shingles) of every row; equal sets have equal ``sid``.
+
+    ``mark`` is a hash of the text as it is, which tells rows of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -289,16 +292,17 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             signs = np.array([folded(b, 8 * len(SIGNS)).view(np.int64) for b in bits], np.int64).reshape(-1, len(SIGNS))
             columns = [
                 batch.column(0),
+                batch.column(2),
                 pa.array([_signed(xxhash.xxh64_intdigest(w, SEED)) for w in whole], pa.int64()),
                 pa.array([len(f) for f in found], pa.int64()),
                 *[pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(SIGNS))],
                 pa.array([b.tobytes() for b in bits], pa.binary()),
                 pa.array(whole, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "n", *SIGNS, "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "n", *SIGNS, "bits", "shingles"])
 
-    schema = f"doc_id BIGINT, sid BIGINT, n BIGINT, {', '.join(f'{s} BIGINT' for s in SIGNS)}, bits BINARY, shingles BINARY"
-    return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, schema)
+    schema = f"doc_id BIGINT, mark BIGINT, sid BIGINT, n BIGINT, {', '.join(f'{s} BIGINT' for s in SIGNS)}, bits BINARY, shingles BINARY"
+    return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string"), F.xxhash64(text)).mapInArrow(run, schema)
 
 
 def _frequency_steps(sets: DataFrame) -> np.ndarray:
@@ -413,7 +417,7 @@ def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, label: str) -
 
 
 def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sid, root) of every row: components of all pairs with five-word shingle sets of similarity 0.8 or more.
+    """(doc_id, mark, sid, root) of every row: components of all pairs with five-word shingle sets of similarity 0.8 or more.
 
     Candidates share one of the first shingles, so no pair is missed. Each set's most frequent
     neighbours are verified first; what they leave apart is then compared pair by pair, so that a large
@@ -439,21 +443,20 @@ def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     pairs = across.select(F.col("one.sid").alias("a"), F.col("two.sid").alias("b")).distinct()
     links_ = chained.unionByName(_verified(pairs, facts, sets, "compared"))
     roots = components(links_, "similar").withColumnRenamed("node", "sid")
-    return sets.select("doc_id", "sid").join(roots, "sid", "left").select("doc_id", "sid", F.coalesce("root", "sid").alias("root"))
+    return sets.select("doc_id", "mark", "sid").join(roots, "sid", "left").select("doc_id", "mark", "sid", F.coalesce("root", "sid").alias("root"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of ``similar_rows``: the one of the least id, with its columns unchanged.
 
-    Rows without an id are all kept. Rows that share an id are taken as one document: it stays
-    if any of them names a component, as the first by a hash of its text.
+    Rows without an id are all kept. Rows are told apart by id and text, so different texts that
+    share an id are judged each for itself; of rows that share both one stays.
     """
     rows = materialize(similar_rows(docs, key, text).where("doc_id is not null"), "similar-rows")
-    named = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rows.join(named, "root")
-    other = classes.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("other"))
-    dropped = other.where("other").select(F.col("doc_id").alias("_id"))
-    named = docs.join(dropped, docs[key].cast("bigint") == dropped["_id"], "left_anti")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text), text)
-    repeated = named.withColumn("_copy", F.when(F.col(key).isNotNull(), F.row_number().over(order)).otherwise(1))
-    return repeated.where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select("first.*")
+    # The input's columns travel in one struct, so none can clash with a working column.
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{key}`"].cast("bigint").alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("mark"))
+    same = Window.partitionBy("doc_id", "mark").orderBy("mark")
+    kept = packed.where("doc_id is not null").join(stays, ["doc_id", "mark"], "left_semi").withColumn("copy", F.row_number().over(same))
+    nameless = packed.where("doc_id is null")
+    return kept.where("copy = 1").select("row").unionByName(nameless.select("row")).select("row.*")
