@@ -107,11 +107,15 @@ def _covered_words(df: DataFrame, window: int) -> DataFrame:
 
 
 def measures(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with one struct column ``_measures``: n_words, word_chars, n_symbols, n_lines,
+    """``docs`` with one more column ``_measures``, a struct of n_words, word_chars, n_symbols, n_lines,
     n_dup_lines, n_repeat_words, n_stop_words (all long)."""
-    shown = F.coalesce(F.col(text), F.lit(""))
+    if "_measures" in docs.columns:
+        raise ValueError("the input already has a column _measures")
+    # The input's columns travel in one struct, so none can clash with a working column.
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{text}`"].alias("_text"))
+    shown = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(shown, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
-    split = _bound(_bound(docs, "_words", words(F.col(text))), "_lines", lines)
+    split = _bound(_bound(packed, "_words", words(F.col("_text"))), "_lines", lines)
     covered = _covered_words(_window_hashes(split, window), window)
     # Spellings instead of a lower-case copy of each word.
     stop = sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
@@ -124,11 +128,10 @@ def measures(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataF
         "n_repeat_words": F.col("_covered"),
         "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))),
     }
-    packed = F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()])
+    counted = F.struct(*[c.cast("bigint").alias(name) for name, c in counts.items()])
     # One generated row each: a filter on the counts is not moved below this, where it would
     # have to compute them again, once for each element that a lambda looks at.
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return covered.select(*kept, F.explode(F.array(packed)).alias("_measures"))
+    return covered.select("_row", F.explode(F.array(counted)).alias("_measures")).select("_row.*", "_measures")
 
 
 def base_failed(row: Column) -> Column:
@@ -147,10 +150,13 @@ def verdict(row: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``_measures`` and ``_kept``."""
+    if "_kept" in docs.columns:
+        raise ValueError("the input already has a column _kept")
     measured = measures(docs, text)
     return measured.withColumn("_kept", verdict(F.col("_measures"), rules))
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged."""
-    return judge(docs, text, rules).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text}`"].alias("text"))
+    return judge(packed, "text", rules).where("_kept").select("row.*")
