@@ -19,6 +19,7 @@ With no training document every word is unseen. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,12 +135,17 @@ def _chunks(docs: Iterator, limit: int = CHUNK_TOKENS) -> Iterator[list]:
         yield held
 
 
+def _broadcast(docs: DataFrame, model: Model):
+    """The model as bytes that carry its classes: workers need not have the package."""
+    return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
 def _round(docs: DataFrame, model: Model, rate: float) -> np.ndarray:
     """The parameters after every task trained on its documents, averaged by tokens read."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _broadcast(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = pickle.loads(sent.value)
         flat, optimizer, lookup, read = own.flat.copy(), Adam(own.shape.size, rate), own.lookup(), 0
         texts = ((None, own.ids(places(lookup, lower_words(t)))) for b in slices(batches) for t in b.column(0).to_pylist())
         for chunk in _chunks(texts):
@@ -177,7 +183,8 @@ def _head(words: DataFrame, most: int) -> list:
     """Frequent words, at most ``most`` of them, by falling count.
 
     Counts are grouped by a step of their logarithm; whole steps are taken from the top, so
-    that the driver gets no row beyond the head.
+    that the driver gets no row beyond the head. If the first step is larger than the head, the
+    first of its words, by count and then spelling, are.
     """
     step = F.floor(F.log2("n") * STEPS_PER_DOUBLING)
     sizes = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("size")).collect()
@@ -188,7 +195,7 @@ def _head(words: DataFrame, most: int) -> list:
             break
         lowest = r["step"]
     if lowest is None:
-        return []
+        return words.orderBy(F.desc("n"), "word").limit(most).collect()
     return sorted(words.where(step >= lowest).collect(), key=lambda r: (-r.n, bytes(r.word)))
 
 
@@ -215,10 +222,10 @@ SCORED = (
 
 
 def _score_rows(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _broadcast(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = sent.value, TaskContext.get().partitionId() << 33
+        own, row = pickle.loads(sent.value), TaskContext.get().partitionId() << 33
         lookup, known = own.lookup(), bool(own.ends)
         logs = np.append(np.log10(own.counts + SMOOTHING), 0.0)
         end_log = np.log10(own.ends + SMOOTHING)
