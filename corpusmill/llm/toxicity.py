@@ -76,7 +76,8 @@ def features(word: bytes) -> list[bytes]:
 
 
 def held_out(key: Column, folds: int = FOLDS) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % folds == 0
+    """Whether a row is kept from the fit; a null id counts as an empty text, whose remainder is 0."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
 @dataclass(frozen=True)
@@ -137,7 +138,7 @@ def select_features(rows: DataFrame, max_features: int = MAX_FEATURES, min_docs:
 
 
 def vectors(rows: DataFrame, chosen: list[bytes]) -> list:
-    """Per sampled document: label, chosen features, and those of its counterfactual or None."""
+    """Per sampled document: label, chosen features, and (own, swapped) ones of each sentence that names a group."""
     index = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,17 +149,18 @@ def vectors(rows: DataFrame, chosen: list[bytes]) -> list:
 
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            own, swapped = [], []
+            own, pairs = [], []
             for text in texts:
                 sentences = [split_words(s) for s in (text or "").replace("!", ".").replace("?", ".").replace("\n", ".").split(".")]
-                words = {w for s in sentences for w in s}
-                own.append(present(words))
-                swapped.append(present({SWAPS.get(w, w) for w in words}) if not words.isdisjoint(SWAPS) else None)
+                own.append(present({w for s in sentences for w in s}))
+                # One pair for each sentence that names a group, swapped on its own.
+                naming = {frozenset(s) for s in sentences if not SWAPS.keys().isdisjoint(s)}
+                pairs.append([[present(s), present({SWAPS.get(w, w) for w in s})] for s in sorted(naming, key=sorted)])
             lists = pa.list_(pa.int32())
-            columns = [batch.column("toxic").cast(pa.int32()), pa.array(own, lists), pa.array(swapped, lists)]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "own", "swapped"])
+            columns = [batch.column("toxic").cast(pa.int32()), pa.array(own, lists), pa.array(pairs, pa.list_(pa.list_(lists)))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "own", "pairs"])
 
-    return rows.mapInArrow(run, "toxic INT, own ARRAY<INT>, swapped ARRAY<INT>").collect()
+    return rows.mapInArrow(run, "toxic INT, own ARRAY<INT>, pairs ARRAY<ARRAY<ARRAY<INT>>>").collect()
 
 
 class Sparse:
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int
     toxic = np.array([r.toxic for r in found], float)
     if not len(found) or toxic.min() == toxic.max():
         return Model(float(np.log((toxic.sum() + 1) / (len(toxic) - toxic.sum() + 1))), {})
-    swapped = [(r.own, r.swapped) for r in found if r.swapped is not None]
+    swapped = [pair for r in found for pair in r.pairs]
     pairs = tuple(Sparse([p[i] for p in swapped], len(chosen)) for i in range(2)) if swapped else None
     weights, bias = fit_weights(Sparse([r.own for r in found], len(chosen)), toxic, pairs)
     return Model(float(bias), {f: float(w) for f, w in zip(chosen, weights, strict=True) if w})
