@@ -341,7 +341,8 @@ def convert(files: DataFrame, arc_folder: str, warc_folder: str, min_bytes: int
     # At most as many entries as the archive has records.
     entry = F.struct("place", "kept_page", "kept_file", "kept_place")
     per_file = repeats.groupBy("file").agg(F.collect_list(entry).alias("repeats"))
-    jobs = _each_file(files).join(per_file, "file", "left")
+    # Dealt after the join, by a given number, so that adaptive execution leaves the tasks apart.
+    jobs = files.join(per_file, "file", "left").repartition(max(1, min(files.count(), MAX_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
