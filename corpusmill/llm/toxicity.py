@@ -138,7 +138,8 @@ def select_features(rows: DataFrame, max_features: int = MAX_FEATURES, min_docs:
 
 
 def vectors(rows: DataFrame, chosen: list[bytes]) -> list:
-    """Per sampled document: label, chosen features, and (own, swapped) ones of each sentence that names a group."""
+    """Per sampled document: label and chosen features, those of its counterfactual as a whole (None
+    if it names no group), and (own, swapped) ones of each sentence that names a group."""
     index = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,18 +150,20 @@ def vectors(rows: DataFrame, chosen: list[bytes]) -> list:
 
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            own, pairs = [], []
+            own, swapped, pairs = [], [], []
             for text in texts:
                 sentences = [split_words(s) for s in (text or "").replace("!", ".").replace("?", ".").replace("\n", ".").split(".")]
-                own.append(present({w for s in sentences for w in s}))
+                words = {w for s in sentences for w in s}
+                own.append(present(words))
+                swapped.append(present({SWAPS.get(w, w) for w in words}) if not words.isdisjoint(SWAPS) else None)
                 # One pair for each sentence that names a group, swapped on its own.
                 naming = {frozenset(s) for s in sentences if not SWAPS.keys().isdisjoint(s)}
                 pairs.append([[present(s), present({SWAPS.get(w, w) for w in s})] for s in sorted(naming, key=sorted)])
             lists = pa.list_(pa.int32())
-            columns = [batch.column("toxic").cast(pa.int32()), pa.array(own, lists), pa.array(pairs, pa.list_(pa.list_(lists)))]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "own", "pairs"])
+            columns = [batch.column("toxic").cast(pa.int32()), pa.array(own, lists), pa.array(swapped, lists), pa.array(pairs, pa.list_(pa.list_(lists)))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "own", "swapped", "pairs"])
 
-    return rows.mapInArrow(run, "toxic INT, own ARRAY<INT>, pairs ARRAY<ARRAY<ARRAY<INT>>>").collect()
+    return rows.mapInArrow(run, "toxic INT, own ARRAY<INT>, swapped ARRAY<INT>, pairs ARRAY<ARRAY<ARRAY<INT>>>").collect()
 
 
 class Sparse:
