@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.wordtable import ends_of
 from corpusmill.llm.bpe import ID_TYPE, Encoder
+from corpusmill.llm.words import release
 
 SCHEMA = "part INT, doc_id BIGINT, part_start BIGINT, n_tokens BIGINT, ids ARRAY<INT>"
 ROWS_AT_ONCE = 256
@@ -42,6 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        release()
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -53,8 +55,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
-        # What the slices took goes back, or a worker keeps the most it ever held.
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:

@@ -7,10 +7,12 @@ only A-Z, so both work on encoded text.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back to the system; it would otherwise keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
 def worker_state(key: object, make: Callable[[], object]) -> object:
     """A value kept in this Python worker across tasks, until another one is asked for.
 
