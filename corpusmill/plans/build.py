@@ -120,7 +120,7 @@ def write_token_shards(
 ) -> dict[str, object]:
     """Pack documents that are token ids already (doc_id, ids) into one unsplit dataset."""
     blocked = documents.withColumn("block", key_blocks(documents, "doc_id"))
-    ordered = with_ordinal(blocked, ["doc_id"]).withColumn("split", F.lit(""))
+    ordered = with_ordinal(blocked, ["doc_id"], unique=True).withColumn("split", F.lit(""))
     start = (BOS_ID if bos_id is None else bos_id) if add_bos else None
     packed = pack_ids(ordered, vocab_size, shard_size, start, eos_id)
     records = write_packed(packed, path, bos_id if add_bos else None, eos_id, extra, verify)
@@ -162,9 +162,15 @@ def preprocess(
     val_every: int = VAL_EVERY,
     shard_size: int = SHARD_SIZE,
     min_words: int = MIN_WORDS,
+    add_bos: bool = True,
+    more: dict[str, object] | None = None,
 ) -> dict[str, dict]:
-    """Fit or reuse the vocabulary, then write both splits and the manifest."""
-    accepted = corpus.accept(corpus.scan(spark, corpus_path), min_words)
+    """Fit or reuse the vocabulary, then write both splits and the manifest.
+
+    Files without ``doc_id`` are taken in the order of their names and rows. ``more`` goes into
+    the metadata of each split.
+    """
+    accepted = corpus.accept(corpus.scan_any(spark, corpus_path), min_words)
     fitted = load_or_fit(
         accepted, f"{output}/tokenizer", vocab_size, sample_documents, max_bytes, input_sentences, coverage
     )
@@ -176,7 +182,9 @@ def preprocess(
         "tokenizer": "byte-pair",
         "tokenizer_model": "tokenizer",
         "min_words": min_words,
+        **(more or {}),
     }
-    records = write_packed(pack_pieces(numbered, pieces, shard_size), output, extra=extra)
+    packed = pack_pieces(numbered, pieces, shard_size, add_bos)
+    records = write_packed(packed, output, BOS_ID if add_bos else None, extra=extra)
     metadata.write_manifest(records, output)
     return records

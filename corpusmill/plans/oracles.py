@@ -188,6 +188,11 @@ def oracles() -> dict[str, str]:
         "corpus_filter": _sql("a", "select doc_id, n_words, octet_length(encode(t))::bigint n_bytes from a"),
         "flatten_text": _sql("f", r"select doc_id, md5(regexp_replace(t, '\s+', ' ', 'g')) flat_md5 from f"),
         "doc_split": _sql("d", "select doc_id, ord ordinal, split from d"),
+        "normalized_wide": r"""select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(
+            trim(text, E' \t\n\r\f\x0b'), '\s+', ' ', 'g'), '[^ !-~]', '', 'g'), ' +', ' ', 'g'))) text_md5 from documents where text is not null""",
+        "reused_special_pieces": "select * from (values (0, '<pad>'), (1, '<unk>'), (2, '<bos>'), (3, '<eos>')) s(id, piece)",
+        "manifest_times": _sql("d", "select distinct split, true zoned, true recent from d"),
+        "keyless_split": _sql("d", "select ord ordinal, split, md5(t) text_md5 from d"),
         "accepted_limit": _sql("k", f"select doc_id, ord ordinal from k order by ord limit {LIMIT}"),
         "fit_sample_cap": _sql("line", f"""select doc_id, octet_length(encode(line))::bigint n_bytes
             from line where ord < {LIMIT} and octet_length(encode(line)) <= {MAX_LINE_BYTES}"""),

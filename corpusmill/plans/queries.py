@@ -29,6 +29,9 @@ ACCUMULATION = 4
 WORKERS = 2
 VOCAB = 400
 LIMIT = 500
+KEYLESS_FILES, KEYLESS_BLOCK = 3, 200
+# Fixed value: the distance of a wide ASCII sign from the plain one.
+WIDE_STEP = 0xFEE0
 SAMPLE_LINES = 300
 DELIVERY_FILES = 1_000_000
 MAX_LINE_BYTES = 16_384
@@ -85,9 +88,13 @@ def _pieces(spark: SparkSession, sf: str) -> vocabulary.Pieces:
     return vocabulary.Pieces.of(_vocab(spark, sf))
 
 
-def _vocab(spark: SparkSession, sf: str) -> DataFrame:
+def _vocab_path(spark: SparkSession, sf: str) -> str:
     tag = hashlib.md5(f"{sf}-{spark.conf.get('spark.app.id')}".encode()).hexdigest()
-    return build.load_or_fit(_accepted(spark, sf), f"{work_dir(spark)}/corpusmill-vocab-{tag}", VOCAB)
+    return f"{work_dir(spark)}/corpusmill-vocab-{tag}"
+
+
+def _vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return build.load_or_fit(_accepted(spark, sf), _vocab_path(spark, sf), VOCAB)
 
 
 def _ids_md5(ids: Column) -> Column:
@@ -119,11 +126,34 @@ def flatten_text(spark, sf):
     return docs.select("doc_id", _text_md5(tx.flatten(F.col("text"))).alias("flat_md5"))
 
 
+@query
+def normalized_wide(spark, sf):
+    """Compatibility normalization undoes wide letters and signs, and turns odd spaces into plain ones."""
+    docs = corpus.scan(spark, _documents(sf)).where(F.col("text").isNotNull())
+    plain = F.regexp_replace(tx.flatten(F.col("text")), r"[^ !-~]", "")
+    narrow = "".join(chr(c) for c in range(ord("!"), ord("~") + 1))
+    wide = "".join(chr(ord(c) + WIDE_STEP) for c in narrow)
+    spaced = F.regexp_replace(F.translate(plain, narrow.replace("~", ""), wide[:-1]), " ", "\u3000\u200b")
+    return docs.select("doc_id", _text_md5(tx.normalize(spaced)).alias("text_md5"))
+
+
 @query
 def doc_split(spark, sf):
     return _numbered(spark, sf).select("doc_id", "ordinal", "split")
 
 
+@query
+def keyless_split(spark, sf):
+    """The corpus as files without ids: order and split come from file names and rows."""
+    path = fresh_path(spark, "keyless")
+    texts = spark.read.schema(corpus.DOCUMENT_SCHEMA).parquet(_documents(sf))
+    ordered = texts.repartitionByRange(KEYLESS_FILES, "doc_id").sortWithinPartitions("doc_id")
+    ordered.select("text").write.parquet(path)
+    accepted = corpus.accept(corpus.scan_rows(spark, path, KEYLESS_BLOCK))
+    numbered = corpus.number(accepted).withColumn("split", pack.split_of(F.col("ordinal")))
+    return numbered.select("ordinal", "split", _text_md5(F.col("text")).alias("text_md5"))
+
+
 @query
 def accepted_limit(spark, sf):
     return corpus.number(_accepted(spark, sf), limit=LIMIT).select("doc_id", "ordinal")
@@ -190,6 +220,15 @@ def bpe_vocab_layout(spark, sf):
     )
 
 
+@query
+def reused_special_pieces(spark, sf):
+    """A saved vocabulary is reused: a fit on no documents would fail. Its special ids were checked."""
+    fitted = _vocab(spark, sf)
+    nothing = _accepted(spark, sf).limit(0)
+    again = build.load_or_fit(nothing, _vocab_path(spark, sf), VOCAB)
+    return again.join(fitted.select("id", "piece"), ["id", "piece"]).where("kind = 'special'").select("id", "piece")
+
+
 @query
 def bpe_encode(spark, sf):
     pieces = _pieces(spark, sf)
@@ -288,6 +327,15 @@ def dataset_manifest(spark, sf):
     return metadata.read_manifest(spark, _written(spark, sf)).select("split", "num_documents", "num_tokens")
 
 
+@query
+def manifest_times(spark, sf):
+    """Whether each split's record was made just now, by an ISO time with its zone."""
+    made = metadata.read_manifest(spark, _written(spark, sf)).select("split", "created_at")
+    zoned = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?\+00:00$")
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.to_timestamp("created_at"))
+    return made.select("split", zoned.alias("zoned"), age.between(0, 86_400).alias("recent"))
+
+
 @query
 def token_count_fallback(spark, sf):
     path = fresh_path(spark, "bare")
