@@ -34,7 +34,7 @@ from corpusmill.llm.words import release
 
 SCHEMA = "part INT, doc_id BIGINT, part_start BIGINT, n_tokens BIGINT, ids ARRAY<INT>"
 ROWS_AT_ONCE = 256
-BYTES_AT_ONCE = 3 << 20
+BYTES_AT_ONCE = 2 << 20
 ENCODINGS = ("dictionary", "delta")
 
 
