@@ -54,9 +54,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/corpusmill-{uuid.uuid4().hex}/{label}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back, which cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Write ``df`` once, with the Parquet options given, and read it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
