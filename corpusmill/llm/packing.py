@@ -19,17 +19,17 @@ sequences. Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bpe import ID_TYPE, Encoder
 from corpusmill.llm.tokens import checksums, id_lists, text_slices
+from corpusmill.llm.words import batch_rows
 from corpusmill.session import fresh_path
 
 CAPACITY = 4_096
@@ -37,7 +37,6 @@ TOLERANCE = 1 / 48
 FINE_CLASSES = 64
 ROW_GROUP_BYTES = 16 << 20
 ROWS_PER_BATCH = 1_000
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Worker bins are numbered within a worker; bins filled after pooling follow in ranges of their own.
 WORKER_BITS, POOLED, MERGED = 32, 1 << 60, 1 << 61
 
@@ -144,17 +143,6 @@ def _piece_batch(rows: list[tuple], worker: int, closed: bool) -> pa.RecordBatch
     return pa.RecordBatch.from_pydict(columns)
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Smaller Arrow batches for the jobs inside: whole texts pass in them, twice per worker."""
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
-
-
 def _merge(capacity: int):
     """First fit, largest first, over the last open bin of each class."""
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import slices
-from corpusmill.llm.words import lower_words
+from corpusmill.llm.words import batch_rows, lower_words
 from corpusmill.session import materialize
 
 SHINGLE = 3
@@ -50,6 +50,9 @@ LINKS = "a BIGINT, b BIGINT"
 NEAR_SHINGLE = 5
 SIGNS = [f"s{i}" for i in range(8)]
 RANGE_BITS = 18
+# Whole sets pass between Spark and its workers and into files in parts of these sizes.
+ROWS_PER_BATCH = 1_000
+ROW_GROUP = {"parquet.block.size": 16 << 20}
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -310,7 +313,7 @@ def _frequency_steps(sets: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << RANGE_BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches, ROWS_PER_BATCH):
             for whole in batch.column(0).to_pylist():
                 # Hashes of one set rarely share a range; a repeated one may count once.
                 counts[np.frombuffer(whole, np.uint64) >> np.uint64(64 - RANGE_BITS)] += 1
@@ -334,7 +337,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     steps = _frequency_steps(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS_PER_BATCH):
             firsts = []
             for whole in batch.column(1).to_pylist():
                 found = np.frombuffer(whole, np.uint64)
@@ -374,7 +377,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, ROWS_PER_BATCH):
         left, right = (batch.column(n).to_pylist() for n in ("left", "right"))
         near = []
         for a, b in zip(left, right, strict=True):
@@ -386,7 +389,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bound of ``_bound`` by all parity bits, whose number grows with the set."""
-    for batch in batches:
+    for batch in slices(batches, ROWS_PER_BATCH):
         left, right, total = (batch.column(n).to_pylist() for n in ("left", "right", "total"))
         near = []
         for a, b, n in zip(left, right, total, strict=True):
@@ -410,7 +413,7 @@ def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, label: str) -
     near = materialize(near.mapInArrow(_allowed, LINKS), f"{label}-candidates")
     asked = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     whole = sets.select("sid", "shingles").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
-    whole = materialize(whole, f"{label}-sets")
+    whole = materialize(whole, f"{label}-sets", **ROW_GROUP)
     left = whole.select(F.col("sid").alias("a"), F.col("shingles").alias("left"))
     right = whole.select(F.col("sid").alias("b"), F.col("shingles").alias("right"))
     return materialize(near.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_similar, LINKS), label)
@@ -423,26 +426,27 @@ def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     neighbours are verified first; what they leave apart is then compared pair by pair, so that a large
     group of near copies costs no square of its size.
     """
-    sets = materialize(shingle_sets(docs, key, text), "shingles")
-    facts = materialize(sets.select("sid", "n", *SIGNS, "bits").dropDuplicates(["sid"]), "shingle-facts")
-    rows = _prefixes(sets).select(F.explode("first").alias("shingle"), "sid")
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sid")
-    met = materialize(dealt.mapInArrow(_shared, "shingle BIGINT, sid BIGINT, before BIGINT, first BIGINT"), "shared-shingles")
-    # Of the sets before it and of the first ones, each set tries the one it meets most often.
-    tried = met.select(F.posexplode(F.array("before", "first")).alias("kind", "a"), F.col("sid").alias("b")).where("a <> b")
-    best = tried.groupBy("kind", "b", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "b").agg(F.max(F.struct("n", "a")).alias("m"))
-    chains = best.select("m.a", "b").distinct()
-    chained = _verified(chains, facts, sets, "chained")
-    roots = components(chained, "chains").withColumnRenamed("node", "sid")
-    rooted = met.select("shingle", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    every = Window.partitionBy("shingle")
-    apart = rooted.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low <> high")
-    apart = materialize(apart.select("shingle", "sid", "root").join(facts.drop("bits"), "sid"), "apart")
-    one, two = apart.alias("one"), apart.alias("two")
-    across = one.join(two, F.expr("one.shingle = two.shingle and one.sid < two.sid and one.root <> two.root") & _bound("one", "two"))
-    pairs = across.select(F.col("one.sid").alias("a"), F.col("two.sid").alias("b")).distinct()
-    links_ = chained.unionByName(_verified(pairs, facts, sets, "compared"))
-    roots = components(links_, "similar").withColumnRenamed("node", "sid")
+    with batch_rows(docs.sparkSession, ROWS_PER_BATCH):
+        sets = materialize(shingle_sets(docs, key, text), "shingles", **ROW_GROUP)
+        facts = materialize(sets.select("sid", "n", *SIGNS, "bits").dropDuplicates(["sid"]), "shingle-facts")
+        rows = _prefixes(sets).select(F.explode("first").alias("shingle"), "sid")
+        dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sid")
+        met = materialize(dealt.mapInArrow(_shared, "shingle BIGINT, sid BIGINT, before BIGINT, first BIGINT"), "shared-shingles")
+        # Of the sets before it and of the first ones, each set tries the one it meets most often.
+        tried = met.select(F.posexplode(F.array("before", "first")).alias("kind", "a"), F.col("sid").alias("b")).where("a <> b")
+        best = tried.groupBy("kind", "b", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "b").agg(F.max(F.struct("n", "a")).alias("m"))
+        chains = best.select("m.a", "b").distinct()
+        chained = _verified(chains, facts, sets, "chained")
+        roots = components(chained, "chains").withColumnRenamed("node", "sid")
+        rooted = met.select("shingle", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        every = Window.partitionBy("shingle")
+        apart = rooted.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low <> high")
+        apart = materialize(apart.select("shingle", "sid", "root").join(facts.drop("bits"), "sid"), "apart")
+        one, two = apart.alias("one"), apart.alias("two")
+        across = one.join(two, F.expr("one.shingle = two.shingle and one.sid < two.sid and one.root <> two.root") & _bound("one", "two"))
+        pairs = across.select(F.col("one.sid").alias("a"), F.col("two.sid").alias("b")).distinct()
+        links_ = chained.unionByName(_verified(pairs, facts, sets, "compared"))
+        roots = components(links_, "similar").withColumnRenamed("node", "sid")
     return sets.select("doc_id", "mark", "sid").join(roots, "sid", "left").select("doc_id", "mark", "sid", F.coalesce("root", "sid").alias("root"))
 
 

@@ -10,14 +10,16 @@ from __future__ import annotations
 import ctypes
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WHITE_SPACE_RUN = r"[ \t-\r]+"
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def words(text: Column) -> Column:
@@ -53,3 +55,14 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
         holder["value"] = None
         holder["value"], holder["key"] = make(), key
     return holder["value"]
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs inside: whole texts pass in them, twice per worker."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
