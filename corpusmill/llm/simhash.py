@@ -49,7 +49,9 @@ LINKS = "a BIGINT, b BIGINT"
 # For ``keep_one``, which has no fingerprint: exact similarity of whole sets of longer shingles.
 NEAR_SHINGLE = 5
 SIGNS = [f"s{i}" for i in range(8)]
-RANGE_BITS = 18
+RANGE_BITS, OFTEN, OFTEN_IN_TASK = 22, 4, 2
+# Set numbers up to this many are sent to all workers, to fetch the sets where they lie.
+SENT_IDS = 1 << 19
 # Whole sets pass between Spark and its workers and into files in parts of these sizes.
 ROWS_PER_BATCH = 1_000
 ROW_GROUP = {"parquet.block.size": 16 << 20}
@@ -309,50 +311,61 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _frequency_steps(sets: DataFrame) -> np.ndarray:
-    """A step per range of shingle hashes, above zero where a range is met far more often than others."""
+    """A step per range of shingle hashes, above zero where a range is met far more often than others.
+
+    A task names only the ranges that stand out in it. A range missed so changes the order of shingles,
+    never the result, which holds for any order that all sets share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << RANGE_BITS, np.int64)
+        counts, total = np.zeros(1 << RANGE_BITS, np.int32), 0
         for batch in slices(batches, ROWS_PER_BATCH):
             for whole in batch.column(0).to_pylist():
                 # Hashes of one set rarely share a range; a repeated one may count once.
-                counts[np.frombuffer(whole, np.uint64) >> np.uint64(64 - RANGE_BITS)] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+                found = np.frombuffer(whole, np.uint64)
+                counts[found >> np.uint64(64 - RANGE_BITS)] += 1
+                total += len(found)
+        at = np.flatnonzero(counts > OFTEN * (total / (1 << RANGE_BITS)) + OFTEN_IN_TASK)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at].astype(np.int64))], ["at", "n"])
 
     counts = sets.select("shingles").mapInArrow(run, "at BIGINT, n BIGINT").groupBy("at").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "shingle-ranges")
-    mean = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) / (1 << RANGE_BITS)
+    mean = float(sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) / (1 << RANGE_BITS)
     steps = np.zeros(1 << RANGE_BITS, np.int8)
-    for r in counts.where(F.col("n") > F.lit(4 * mean + 16)).collect():
-        steps[r.at] = int(np.log2(r.n / mean)) if mean else 0
+    # At most one range in OFTEN can be this far above the mean.
+    for r in counts.where(F.col("n") > F.lit(OFTEN * mean)).collect():
+        steps[r.at] = 1 + int(np.log2(r.n))
     return steps
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(sid, shingles): the first shingles of each distinct set in one order for all, rare ones first.
+    """(sid, first): the first shingles of each set in one order for all, rare ones first; a task names a set once.
 
     Sets of similarity 0.8 share four fifths of either, so at least one of the first fifth (and one).
     """
     steps = _frequency_steps(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches, ROWS_PER_BATCH):
-            firsts = []
-            for whole in batch.column(1).to_pylist():
+            firsts, sids = [], []
+            for sid, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sid in seen:
+                    continue
+                seen.add(sid)
+                sids.append(sid)
                 found = np.frombuffer(whole, np.uint64)
                 order = np.argsort(steps[found >> np.uint64(64 - RANGE_BITS)], kind="stable")
                 firsts.append(found[order][: len(found) - (4 * len(found) + 4) // 5 + 1].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             values = pa.array(np.concatenate([np.empty(0, np.int64), *firsts]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["sid", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["sid", "first"])
 
-    made = sets.select("sid", "shingles").mapInArrow(run, "sid BIGINT, first ARRAY<BIGINT>")
-    return made.dropDuplicates(["sid"])
+    return sets.select("sid", "shingles").mapInArrow(run, "sid BIGINT, first ARRAY<BIGINT>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle those whose shingle has more, with the row before and the first of the shingle."""
+    """Of rows sorted by shingle and set those whose shingle has more sets, with the set before and the first of the shingle."""
     held = None
     for batch in batches:
         shingle, sid = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shingle", "sid"))
@@ -360,6 +373,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if held is not None:
             shingle, sid = np.append(held[0], shingle), np.append(held[1], sid)
+        once = np.append(True, (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1]))
+        shingle, sid = shingle[once], sid[once]
         starts = np.append(True, shingle[1:] != shingle[:-1])
         first = sid[np.maximum.accumulate(np.where(starts, np.arange(len(sid)), 0))]
         before = np.where(starts, sid, np.append(sid[:1], sid[:-1]))
@@ -411,7 +426,10 @@ def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, label: str) -
     near = pairs.join(one, F.col("a") == F.col("one.sid")).join(two, F.col("b") == F.col("two.sid")).where(_bound("one", "two"))
     near = near.select("a", "b", F.col("one.bits").alias("left"), F.col("two.bits").alias("right"), F.expr("one.n + two.n").alias("total"))
     near = materialize(near.mapInArrow(_allowed, LINKS), f"{label}-candidates")
-    asked = near.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    asked = materialize(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{label}-asked")
+    if asked.count() <= SENT_IDS:
+        # Else both sides move by set number.
+        asked = F.broadcast(asked)
     whole = sets.select("sid", "shingles").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
     whole = materialize(whole, f"{label}-sets", **ROW_GROUP)
     left = whole.select(F.col("sid").alias("a"), F.col("shingles").alias("left"))
