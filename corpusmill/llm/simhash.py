@@ -49,6 +49,7 @@ LINKS = "a BIGINT, b BIGINT"
 # For ``keep_one``, which has no fingerprint: exact similarity of whole sets of longer shingles.
 NEAR_SHINGLE = 5
 SIGNS = [f"s{i}" for i in range(8)]
+SHARED = ["shingle", "sid", "before", "first", "at"]
 RANGE_BITS, OFTEN, OFTEN_IN_TASK = 22, 4, 2
 # Set numbers up to this many are sent to all workers, to fetch the sets where they lie.
 SENT_IDS = 1 << 19
@@ -368,13 +369,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by shingle and set those whose shingle has more sets, with the set before and the first of the shingle."""
     held = None
     for batch in batches:
-        shingle, sid = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shingle", "sid"))
+        shingle, sid, at = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shingle", "sid", "at"))
         if not len(shingle):
             continue
         if held is not None:
-            shingle, sid = np.append(held[0], shingle), np.append(held[1], sid)
+            shingle, sid, at = np.append(held[0], shingle), np.append(held[1], sid), np.append(held[5], at)
         once = np.append(True, (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1]))
-        shingle, sid = shingle[once], sid[once]
+        shingle, sid, at = shingle[once], sid[once], at[once]
         starts = np.append(True, shingle[1:] != shingle[:-1])
         first = sid[np.maximum.accumulate(np.where(starts, np.arange(len(sid)), 0))]
         before = np.where(starts, sid, np.append(sid[:1], sid[:-1]))
@@ -383,12 +384,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[: int(np.argmax(np.append(starts[1:], True))) + 1] = held[3]
             before[0], goes_on[0] = held[2], held[4]
         shared = goes_on | np.append(~starts[1:], False)
-        held = (shingle[-1], sid[-1], before[-1], first[-1], bool(goes_on[-1]))
+        held = (shingle[-1], sid[-1], before[-1], first[-1], bool(goes_on[-1]), at[-1])
         shared[-1] = False
-        columns = [pa.array(c[shared]) for c in (shingle, sid, before, first)]
-        yield pa.RecordBatch.from_arrays(columns, ["shingle", "sid", "before", "first"])
+        columns = [pa.array(c[shared]) for c in (shingle, sid, before, first, at)]
+        yield pa.RecordBatch.from_arrays(columns, SHARED)
     if held is not None and held[4]:
-        yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in held[:4]], ["shingle", "sid", "before", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in (*held[:4], held[5])], SHARED)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,21 +448,23 @@ def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     with batch_rows(docs.sparkSession, ROWS_PER_BATCH):
         sets = materialize(shingle_sets(docs, key, text), "shingles", **ROW_GROUP)
         facts = materialize(sets.select("sid", "n", *SIGNS, "bits").dropDuplicates(["sid"]), "shingle-facts")
-        rows = _prefixes(sets).select(F.explode("first").alias("shingle"), "sid")
+        rows = _prefixes(sets).select(F.posexplode("first").alias("at", "shingle"), "sid").withColumn("at", F.col("at").cast("bigint"))
         dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sid")
-        met = materialize(dealt.mapInArrow(_shared, "shingle BIGINT, sid BIGINT, before BIGINT, first BIGINT"), "shared-shingles")
+        met = materialize(dealt.mapInArrow(_shared, ", ".join(f"{c} BIGINT" for c in SHARED)), "shared-shingles")
         # Of the sets before it and of the first ones, each set tries the one it meets most often.
         tried = met.select(F.posexplode(F.array("before", "first")).alias("kind", "a"), F.col("sid").alias("b")).where("a <> b")
         best = tried.groupBy("kind", "b", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "b").agg(F.max(F.struct("n", "a")).alias("m"))
         chains = best.select("m.a", "b").distinct()
         chained = _verified(chains, facts, sets, "chained")
         roots = components(chained, "chains").withColumnRenamed("node", "sid")
-        rooted = met.select("shingle", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rooted = met.select("shingle", "sid", "at").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         every = Window.partitionBy("shingle")
         apart = rooted.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low <> high")
-        apart = materialize(apart.select("shingle", "sid", "root").join(facts.drop("bits"), "sid"), "apart")
+        apart = materialize(apart.select("shingle", "sid", "root", "at").join(facts.drop("bits"), "sid").withColumn("rest", F.expr("n - at")), "apart")
         one, two = apart.alias("one"), apart.alias("two")
-        across = one.join(two, F.expr("one.shingle = two.shingle and one.sid < two.sid and one.root <> two.root") & _bound("one", "two"))
+        # At their first common shingle, no more than what follows it can be common; four ninths of both sizes must be.
+        reach = F.expr("9 * least(one.rest, two.rest) >= 4 * (one.n + two.n)")
+        across = one.join(two, F.expr("one.shingle = two.shingle and one.sid < two.sid and one.root <> two.root") & reach & _bound("one", "two"))
         pairs = across.select(F.col("one.sid").alias("a"), F.col("two.sid").alias("b")).distinct()
         links_ = chained.unionByName(_verified(pairs, facts, sets, "compared"))
         roots = components(links_, "similar").withColumnRenamed("node", "sid")
