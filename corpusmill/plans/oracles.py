@@ -14,6 +14,7 @@ from corpusmill.plans.queries import (
     MAX_PROMPT,
     SAMPLE_LINES,
     SHARD,
+    STREAM_LIMIT,
     VOCAB,
     WORKERS,
 )
@@ -35,6 +36,13 @@ _PARTS = {
         count(*) filter (id = 3) eos_count,
         sha256(unhex(string_agg(printf('%02x%02x', id % 256, id // 256), '' order by off))) sha256
         from tok group by all""",
+    "bp": f"""select *, (sum(n - 1) over (partition by split order by ord) - n + 1)::bigint bs
+        from d where ord < {STREAM_LIMIT}""",
+    "bx": """select split, bs + i off, id from (select split, bs, unnest(range(n - 1)) i, unnest(list_concat(list_transform(
+        regexp_extract_all(hex(encode(t)), '..'), lambda h: 4 + ('0x' || h)::int), [3])) id from bp)""",
+    "bare": f"""select split, off // {SHARD} shard, count(*) tokens, count(*) filter (id = 3) eos_count,
+        sha256(unhex(string_agg(printf('%02x%02x', id % 256, id // 256), '' order by off))) sha256
+        from bx group by all""",
     "st": f"select split, (off // {SHARD})::int shard, count(*) tokens from tok group by all",
     "pos": f"select split, off // {SHARD} shard, off % {SHARD} o, id from tok",
     "w": f"""select split, shard, o // {LENGTH} win, o, id from pos
@@ -132,6 +140,7 @@ _PARTS = {
 
 # What each expression reads.
 _NEEDS = {
+    "bp": "d", "bx": "bp", "bare": "bx",
     "a": "f", "k": "a", "d": "k", "p": "d", "ids": "p", "tok": "ids", "sh": "tok", "st": "tok", "pos": "tok",
     "w": "pos", "win": "w", "pairs": "win", "bi": "pairs", "ux": "bi", "uy": "bi", "un": "bi",
     "nll": "ux uy un", "nw": "st", "po": "nw", "fb": "po", "bt": "fb", "bs": "bt", "bl": "nll bs",
@@ -227,6 +236,7 @@ def oracles() -> dict[str, str]:
             ((sum(n) + {SHARD - 1}) // {SHARD})::bigint num_shards from d group by split"""),
         "shard_sha256": _sql("sh", layout),
         "stream_build": _sql("sh", layout),
+        "stream_keyless": _sql("bare", layout.replace("from sh", "from bare")),
         "shard_scan": _sql("pos", """select split, shard::int shard, count(*) tokens, sum(id)::bigint id_sum,
             sum(id * (o + 1))::bigint weighted_sum from pos group by all"""),
         "shard_metadata": _sql("d", f"""select split, '2.0' version, 'uint16' dtype, 260 vocab_size, 3 eos_id,

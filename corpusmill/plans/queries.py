@@ -30,6 +30,7 @@ WORKERS = 2
 VOCAB = 400
 LIMIT = 500
 KEYLESS_FILES, KEYLESS_BLOCK = 3, 200
+STREAM_LIMIT = 700
 # Fixed value: the distance of a wide ASCII sign from the plain one.
 WIDE_STEP = 0xFEE0
 SAMPLE_LINES = 300
@@ -583,6 +584,22 @@ def stream_build(spark, sf):
     return shards.verify(spark, f"{out}/shards")
 
 
+@query
+def stream_keyless(spark, sf):
+    """Deliveries of files without ids, without the opening marker and up to a number of documents."""
+    landing, out = fresh_path(spark, "landing"), fresh_path(spark, "stream")
+    docs = spark.read.schema(corpus.DOCUMENT_SCHEMA).parquet(_documents(sf))
+    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    cut = span.lo + (span.hi - span.lo) // 3
+    job = IncrementalBuild(out, BYTE_VOCAB_SIZE, shard_size=SHARD, add_bos=False, limit=STREAM_LIMIT)
+    for part in (docs.where(F.col("doc_id") <= cut), docs.where(F.col("doc_id") > cut)):
+        ordered = part.repartitionByRange(KEYLESS_FILES, "doc_id").sortWithinPartitions("doc_id")
+        ordered.select("text").write.mode("append").parquet(landing)
+        job.start(landing_stream(spark, landing, DELIVERY_FILES, keyed=False)).awaitTermination()
+    job.close(spark)
+    return shards.verify(spark, f"{out}/shards")
+
+
 # ---------------------------------------------------------------- candidates
 
 
