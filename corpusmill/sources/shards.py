@@ -8,6 +8,7 @@ only when the job commits.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,38 @@ def list_shards(path: str) -> list[tuple[str, int, str, int]]:
     return sorted(found)
 
 
+def read_json(file: str) -> dict | None:
+    """The content of a small JSON file, or None where there is none."""
+    filesystem, inner = open_path(file)
+    if filesystem.get_file_info(inner).type != pafs.FileType.File:
+        return None
+    with filesystem.open_input_stream(inner) as source:
+        return json.loads(source.read())
+
+
+def published(path: str) -> list[tuple[str, int, str, int]]:
+    """``list_shards`` as far as the metadata names them; all of them where nothing is recorded.
+
+    Other subfolders and shards beyond the recorded number, as a longer run or one that has not
+    ended leaves them, are not part of the dataset. A recorded shard without a file is an error.
+    """
+    found = list_shards(path)
+    records = read_json(f"{path}/metadata.json")
+    if records is None:
+        splits = {split for split, *_ in found if split}
+        records = {s: r for s in splits if (r := read_json(f"{path}/{s}/metadata.json")) is not None}
+        named = [f for f in found if f[0] not in records or f[1] < records[f[0]]["num_shards"]]
+    else:
+        records = {"": records} if "num_shards" in records else records
+        named = [f for f in found if f[0] in records and f[1] < records[f[0]]["num_shards"]]
+    for split, record in sorted(records.items()):
+        there = {index for s, index, *_ in named if s == split}
+        if len(there) < record["num_shards"]:
+            lost = next(i for i in range(record["num_shards"]) if i not in there)
+            raise FileNotFoundError(f"{path}: the metadata names {relative_file(split, lost)}, which is missing")
+    return named
+
+
 @dataclass
 class ShardRange:
     split: str
@@ -107,7 +140,7 @@ class ShardReader(DataSourceReader):
         return tasks
 
     def _ranges(self) -> list[ShardRange]:
-        shards = list_shards(self.path)
+        shards = published(self.path)
         if not shards:
             raise FileNotFoundError(f"No shards in {self.path}. Run the preprocess job first.")
         step = self.range_tokens
@@ -224,6 +257,12 @@ class ShardWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WrittenShards | None]) -> None:
         filesystem, root = open_path(self.path)
         files = [f for m in messages if m is not None for f in m.files]
+        if self.overwrite:
+            # What is recorded of an earlier run is no longer true from here on.
+            for folder in {"", *(split for split, *_ in list_shards(self.path))}:
+                record = f"{root}/{folder}/metadata.json" if folder else f"{root}/metadata.json"
+                if filesystem.get_file_info(record).type == pafs.FileType.File:
+                    filesystem.delete_file(record)
         for folder in sorted({final.rpartition("/")[0] for _, final, _ in files}):
             filesystem.create_dir(f"{root}/{folder}", recursive=True)
         kept = {final for _, final, _ in files}
@@ -317,7 +356,7 @@ def read_windows(spark: SparkSession, path: str, length: int, **options: object)
 
 
 def _require_shards(path: str) -> None:
-    if not list_shards(path):
+    if not published(path):
         raise FileNotFoundError(f"No shards in {path}. Run the preprocess job first.")
 
 

@@ -78,7 +78,7 @@ class IncrementalBuild:
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
         so_far = self.ledger(batch_id)
-        # This batch is new or a replay, so the stream has committed the one before ``so_far``'s successor.
+        # The stream committed the batch of ``so_far`` before it began this one.
         self._drop_finished(so_far)
         now = {**so_far, "batch_id": batch_id, "done": []}
         left = None if self.limit is None else self.limit - so_far["accepted"]

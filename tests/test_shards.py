@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -118,3 +119,27 @@ def test_worker_example_counts(spark, path):
     counted = shards.read(spark, path).groupBy("split", "shard").agg(F.sum(F.size("ids")).alias("tokens"))
     row = windows.window_counts(counted, 8).first()
     assert (row.exact_windows, row.estimated_windows) == (146, 152)
+
+
+def test_readers_follow_the_metadata(spark, path):
+    """Files that the metadata does not name are not read, and a named one that is lost is told."""
+    write(spark, path, [[i % 50 + 4] * 40 for i in range(30)], shard_size=500)
+    named = shards.published(path)
+    before = sorted(map(tuple, shards.read(spark, path).collect()))
+    folder = Path(local(path))
+    (folder / shards.shard_name(9)).write_bytes(b"\x05\x00" * 20)
+    (folder / "backup").mkdir()
+    (folder / "backup" / shards.shard_name(0)).write_bytes(b"\x05\x00" * 20)
+    assert shards.published(path) == named and len(shards.list_shards(path)) == len(named) + 2
+    assert sorted(map(tuple, shards.read(spark, path).collect())) == before
+    (folder / shards.shard_name(1)).unlink()
+    with pytest.raises(FileNotFoundError, match="names shard_00001.bin"):
+        shards.read(spark, path)
+
+
+def test_overwriting_drops_what_was_recorded(spark, path):
+    write(spark, path, [[5] * 40] * 4, shard_size=100)
+    rows = [("", 0, 0, [7] * 10), ("", 1, 0, [8] * 10), ("", 2, 0, [9] * 10)]
+    shards.write(spark.createDataFrame(rows, shards.CHUNK_SCHEMA), {"": 3}, 10, path)
+    assert metadata.read(spark, path).count() == 0
+    assert [i for _, i, *_ in shards.published(path)] == [0, 1, 2]
