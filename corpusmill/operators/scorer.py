@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BIGRAM_WEIGHT = 0.75
+HOT_PAIRS = 1_024
 
 
 def token_pairs(shifted: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -31,6 +32,19 @@ def context_counts(bigrams: DataFrame) -> DataFrame:
     return bigrams.groupBy("x").agg(F.sum("n").alias("n_x"))
 
 
+def pair_keys(counted: DataFrame, bigrams: DataFrame, total: DataFrame) -> DataFrame:
+    """Adds ``_hot``, the count of a frequent pair, and ``_x``, the first join key of the others.
+
+    A pair with a share of 1 / HOT_PAIRS or more of all counts is frequent, so at most HOT_PAIRS
+    are, and they are broadcast. Their rows get scattered negative keys, which no token id equals,
+    and so do not gather in one task of the join that follows.
+    """
+    frequent = bigrams.withColumn("_one", F.lit(1)).join(total, "_one").where(F.col("n") * HOT_PAIRS >= F.col("n_all"))
+    marked = counted.join(F.broadcast(frequent.select("x", "y", F.col("n").alias("_hot"))), ["x", "y"], "left")
+    scattered = -1 - F.pmod(F.xxhash64(*counted.columns), F.lit(1 << 40))
+    return marked.withColumn("_x", F.when(F.col("_hot").isNull(), F.col("x").cast("bigint")).otherwise(scattered))
+
+
 def pair_nll(
     counted: DataFrame, bigrams: DataFrame, vocab_size: int, weight: float = BIGRAM_WEIGHT
 ) -> DataFrame:
@@ -43,8 +57,10 @@ def pair_nll(
     unigram = F.broadcast(target_counts(bigrams))
     context = F.broadcast(context_counts(bigrams))
     total = F.broadcast(bigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all")).withColumn("_one", F.lit(1)))
+    others = bigrams.select(F.col("x").cast("bigint").alias("_x"), "y", F.col("n").alias("n_xy"))
     seen = (
-        counted.join(bigrams.withColumnRenamed("n", "n_xy"), ["x", "y"], "left")
+        pair_keys(counted, bigrams, total).join(others, ["_x", "y"], "left")
+        .withColumn("n_xy", F.coalesce("_hot", "n_xy"))
         .join(unigram, "y", "left")
         .join(context, "x", "left")
         .withColumn("_one", F.lit(1))
@@ -53,7 +69,7 @@ def pair_nll(
     p_pair = F.coalesce(F.col("n_xy") / F.col("n_x"), F.lit(0.0))
     p_token = (F.coalesce("n_y", F.lit(0)) + 1) / (F.col("n_all") + vocab_size)
     nll = -F.log(F.lit(weight) * p_pair + F.lit(1 - weight) * p_token)
-    return seen.withColumn("nll", nll).drop("n_xy", "n_y", "n_x", "n_all", "_one")
+    return seen.withColumn("nll", nll).drop("n_xy", "n_y", "n_x", "n_all", "_one", "_hot", "_x")
 
 
 def loss_sums(

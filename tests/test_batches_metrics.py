@@ -146,3 +146,21 @@ def test_late_epochs_do_not_overflow(spark):
     tokens = spark.createDataFrame([("train", 0, 9)], "split STRING, shard INT, tokens BIGINT")
     got = batches.positions(tokens, 1, 5_000, 4).agg(F.max("epoch").alias("last"), F.count(F.lit(1)).alias("n")).first()
     assert (got.last, got.n) == (4_999, 10_000)
+
+
+def test_a_frequent_pair_is_spread_and_scored_alike(spark):
+    groups = spark.range(4_000).selectExpr("id as batch", "7 as x", "8 as y", "2L as _times")
+    rare = spark.createDataFrame([(0, 7, 9, 1), (1, 5, 6, 1)], "batch BIGINT, x INT, y INT, _times BIGINT")
+    counted = groups.union(rare)
+    rows = [(7, 8, 9_000), (7, 9, 1)] + [(100 + i, 3, 1) for i in range(50)]
+    bigrams = spark.createDataFrame(rows, "x INT, y INT, n BIGINT")
+    total = bigrams.agg(F.sum("n").alias("n_all")).withColumn("_one", F.lit(1))
+    keys = scorer.pair_keys(counted, bigrams, total).where("y = 8").select("_x").distinct()
+    assert keys.count() == 4_000
+    scored = scorer.pair_nll(counted, bigrams, 300).groupBy("x", "y").agg(F.count("nll"), F.min("nll"), F.max("nll"))
+    found = {(r.x, r.y): tuple(r)[2:] for r in scored.collect()}
+    for (x, y), pair, after, target, times in (
+        ((7, 8), 9_000, 9_001, 9_000, 4_000), ((7, 9), 1, 9_001, 1, 1), ((5, 6), 0, 1, 0, 1)
+    ):
+        nll = -math.log(0.75 * pair / after + 0.25 * (target + 1) / (9_051 + 300))
+        assert found[x, y] == (times, pytest.approx(nll), pytest.approx(nll))
