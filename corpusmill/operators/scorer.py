@@ -5,23 +5,24 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIGRAM_WEIGHT = 0.75
 HOT_PAIRS = 1_024
+# Pairs of a vocabulary that has no more of them are sent to all workers.
+SENT_PAIRS = 1 << 17
 
 
 def token_pairs(shifted: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per (input token, target token) of the windows."""
-    return shifted.select(*keep, F.explode(F.arrays_zip("x", "y")).alias("pair")).select(
-        *keep, F.col("pair.x").alias("x"), F.col("pair.y").alias("y")
-    )
+    targets = shifted.select(*keep, F.posexplode("x").alias("_at", "x"), F.col("y").alias("_y"))
+    return targets.select(*keep, "x", F.get("_y", F.col("_at")).alias("y"))
 
 
-def bigram_counts(pairs: DataFrame) -> DataFrame:
+def bigram_counts(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """How often target y follows x."""
-    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def target_counts(bigrams: DataFrame) -> DataFrame:
@@ -45,18 +46,40 @@ def pair_keys(counted: DataFrame, bigrams: DataFrame, total: DataFrame) -> DataF
     return marked.withColumn("_x", F.when(F.col("_hot").isNull(), F.col("x").cast("bigint")).otherwise(scattered))
 
 
+def _nll(vocab_size: int, weight: float) -> Column:
+    p_pair = F.coalesce(F.col("n_xy") / F.col("n_x"), F.lit(0.0))
+    p_token = (F.coalesce("n_y", F.lit(0)) + 1) / (F.col("n_all") + vocab_size)
+    return -F.log(F.lit(weight) * p_pair + F.lit(1 - weight) * p_token)
+
+
 def pair_nll(
     counted: DataFrame, bigrams: DataFrame, vocab_size: int, weight: float = BIGRAM_WEIGHT
 ) -> DataFrame:
     """Adds ``nll`` to rows with x and y under the counts in ``bigrams``.
 
     Interpolates the bigram estimate with an add-one unigram, so unseen pairs keep a
-    probability. Rows should come pre-counted per pair. The broadcast tables have one row
-    per token id, of which there are at most 65,536.
+    probability. The broadcast tables have one row per token id, of which there are at most
+    65,536, or one per pair of a vocabulary of at most ``SENT_PAIRS`` pairs; the rows then stay
+    where they are. Else they are shuffled by pair and should come pre-counted.
     """
     unigram = F.broadcast(target_counts(bigrams))
     context = F.broadcast(context_counts(bigrams))
     total = F.broadcast(bigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all")).withColumn("_one", F.lit(1)))
+    if _sent(vocab_size):
+        # The losses are worked out per pair and per token before they meet the rows.
+        known = bigrams.withColumnRenamed("n", "n_xy").join(unigram, "y").join(context, "x")
+        known = known.withColumn("_one", F.lit(1)).join(total, "_one").select("x", "y", _nll(vocab_size, weight).alias("_seen"))
+        unseen = target_counts(bigrams).withColumn("_one", F.lit(1)).join(total, "_one")
+        unseen = unseen.withColumns({"n_xy": F.lit(0), "n_x": F.lit(1)}).select("y", _nll(vocab_size, weight).alias("_unseen"))
+        foreign = total.withColumns({"n_xy": F.lit(0), "n_x": F.lit(1), "n_y": F.lit(0)})
+        foreign = foreign.select("_one", _nll(vocab_size, weight).alias("_foreign"))
+        met = (
+            counted.join(F.broadcast(known), ["x", "y"], "left")
+            .join(F.broadcast(unseen), "y", "left")
+            .withColumn("_one", F.lit(1))
+            .join(F.broadcast(foreign), "_one")
+        )
+        return met.withColumn("nll", F.coalesce("_seen", "_unseen", "_foreign")).drop("_seen", "_unseen", "_foreign", "_one")
     others = bigrams.select(F.col("x").cast("bigint").alias("_x"), "y", F.col("n").alias("n_xy"))
     seen = (
         pair_keys(counted, bigrams, total).join(others, ["_x", "y"], "left")
@@ -66,17 +89,24 @@ def pair_nll(
         .withColumn("_one", F.lit(1))
         .join(total, "_one")
     )
-    p_pair = F.coalesce(F.col("n_xy") / F.col("n_x"), F.lit(0.0))
-    p_token = (F.coalesce("n_y", F.lit(0)) + 1) / (F.col("n_all") + vocab_size)
-    nll = -F.log(F.lit(weight) * p_pair + F.lit(1 - weight) * p_token)
-    return seen.withColumn("nll", nll).drop("n_xy", "n_y", "n_x", "n_all", "_one", "_hot", "_x")
+    return seen.withColumn("nll", _nll(vocab_size, weight)).drop("n_xy", "n_y", "n_x", "n_all", "_one", "_hot", "_x")
+
+
+def _sent(vocab_size: int) -> bool:
+    return vocab_size**2 <= SENT_PAIRS
 
 
 def loss_sums(
-    pairs: DataFrame, bigrams: DataFrame, vocab_size: int, by: Sequence[str], weight: float = BIGRAM_WEIGHT
+    pairs: DataFrame, bigrams: DataFrame, vocab_size: int, by: Sequence[str], weight: float = BIGRAM_WEIGHT,
+    times: str | None = None,
 ) -> DataFrame:
-    """Summed loss and token count per group of pair rows."""
-    counted = pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("_times"))
+    """Summed loss and token count per group of pair rows; ``times`` names a count of equal pairs."""
+    if times is not None:
+        counted = pairs.select(*by, "x", "y", F.col(times).alias("_times"))
+    elif _sent(vocab_size):
+        counted = pairs.select(*by, "x", "y", F.lit(1).cast("bigint").alias("_times"))
+    else:
+        counted = bigram_counts(pairs, by).withColumnRenamed("n", "_times")
     scored = pair_nll(counted, bigrams, vocab_size, weight)
     return scored.groupBy(*by).agg(
         F.sum(F.col("_times") * F.col("nll")).alias("loss_sum"), F.sum("_times").alias("tokens")

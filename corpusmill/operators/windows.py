@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.constants import CONTEXT_LENGTH
+from corpusmill.session import materialize
 
 
 def windows(chunks: DataFrame, length: int = CONTEXT_LENGTH) -> DataFrame:
     """Windows of ``length + 1`` tokens: split, shard, window, ids.
 
     Window w of a shard covers tokens [w*L, w*L + L], so neighbours share one token. Chunks
-    are sliced before they are exploded, then one shuffle brings a window's slices together;
-    a group never holds more than L + 1 tokens. Short tail windows are dropped.
+    are sliced and the slices are written once. A slice that is a whole
+    window stays where it is; one shuffle brings the slices of the others together, and a group
+    never holds more than L + 1 tokens. Short tail windows are dropped.
     """
     low = F.col("shard_offset")
     high = F.col("shard_offset") + F.size("ids")
     first = F.greatest(F.lit(0), F.expr(f"(shard_offset - 1) div {length}").cast("int"))
     last = F.expr(f"(shard_offset + size(ids) - 1) div {length}").cast("int")
 
-    def piece(window: Column) -> Column:
-        start = F.greatest(window * length, low)
-        end = F.least(window * length + length + 1, high)
-        return F.struct(
-            window.alias("window"),
-            start.alias("at"),
-            F.slice("ids", start - low + 1, end - start).alias("ids"),
-        )
-
-    pieces = chunks.select(
-        "split", "shard", F.explode(F.transform(F.sequence(first, last), piece)).alias("piece")
+    start = F.greatest(F.col("window") * length, low)
+    end = F.least(F.col("window") * length + length + 1, high)
+    listed = chunks.select("split", "shard", "shard_offset", "ids", F.explode(F.sequence(first, last)).alias("window"))
+    pieces = listed.select(
+        "split", "shard", "window", start.alias("at"), F.slice("ids", start - low + 1, end - start).alias("ids")
     )
-    gathered = pieces.groupBy("split", "shard", F.col("piece.window").alias("window")).agg(
-        F.array_sort(F.collect_list(F.struct("piece.at", "piece.ids"))).alias("parts")
+    pieces = materialize(pieces, "window-pieces")
+    whole = pieces.where(F.size("ids") == length + 1).select("split", "shard", "window", "ids")
+    gathered = pieces.where(F.size("ids") <= length).groupBy("split", "shard", "window").agg(
+        F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts")
     )
     joined = gathered.select(
         "split", "shard", "window", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids")
     )
-    return joined.where(F.size("ids") == length + 1)
+    return whole.unionByName(joined.where(F.size("ids") == length + 1))
 
 
 def shifted(windows: DataFrame, length: int = CONTEXT_LENGTH) -> DataFrame:

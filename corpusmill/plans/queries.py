@@ -474,10 +474,10 @@ def bigram_counts(spark, sf):
 
 @query
 def token_nll(spark, sf):
-    shifted = _shifted(spark, sf)
-    sums = scorer.loss_sums(
-        scorer.token_pairs(shifted, ["split"]), _train_bigrams(shifted), BYTE_VOCAB_SIZE, ["split"]
-    )
+    """The pairs of both splits are counted in one pass; the scorer learns from those of training."""
+    counted = materialize(scorer.bigram_counts(scorer.token_pairs(_shifted(spark, sf), ["split"]), ["split"]), "split-bigrams")
+    learned = counted.where(F.col("split") == "train").drop("split")
+    sums = scorer.loss_sums(counted, learned, BYTE_VOCAB_SIZE, ["split"], times="n")
     return sums.select(
         "split", "tokens",
         F.round(F.col("loss_sum") / F.col("tokens"), DIGITS).alias("loss"),
@@ -486,14 +486,15 @@ def token_nll(spark, sf):
 
 
 def _batch_sums(spark, sf, split):
+    """Windows are summed where they lie; only their sums meet the plan."""
     packed = _packed(spark, sf)
     shifted = windows.shifted(windows.windows(packed.chunks, LENGTH), LENGTH)
     planned = batches.batches(packed.shard_tokens(), BATCH, WORKERS, 1, LENGTH, shuffle=False)
-    keyed = shifted.where(F.col("split") == split).join(
-        planned.where(F.col("split") == split), ["split", "shard", "window"]
-    )
-    pairs = scorer.token_pairs(keyed, ["batch_no"])
-    return scorer.loss_sums(pairs, _train_bigrams(shifted), BYTE_VOCAB_SIZE, ["batch_no"])
+    place = ["split", "shard", "window"]
+    pairs = scorer.token_pairs(shifted.where(F.col("split") == split), place)
+    sums = scorer.loss_sums(pairs, _train_bigrams(shifted), BYTE_VOCAB_SIZE, place)
+    keyed = sums.join(planned.where(F.col("split") == split), place)
+    return keyed.groupBy("batch_no").agg(F.sum("loss_sum").alias("loss_sum"), F.sum("tokens").alias("tokens"))
 
 
 @query
