@@ -69,20 +69,15 @@ def chunks(placed: DataFrame, framed: Column, shard_size: int = SHARD_SIZE) -> D
     start, end = F.col("offset"), F.col("offset") + F.col("n")
     first = F.expr(f"offset div {shard_size}")
     last = F.expr(f"(offset + n - 1) div {shard_size}")
-
-    def piece(shard: Column) -> Column:
-        low = F.greatest(shard * size, start)
-        high = F.least((shard + 1) * size, end)
-        return F.struct(
-            shard.cast("int").alias("shard"),
-            (low - shard * size).cast("int").alias("shard_offset"),
-            F.slice(F.col("_framed"), (low - start + 1).cast("int"), (high - low).cast("int")).alias("ids"),
-        )
-
-    cut = placed.withColumn("_framed", framed).select(
-        "doc_id", "split", F.explode(F.transform(F.sequence(first, last), piece)).alias("piece")
+    low = F.greatest(F.col("_shard") * size, start)
+    high = F.least((F.col("_shard") + 1) * size, end)
+    # Listed before the ids are made: inside a lambda they would not run as compiled code.
+    return placed.withColumn("_shard", F.explode(F.sequence(first, last))).select(
+        "doc_id", "split",
+        F.col("_shard").cast("int").alias("shard"),
+        (low - F.col("_shard") * size).cast("int").alias("shard_offset"),
+        F.slice(framed, (low - start + 1).cast("int"), (high - low).cast("int")).alias("ids"),
     )
-    return cut.select("doc_id", "split", "piece.shard", "piece.shard_offset", "piece.ids")
 
 
 def checked(ids: Column, vocab_size: int | None = None) -> Column:
