@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from corpusmill.constants import BOS_ID, EOS_ID, FIRST_BYTE_ID, PAD_ID, SPACE_MARK, UNK_ID
-from corpusmill.functions.text import normalize_line
+from corpusmill.functions.text import normalize_line, text_parts
 from corpusmill.functions.wordtable import WordTable, distinct_words, ends_of, gather_lists
 from corpusmill.sources.vocabulary import Pieces
 
 MEMO_WORDS = 1 << 18
-ROWS_AT_ONCE = 2_048
 SHORT_WORD = 256
 
 # Fixed value: how an unknown id reads after decoding.
@@ -134,9 +133,8 @@ def encode(text: Column, vocab: Pieces, add_bos: bool = False, add_eos: bool = F
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = WordEncoder(pieces, kinds)
-        for texts in batches:
-            parts = [encoder.lists(texts.slice(at, ROWS_AT_ONCE)) for at in range(0, len(texts), ROWS_AT_ONCE)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        for texts in text_parts(batches):
+            yield encoder.lists(texts)
 
     encoded = encode_batches(text)
     if not (add_bos or add_eos):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,6 +34,8 @@ DELETED_CONTROLS = r"[\x00-\x08\x0b\x0e-\x1f\x7f\x8f\x9f]"
 SPACE_LIKE = "\t\n\x0c\r\u061c\u1680\u200b\u200c\u200e\u200f\u2028\u2029\u2581\ufeff\ufffd"
 # Fixed value: the one character the rule leaves alone although NFKC would change it.
 KEPT_AS_IS = "\uff5e"
+# Workers take whole texts in parts of about this size.
+BYTES_AT_ONCE = 2 << 20
 
 
 def strip(text: Column) -> Column:
@@ -73,9 +79,30 @@ def normalize_line(text: str) -> str:
     return " ".join(part for part in text.split(" ") if part)
 
 
+def text_parts(batches: Iterator[pa.Array], most: int = BYTES_AT_ONCE) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes of text, one row at least; what they leave free goes back to the system."""
+    for texts in batches:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                yield texts.slice(a, b - a)
+        _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
 @F.arrow_udf(StringType())
-def _normalize_batch(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else normalize_line(t) for t in texts.to_pylist()], pa.string())
+def _normalize_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in text_parts(batches):
+        yield pa.array([None if t is None else normalize_line(t) for t in texts.to_pylist()], pa.string())
 
 
 def normalize(text: Column) -> Column:
@@ -86,4 +113,4 @@ def normalize(text: Column) -> Column:
     """
     plain = is_ascii(text) & ~text.rlike(r"[\x00-\x1f\x7f]")
     collapsed = F.btrim(F.regexp_replace(text, " {2,}", " "))
-    return F.coalesce(_normalize_batch(F.when(~plain, text)), collapsed)
+    return F.coalesce(_normalize_batches(F.when(~plain, text)), collapsed)

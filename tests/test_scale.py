@@ -2,10 +2,15 @@
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import codec
+from corpusmill.functions import text as tx
 from corpusmill.operators import scorer, windows
+from corpusmill.operators.order import with_ordinal
+from corpusmill.plans import queries
 
 CHUNKS = "split STRING, shard INT, shard_offset INT, ids ARRAY<INT>"
 
@@ -56,3 +61,37 @@ def test_only_slices_of_cut_windows_are_shuffled(spark):
     assert "Union" in plan(made)
     rows = {r.window: r.ids for r in made.collect()}
     assert rows == {w: list(range(4 * w, 4 * w + 5)) for w in range(5)}
+
+
+def test_workers_take_texts_in_parts():
+    texts = pa.array(["ab", None, "", "abcdefgh", "abc", "d" * 30, "e"])
+    parts = list(tx.text_parts(iter([texts, texts.slice(5)]), most=10))
+    assert sum((p.to_pylist() for p in parts), []) == texts.to_pylist() + texts.to_pylist()[5:]
+    assert all(sum(len(t or "") for t in p.to_pylist()[1:]) <= 10 for p in parts)
+    assert len(parts) == 4
+
+
+def test_parts_of_a_batch_come_back_in_order(spark, pieces):
+    texts = ["pano kerti " * 60_000, "", None, "\uff50ano " * 150_000, "kerti", "sun " * 700_000, "pano"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING").coalesce(1)
+    found = docs.select("doc_id", tx.normalize(F.col("text")).alias("t"), F.size(codec.encode(F.col("text"), pieces)).alias("n"))
+    rows = {r.doc_id: (r.t, r.n) for r in found.collect()}
+    assert {i: t for i, (t, _) in rows.items()} == {i: t and tx.normalize_line(t) for i, t in enumerate(texts)}
+    short = {t: n for t, n in ((r.t, r.n) for r in spark.createDataFrame([("pano",), ("kerti",), ("sun",)], "t STRING").select("t", F.size(codec.encode(F.col("t"), pieces)).alias("n")).collect())}
+    expected = [60_000 * (short["pano"] + short["kerti"]), 0, 0, 150_000 * short["pano"], short["kerti"], 700_000 * short["sun"], short["pano"]]
+    assert [rows[i][1] for i in range(7)] == expected
+
+
+def test_files_without_ids_grow_in_number(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("id as doc_id", "cast(id as string) as text")
+    assert queries._in_files(docs).rdd.getNumPartitions() == queries.KEYLESS_FILES
+    monkeypatch.setattr(queries, "KEYLESS_FILE_ROWS", 5)
+    files = queries._in_files(docs).rdd.glom().collect()
+    assert len(files) == 8 and [r.doc_id for f in files for r in f] == list(range(40))
+
+
+def test_unused_places_move_no_rows(spark):
+    docs = spark.range(100).selectExpr("id as doc_id", "id div 10 as block", "cast(id as string) as text")
+    with no_small_tables(spark):
+        found = plan(with_ordinal(docs, ["doc_id"]).select("text"))
+    assert "SortMergeJoin" not in found and "BroadcastHashJoin" in found
