@@ -29,7 +29,7 @@ ACCUMULATION = 4
 WORKERS = 2
 VOCAB = 400
 LIMIT = 500
-KEYLESS_FILES, KEYLESS_BLOCK = 3, 200
+KEYLESS_FILES, KEYLESS_FILE_ROWS, KEYLESS_BLOCK = 3, 20_000, 200
 STREAM_LIMIT = 700
 # Fixed value: the distance of a wide ASCII sign from the plain one.
 WIDE_STEP = 0xFEE0
@@ -138,6 +138,12 @@ def normalized_wide(spark, sf):
     return docs.select("doc_id", _text_md5(tx.normalize(spaced)).alias("text_md5"))
 
 
+def _in_files(docs: DataFrame) -> DataFrame:
+    """Documents in the order of their ids over as many files as their number deserves, ``KEYLESS_FILES`` at least."""
+    files = max(KEYLESS_FILES, -(-docs.count() // KEYLESS_FILE_ROWS))
+    return docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+
+
 @query
 def doc_split(spark, sf):
     return _numbered(spark, sf).select("doc_id", "ordinal", "split")
@@ -148,8 +154,7 @@ def keyless_split(spark, sf):
     """The corpus as files without ids: order and split come from file names and rows."""
     path = fresh_path(spark, "keyless")
     texts = spark.read.schema(corpus.DOCUMENT_SCHEMA).parquet(_documents(sf))
-    ordered = texts.repartitionByRange(KEYLESS_FILES, "doc_id").sortWithinPartitions("doc_id")
-    ordered.select("text").write.parquet(path)
+    _in_files(texts).select("text").write.parquet(path)
     accepted = corpus.accept(corpus.scan_rows(spark, path, KEYLESS_BLOCK))
     numbered = corpus.number(accepted).withColumn("split", pack.split_of(F.col("ordinal")))
     return numbered.select("ordinal", "split", _text_md5(F.col("text")).alias("text_md5"))
@@ -594,8 +599,7 @@ def stream_keyless(spark, sf):
     cut = span.lo + (span.hi - span.lo) // 3
     job = IncrementalBuild(out, BYTE_VOCAB_SIZE, shard_size=SHARD, add_bos=False, limit=STREAM_LIMIT)
     for part in (docs.where(F.col("doc_id") <= cut), docs.where(F.col("doc_id") > cut)):
-        ordered = part.repartitionByRange(KEYLESS_FILES, "doc_id").sortWithinPartitions("doc_id")
-        ordered.select("text").write.mode("append").parquet(landing)
+        _in_files(part).select("text").write.mode("append").parquet(landing)
         job.start(landing_stream(spark, landing, DELIVERY_FILES, keyed=False)).awaitTermination()
     job.close(spark)
     return shards.verify(spark, f"{out}/shards")
