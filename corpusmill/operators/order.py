@@ -93,6 +93,9 @@ def with_ordinal(
 ) -> DataFrame:
     """Zero-based global position of each row by (block, keys).
 
+    The one row per block is sent to the rows, which so move for the window alone, or not at
+    all where the position is not used.
+
     With ``unique``, two rows of equal keys fail the job, as their order would be left to chance.
     """
     counts = df.groupBy("block").agg(F.count(F.lit(1)).alias("_rows"))
@@ -106,7 +109,7 @@ def with_ordinal(
     inside = place
     return (
         df.withColumn("_inside", inside)
-        .join(base, "block")
+        .join(F.broadcast(base), "block")
         .withColumn(name, F.col("_base") + F.col("_inside") + F.lit(first))
         .drop("_base", "_inside")
     )

@@ -141,7 +141,8 @@ def load_or_fit(
     A saved vocabulary of another size is refused. The three limits narrow the fit only.
     """
     if not vocabulary.exists(path):
-        sample = corpus.number(accepted, sample_documents)
+        # Only a number of first documents asks for their order.
+        sample = accepted if sample_documents is None else corpus.number(accepted, sample_documents)
         vocabulary.save(fit.fit(sample, vocab_size, coverage, sample_documents, max_bytes, input_sentences), path)
     saved = vocabulary.load(accepted.sparkSession, path)
     if (pieces := saved.count()) != vocab_size:
