@@ -20,18 +20,19 @@ Defined results: null, empty and blank texts have fingerprint zero and link like
 Repeated rows share a component. A null id never names a component, unless it has no other.
 An empty table gives an empty result. Other columns are ignored.
 
-The pipeline's ``keep_one`` is not bound to these settings: it links rows whose sets of five-word
-shingles have a similarity (intersection over union) of 0.8 or more, all of them, see ``similar_rows``.
+The pipeline's ``keep_one`` takes fingerprints of five-word shingles through the same grid join, and
+links what has a similarity (intersection over union of the shingle sets) of 0.8 or more. Three bits
+miss most such pairs, so sets that share a rare shingle are candidates too, see ``similar_rows``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import slices
@@ -46,10 +47,13 @@ HALVES = 2
 TILE = 2_048
 PRINTS = "doc_id BIGINT, fingerprint BIGINT"
 LINKS = "a BIGINT, b BIGINT"
-# For ``keep_one``, which has no fingerprint: exact similarity of whole sets of longer shingles.
+# For ``keep_one``: longer shingles and the exact similarity of whole sets, of which fewer share a tile.
 NEAR_SHINGLE = 5
+SET_TILE = 256
 SIGNS = [f"s{i}" for i in range(8)]
-SHARED = ["shingle", "sid", "before", "first", "at"]
+SHARED = ["shingle", "sid", "at"]
+# Runs up to this many rows list all their pairs, longer ones a spanning forest.
+FEW = 16
 RANGE_BITS, OFTEN, OFTEN_IN_TASK = 22, 4, 2
 # Set numbers up to this many are sent to all workers, to fetch the sets where they lie.
 SENT_IDS = 1 << 19
@@ -66,7 +70,11 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
     if len(words) <= shingle:
         return _signed(digest(b" ".join(words), seed))
     joined = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
-    hashes = np.fromiter((digest(s, seed) for s in joined), np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter((digest(s, seed) for s in joined), np.uint64, len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -143,14 +151,12 @@ def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return near
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two sets (or within one, if they are the same)."""
-    same = left is right
-    points = left if same else np.concatenate([left, right])
-    side = np.zeros(len(points), np.int8)
-    if not same:
-        side[len(left) :] = 1
-    waiting = np.arange(len(points))
+def spanning(count: int, near: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``count`` places; with ``side``, of those between the sides.
+
+    ``near`` tells which of several places are linked to one.
+    """
+    waiting = np.arange(count)
     links, front = [], []
     while len(waiting) or front:
         if not front:
@@ -158,16 +164,24 @@ def forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         at = front.pop()
         if not len(waiting):
             continue
-        others = waiting if same else waiting[side[waiting] != side[at]]
-        near = within(np.full(len(others), points[at]), points[others])
-        met = others[near]
+        others = waiting if side is None else waiting[side[waiting] != side[at]]
+        met = others[near(at, others)]
         if len(met):
-            links += [(int(points[at]), int(points[m])) for m in met]
+            links += [(int(at), int(m)) for m in met]
             front += met.tolist()
             waiting = np.setdiff1d(waiting, met, assume_unique=True)
     return links
 
 
+def forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two sets of fingerprints (or within one, if they are the same)."""
+    same = left is right
+    points = left if same else np.concatenate([left, right])
+    side = None if same else np.arange(len(points)) >= len(left)
+    found = spanning(len(points), lambda at, others: within(np.full(len(others), points[at]), points[others]), side)
+    return [(int(points[a]), int(points[b])) for a, b in found]
+
+
 def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints whose closure is that of all links."""
     grid = prints.select("fingerprint").distinct().mapInArrow(_grid, "point BIGINT, fingerprint BIGINT, visitor TINYINT")
@@ -184,23 +198,28 @@ def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(_meet, LINKS).distinct()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each run of equal (point, i, j); a run holds two tiles at most."""
+def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int = 3) -> Iterator[tuple]:
+    """(columns, starts, ends) of the runs of rows that agree in the first ``keys`` columns; none is cut."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("point", "i", "j", "own", "fingerprint")]
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
         if held is not None:
             columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-        point, i, j = columns[:3]
-        if not len(point):
+        if not len(columns[0]):
             continue
-        new = (point[1:] != point[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])
         starts = np.concatenate([[0], np.flatnonzero(new) + 1])
         # The last run may go on in the next batch.
         held = [c[starts[-1] :] for c in columns]
-        yield _runs(columns, starts[:-1], starts[1:])
+        yield columns, starts[:-1], starts[1:]
     if held is not None:
-        yield _runs(held, np.array([0]), np.array([len(held[0])]))
+        yield held, np.array([0]), np.array([len(held[0])])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each run of equal (point, i, j); a run holds two tiles at most."""
+    for columns, starts, ends in whole_runs(batches, ["point", "i", "j", "own", "fingerprint"]):
+        yield _runs(columns, starts, ends)
 
 
 def _runs(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
@@ -285,7 +304,7 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, sid, n, parity bits, shingles) of every row; equal sets have equal ``sid``.
+    """(doc_id, mark, sid, n, fingerprint, parity bits, shingles) of every row; equal sets have equal ``sid``.
 
     ``mark`` is a hash of the text as it is, which tells rows of one id apart.
     """
@@ -301,13 +320,14 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 batch.column(2),
                 pa.array([_signed(xxhash.xxh64_intdigest(w, SEED)) for w in whole], pa.int64()),
                 pa.array([len(f) for f in found], pa.int64()),
+                pa.array([majority(f) for f in found], pa.int64()),
                 *[pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(SIGNS))],
                 pa.array([b.tobytes() for b in bits], pa.binary()),
                 pa.array(whole, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "n", *SIGNS, "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "n", "fingerprint", *SIGNS, "bits", "shingles"])
 
-    schema = f"doc_id BIGINT, mark BIGINT, sid BIGINT, n BIGINT, {', '.join(f'{s} BIGINT' for s in SIGNS)}, bits BINARY, shingles BINARY"
+    schema = f"doc_id BIGINT, mark BIGINT, sid BIGINT, n BIGINT, fingerprint BIGINT, {', '.join(f'{s} BIGINT' for s in SIGNS)}, bits BINARY, shingles BINARY"
     return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string"), F.xxhash64(text)).mapInArrow(run, schema)
 
 
@@ -366,108 +386,190 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle and set those whose shingle has more sets, with the set before and the first of the shingle."""
+    """Of rows sorted by shingle and set those whose shingle has more sets."""
     held = None
     for batch in batches:
-        shingle, sid, at = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shingle", "sid", "at"))
+        shingle, sid, at = (batch.column(n).to_numpy(zero_copy_only=False) for n in SHARED)
         if not len(shingle):
             continue
         if held is not None:
-            shingle, sid, at = np.append(held[0], shingle), np.append(held[1], sid), np.append(held[5], at)
+            shingle, sid, at = np.append(held[0], shingle), np.append(held[1], sid), np.append(held[2], at)
         once = np.append(True, (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1]))
         shingle, sid, at = shingle[once], sid[once], at[once]
-        starts = np.append(True, shingle[1:] != shingle[:-1])
-        first = sid[np.maximum.accumulate(np.where(starts, np.arange(len(sid)), 0))]
-        before = np.where(starts, sid, np.append(sid[:1], sid[:-1]))
-        goes_on = ~starts
+        goes_on = np.append(False, shingle[1:] == shingle[:-1])
         if held is not None:
-            first[: int(np.argmax(np.append(starts[1:], True))) + 1] = held[3]
-            before[0], goes_on[0] = held[2], held[4]
-        shared = goes_on | np.append(~starts[1:], False)
-        held = (shingle[-1], sid[-1], before[-1], first[-1], bool(goes_on[-1]), at[-1])
+            goes_on[0] = held[3]
+        shared = goes_on | np.append(shingle[1:] == shingle[:-1], False)
+        held = (shingle[-1], sid[-1], at[-1], bool(goes_on[-1]))
         shared[-1] = False
-        columns = [pa.array(c[shared]) for c in (shingle, sid, before, first, at)]
-        yield pa.RecordBatch.from_arrays(columns, SHARED)
-    if held is not None and held[4]:
-        yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in (*held[:4], held[5])], SHARED)
+        yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (shingle, sid, at)], SHARED)
+    if held is not None and held[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in held[:3]], SHARED)
+
+
+def _tiled(rows: DataFrame, group: str, tile: int) -> DataFrame:
+    """Rows (group, sid, ...) once for every two tiles (i, j) that theirs, ``own``, is one of; most groups are one tile."""
+    large = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile)
+    # A group in this table has over ``tile`` rows.
+    sized = rows.join(F.broadcast(large), group, "left").withColumn("tiles", F.expr(f"cast(ceil(coalesce(size, 1) / {tile}) as int)"))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    pairs = sized.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    return pairs.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("size", "tiles", "other")
+
+
+def _dealt(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of two tiles of a group, the first of the names, side by side."""
+    return rows.select(*names).repartition(*names[:3]).sortWithinPartitions(*names[:4])
+
 
+def _edges(sid: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+    places = np.concatenate([np.empty((0, 2), np.int64), *found]).astype(np.int64)
+    ends = np.unique(np.sort(sid[places], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, ROWS_PER_BATCH):
-        left, right = (batch.column(n).to_pylist() for n in ("left", "right"))
-        near = []
-        for a, b in zip(left, right, strict=True):
-            one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            near.append(9 * both >= 4 * (len(one) + len(two)))
-        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(near, pa.bool_())) for n in ("a", "b")], ["a", "b"])
+
+MEETING = ["shingle", "i", "j", "own", "sid", "n", "rest", *SIGNS]
 
 
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bound of ``_bound`` by all parity bits, whose number grows with the set."""
-    for batch in slices(batches, ROWS_PER_BATCH):
-        left, right, total = (batch.column(n).to_pylist() for n in ("left", "right", "total"))
-        near = []
-        for a, b, n in zip(left, right, total, strict=True):
-            size = min(len(a), len(b))
-            apart = folded(np.frombuffer(a, np.uint8), size) ^ folded(np.frombuffer(b, np.uint8), size)
-            near.append(9 * int(np.bitwise_count(apart).sum(dtype=np.int64)) <= n)
-        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(near, pa.bool_())) for n in ("a", "b")], ["a", "b"])
-
-
-def _bound(a: str, b: str) -> Column:
-    """Whether sizes and parity bits of two sets allow a similarity of 0.8: they differ by a ninth of their sizes at most."""
-    apart = " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SIGNS)
-    return F.expr(f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) and 9 * ({apart}) <= {a}.n + {b}.n")
-
-
-def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) of set numbers whose whole sets have a similarity of 0.8 or more."""
-    one, two = facts.alias("one"), facts.alias("two")
-    near = pairs.join(one, F.col("a") == F.col("one.sid")).join(two, F.col("b") == F.col("two.sid")).where(_bound("one", "two"))
-    near = near.select("a", "b", F.col("one.bits").alias("left"), F.col("two.bits").alias("right"), F.expr("one.n + two.n").alias("total"))
-    near = materialize(near.mapInArrow(_allowed, LINKS), f"{label}-candidates")
-    asked = materialize(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{label}-asked")
-    if asked.count() <= SENT_IDS:
-        # Else both sides move by set number.
-        asked = F.broadcast(asked)
-    whole = sets.select("sid", "shingles").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
-    whole = materialize(whole, f"{label}-sets", **ROW_GROUP)
-    left = whole.select(F.col("sid").alias("a"), F.col("shingles").alias("left"))
-    right = whole.select(F.col("sid").alias("b"), F.col("shingles").alias("right"))
-    return materialize(near.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_similar, LINKS), label)
+    """Links between sets at one shingle whose sizes, places of the shingle and parity bits allow a similarity of 0.8.
+
+    Such sets differ by a ninth of their sizes at most; at their first common shingle, no more than
+    what follows it can be common, and four ninths of both sizes must be.
+    """
+    for columns, starts, ends in whole_runs(batches, MEETING):
+        _, i, j, own, sid, n, rest, *signs = columns
+        signs = np.stack(signs, axis=1).view(np.uint64)
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            total = n[a] + n[b]
+            found = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(rest[a], rest[b]) >= 4 * total)
+            at = np.flatnonzero(found)
+            one, two = (signs[np.broadcast_to(x, found.shape)[at]] for x in (a, b))
+            found[at] = 9 * np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= total[at]
+            return found
+
+        sizes, found = ends - starts, []
+        few = sizes <= FEW
+        rows = np.flatnonzero(np.repeat(few, sizes)) + (starts[0] if len(starts) else 0)
+        last = np.repeat(ends[few], sizes[few])
+        for gap in range(1, FEW):
+            here = rows + gap < last
+            rows, last = rows[here], last[here]
+            pairs = rows[(i[rows] == j[rows]) | (own[rows] != own[rows + gap])]
+            pairs = pairs[near(pairs, pairs + gap)]
+            found.append(np.stack([pairs, pairs + gap], axis=1))
+        for a, b in zip(starts[~few], ends[~few], strict=True):
+            links_ = spanning(b - a, lambda at, others, a=a: near(a + at, a + others), None if i[a] == j[a] else own[a:b])
+            found.append(a + np.array(links_, np.int64).reshape(-1, 2))
+        yield _edges(sid, found)
+
+
+def _by_bits(n: np.ndarray, bits: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The test of sizes and parity bits by all bits, whose number grows with the set."""
+    sizes, tables = np.array([len(b) for b in bits]), {}
+    for size in np.unique(sizes):
+        tables[size] = np.zeros((len(bits), size), np.uint8)
+        for at in np.flatnonzero(sizes >= size):
+            tables[size][at] = folded(np.frombuffer(bits[at], np.uint8), size)
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        total = n[at] + n[others]
+        found = 5 * np.minimum(n[at], n[others]) >= 4 * np.maximum(n[at], n[others])
+        least = np.minimum(sizes[at], sizes[others])
+        for size in np.unique(least[found]):
+            here = np.flatnonzero(found & (least == size))
+            apart = np.bitwise_count(tables[size][others[here]] ^ tables[size][at]).sum(axis=1, dtype=np.int64)
+            found[here] = 9 * apart <= total[here]
+        return found
+
+    return near
+
+
+def _by_sets(whole: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The similarity itself, where the bits allow it."""
+    n = np.array([len(w) for w in whole])
+    allowed = _by_bits(n, [parity(w).tobytes() for w in whole])
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        found = allowed(at, others)
+        for k in np.flatnonzero(found):
+            both = len(np.intersect1d(whole[at], whole[others[k]], assume_unique=True))
+            found[k] = 9 * both >= 4 * (n[at] + n[others[k]])
+        return found
+
+    return near
+
+
+IN_CLUSTER = ["cluster", "i", "j", "own", "sid", "n"]
+
+
+def _linked(data: str) -> Callable:
+    """Links within clusters, by the ``bits`` or the ``shingles`` of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, starts, ends in whole_runs(batches, [*IN_CLUSTER, data]):
+            _, i, j, own, sid, n, held = columns
+            found = []
+            for a, b in zip(starts, ends, strict=True):
+                near = _by_bits(n[a:b], held[a:b]) if data == "bits" else _by_sets([np.frombuffer(w, np.uint64) for w in held[a:b]])
+                links_ = spanning(b - a, near, None if i[a] == j[a] else own[a:b])
+                found.append(a + np.array(links_, np.int64).reshape(-1, 2))
+            yield _edges(sid, found)
+
+    return run
+
+
+def _clusters(edges: DataFrame, label: str) -> DataFrame:
+    """(sid, cluster) of every set that ``edges`` link to another."""
+    roots = materialize(components(edges, label), f"{label}-roots")
+    named = roots.select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
+    return named.unionByName(roots.select(F.col("root").alias("sid"), F.col("root").alias("cluster")).distinct())
+
+
+def _printed(facts: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or linked by the grid join, a representative of each for the second."""
+    least = facts.groupBy("fingerprint").agg(F.min("sid").alias("least"))
+    equal = facts.join(least, "fingerprint").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    met = links(facts.select("fingerprint"))
+    one, two = (least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"least_{c}")) for c in "ab")
+    linked = met.join(one, "a").join(two, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return equal.unionByName(linked)
+
+
+def _meeting(sets: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b): links between sets that share one of the first shingles of both."""
+    rows = _prefixes(sets).select(F.posexplode("first").alias("at", "shingle"), "sid").withColumn("at", F.col("at").cast("bigint"))
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sid").select(*SHARED)
+    met = materialize(dealt.mapInArrow(_shared, ", ".join(f"{c} BIGINT" for c in SHARED)), "shared-shingles")
+    told = _tiled(met, "shingle", TILE).join(facts.select("sid", "n", *SIGNS), "sid").withColumn("rest", F.expr("n - at"))
+    return _dealt(told, MEETING).mapInArrow(_allowed, LINKS)
 
 
 def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, mark, sid, root) of every row: components of all pairs with five-word shingle sets of similarity 0.8 or more.
 
-    Candidates share one of the first shingles, so no pair is missed. Each set's most frequent
-    neighbours are verified first; what they leave apart is then compared pair by pair, so that a large
-    group of near copies costs no square of its size.
+    Candidates are what the grid join of the fingerprints links, and sets that share one of their first
+    shingles, so no pair is missed. Their closure makes clusters, in which sets are compared in tiles:
+    by all parity bits first, which makes smaller clusters, then whole. A task returns a spanning
+    forest of its links, so a large group of near copies is never listed as pairs.
     """
     with batch_rows(docs.sparkSession, ROWS_PER_BATCH):
         sets = materialize(shingle_sets(docs, key, text), "shingles", **ROW_GROUP)
-        facts = materialize(sets.select("sid", "n", *SIGNS, "bits").dropDuplicates(["sid"]), "shingle-facts")
-        rows = _prefixes(sets).select(F.posexplode("first").alias("at", "shingle"), "sid").withColumn("at", F.col("at").cast("bigint"))
-        dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "sid")
-        met = materialize(dealt.mapInArrow(_shared, ", ".join(f"{c} BIGINT" for c in SHARED)), "shared-shingles")
-        # Of the sets before it and of the first ones, each set tries the one it meets most often.
-        tried = met.select(F.posexplode(F.array("before", "first")).alias("kind", "a"), F.col("sid").alias("b")).where("a <> b")
-        best = tried.groupBy("kind", "b", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "b").agg(F.max(F.struct("n", "a")).alias("m"))
-        chains = best.select("m.a", "b").distinct()
-        chained = _verified(chains, facts, sets, "chained")
-        roots = components(chained, "chains").withColumnRenamed("node", "sid")
-        rooted = met.select("shingle", "sid", "at").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        every = Window.partitionBy("shingle")
-        apart = rooted.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low <> high")
-        apart = materialize(apart.select("shingle", "sid", "root", "at").join(facts.drop("bits"), "sid").withColumn("rest", F.expr("n - at")), "apart")
-        one, two = apart.alias("one"), apart.alias("two")
-        # At their first common shingle, no more than what follows it can be common; four ninths of both sizes must be.
-        reach = F.expr("9 * least(one.rest, two.rest) >= 4 * (one.n + two.n)")
-        across = one.join(two, F.expr("one.shingle = two.shingle and one.sid < two.sid and one.root <> two.root") & reach & _bound("one", "two"))
-        pairs = across.select(F.col("one.sid").alias("a"), F.col("two.sid").alias("b")).distinct()
-        links_ = chained.unionByName(_verified(pairs, facts, sets, "compared"))
-        roots = components(links_, "similar").withColumnRenamed("node", "sid")
+        facts = materialize(sets.select("sid", "n", "fingerprint", *SIGNS, "bits").dropDuplicates(["sid"]), "shingle-facts")
+        candidates = materialize(_printed(facts).unionByName(_meeting(sets, facts)).distinct(), "candidates")
+        wide = _tiled(_clusters(candidates, "clusters"), "cluster", TILE).join(facts.select("sid", "n", "bits"), "sid")
+        agreed = materialize(_dealt(wide, [*IN_CLUSTER, "bits"]).mapInArrow(_linked("bits"), LINKS), "agreed")
+        members = materialize(_clusters(agreed, "compared"), "members")
+        asked = members.select("sid")
+        if members.count() <= SENT_IDS:
+            # Else both sides move by set number.
+            asked = F.broadcast(asked)
+        whole = sets.select("sid", "n", "shingles").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
+        whole = materialize(whole, "compared-sets", **ROW_GROUP)
+        narrow = _tiled(members, "cluster", SET_TILE).join(whole, "sid")
+        found = materialize(_dealt(narrow, [*IN_CLUSTER, "shingles"]).mapInArrow(_linked("shingles"), LINKS), "similar-links")
+        roots = components(found, "similar").withColumnRenamed("node", "sid")
     return sets.select("doc_id", "mark", "sid").join(roots, "sid", "left").select("doc_id", "mark", "sid", F.coalesce("root", "sid").alias("root"))
 
 

@@ -111,3 +111,54 @@ def test_keep_one_links_all_pairs_of_similarity_four_fifths(spark):
     expected = {find(i) for i in range(len(texts))}
     docs = documents(spark, [(i, " ".join(t), *[None] * 6) for i, t in enumerate(texts)])
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == expected and len(expected) < len(texts) - 60
+
+
+def near_copies(count):
+    """Texts of 150 words that differ from one text in about eight words each: similarities around 0.6 to 0.9."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(count):
+        words = list(base)
+        for at in rng.choice(np.arange(20, 150), rng.integers(2, 7), replace=False):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_keep_one_asks_the_grid_join_first(spark, monkeypatch):
+    asked, join = [], simhash.links
+
+    def links(prints, *more):
+        asked.append(join(prints, *more))
+        return asked[-1]
+
+    monkeypatch.setattr(simhash, "links", links)
+    texts = [f"a{i} " * 3 + " ".join(f"b{i % 7}-{k}" for k in range(60)) for i in range(30)]
+    kept = simhash.keep_one(documents(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)]))
+    assert kept.count() == 7 and len(asked) == 1 and asked[0].columns == ["a", "b"]
+
+
+def test_keep_one_lists_no_pairs_of_a_large_group(spark, monkeypatch):
+    sizes, write = {}, simhash.materialize
+
+    def materialize(df, label, **options):
+        written = write(df, label, **options)
+        sizes[label] = max(sizes.get(label, 0), written.count())
+        return written
+
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    monkeypatch.setattr(simhash, "SET_TILE", 64, raising=False)
+    texts = near_copies(300)
+    kept = simhash.keep_one(documents(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)]))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    group = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert {r.doc_id for r in kept.collect()} == set(group)
+    # A row per set and shingle comes before; links of a group are a few for each set, not its square.
+    links = {k: n for k, n in sizes.items() if k in ("candidates", "agreed", "similar-links", "compared-candidates")}
+    assert max(links.values()) <= 20 * 300
