@@ -50,12 +50,13 @@ def place(
     ``docs`` has block, ordinal and split. Documents that encode to nothing are dropped
     here, after they took their ordinal. The documents are written once, so whatever
     produced ``length`` and ``carry`` runs once; the per-block token totals then come
-    from a narrow scan of the written table.
+    from a narrow scan of the written table. They are one row per block, which is sent to
+    the documents.
     """
     written = materialize(sized(docs, length, carry, extra_tokens), "placed").where("n > 0")
     totals = written.groupBy("split", "block").agg(F.sum("n").alias("_tokens"))
     base = running_base(totals, "_tokens", "_base", ["split"])
-    return written.join(base, ["split", "block"]).select(
+    return written.join(F.broadcast(base), ["split", "block"]).select(
         "doc_id", "ordinal", "split", "n", (F.col("_base") + F.col("_inside")).alias("offset"), *carry
     )
 

@@ -104,13 +104,8 @@ class IncrementalBuild:
 
         started = F.when(F.col("split") == "val", so_far["val_tokens"]).otherwise(so_far["train_tokens"])
         chunks = pack.chunks(placed.withColumn("offset", F.col("offset") + started), framed, self.shard_size)
-        (
-            chunks.drop("doc_id")
-            .repartition("split", "shard")
-            .write.mode("overwrite")
-            .partitionBy("split", "shard")
-            .parquet(self._chunk_folder(now["batch_id"]))
-        )
+        # Chunks are written where they lie, and shuffled once, when their shard is full.
+        chunks.drop("doc_id").write.mode("overwrite").partitionBy("split").parquet(self._chunk_folder(now["batch_id"]))
         parts = {}
         for split, added in totals.items():
             now[f"{split}_docs"] += added.num_documents

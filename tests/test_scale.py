@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than their input."""
 
 from contextlib import contextmanager
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -11,6 +12,7 @@ from corpusmill.functions import text as tx
 from corpusmill.operators import scorer, windows
 from corpusmill.operators.order import with_ordinal
 from corpusmill.plans import queries
+from corpusmill.streaming.incremental import IncrementalBuild
 
 CHUNKS = "split STRING, shard INT, shard_offset INT, ids ARRAY<INT>"
 
@@ -95,3 +97,21 @@ def test_unused_places_move_no_rows(spark):
     with no_small_tables(spark):
         found = plan(with_ordinal(docs, ["doc_id"]).select("text"))
     assert "SortMergeJoin" not in found and "BroadcastHashJoin" in found
+
+
+def test_chunks_of_a_batch_are_written_by_split_where_they_lie(spark, path):
+    docs = spark.createDataFrame([(i, f"word{i} " * 40) for i in range(60)], "doc_id BIGINT, text STRING")
+    path = path.removeprefix("file:")
+    job = IncrementalBuild(path, 260, min_words=1, val_every=10, shard_size=200)
+    job.run_batch(docs, 0)
+    # A folder per shard would make as many files, and as many moves by the driver.
+    assert {f.name for f in Path(f"{path}/chunks/batch_id=0").glob("split=*")} == {"split=train", "split=val"}
+    assert not list(Path(f"{path}/chunks").glob("**/shard=*"))
+    assert len(list(Path(f"{path}/shards/train").glob("*.bin"))) > 20
+    more = spark.createDataFrame([(i, f"word{i} " * 40) for i in range(60, 90)], "doc_id BIGINT, text STRING")
+    job.run_batch(more, 1)
+    both = job.close(spark)
+    whole = IncrementalBuild(f"{path}-whole", 260, min_words=1, val_every=10, shard_size=200)
+    whole.run_batch(docs.unionByName(more), 0)
+    sums = [[v["sha256"] for v in r["train"]["verification"]] for r in (both, whole.close(spark))]
+    assert sums[0] == sums[1]
