@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 BIGRAM_WEIGHT = 0.75
 HOT_PAIRS = 1_024
@@ -25,6 +30,44 @@ def bigram_counts(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def window_bigrams(shifted: DataFrame, vocab_size: int, by: Sequence[str] = ()) -> DataFrame:
+    """``bigram_counts`` of the ``token_pairs`` of windows whose x and y are equally long.
+
+    Under a vocabulary of at most ``SENT_PAIRS`` pairs a task counts in one table per value of
+    ``by``, and its pairs never become rows.
+    """
+    if not _sent(vocab_size):
+        return bigram_counts(token_pairs(shifted, by), by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+            if not np.array_equal(sizes, pc.fill_null(pc.list_value_length(y), 0).to_numpy(zero_copy_only=False)):
+                raise ValueError("inputs and targets of a window differ in length")
+            pairs = [c.flatten().to_numpy(zero_copy_only=False) for c in (x, y)]
+            if any(len(p) and (p.min() < 0 or p.max() >= vocab_size) for p in pairs):
+                raise ValueError(f"a token id is outside the vocabulary of {vocab_size} ids")
+            codes = pairs[0].astype(np.int64) * vocab_size + pairs[1]
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
+            number = {key: n for n, key in enumerate(dict.fromkeys(keys))}
+            owner = np.repeat(np.fromiter(map(number.get, keys), np.int64, len(keys)), sizes)
+            for key, n in number.items():
+                table = tables.setdefault(key, np.zeros(vocab_size**2, np.int64))
+                table += np.bincount(codes[owner == n] if len(number) > 1 else codes, minlength=vocab_size**2)
+        for key, table in tables.items():
+            at = np.flatnonzero(table)
+            columns = [pa.array([k] * len(at), t) for k, t in zip(key, types, strict=True)]
+            columns += [pa.array((at // vocab_size).astype(np.int32)), pa.array((at % vocab_size).astype(np.int32)), pa.array(table[at])]
+            yield pa.RecordBatch.from_arrays(columns, [*by, "x", "y", "n"])
+
+    kept = shifted.select(*by, "x", "y")
+    types = [to_arrow_type(kept.schema[c].dataType) for c in by]
+    schema = StructType([*[kept.schema[c] for c in by], *[StructField(c, IntegerType()) for c in "xy"], StructField("n", LongType())])
+    return kept.mapInArrow(run, schema).groupBy(*by, "x", "y").agg(F.sum("n").alias("n"))
+
+
 def target_counts(bigrams: DataFrame) -> DataFrame:
     return bigrams.groupBy("y").agg(F.sum("n").alias("n_y"))
 

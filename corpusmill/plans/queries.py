@@ -468,7 +468,7 @@ def step_cadence(spark, sf):
 
 def _train_bigrams(shifted):
     """Counted once and written: the totals that a scorer derives from them are cheap then."""
-    counts = scorer.bigram_counts(scorer.token_pairs(shifted.where(F.col("split") == "train")))
+    counts = scorer.window_bigrams(shifted.where(F.col("split") == "train"), BYTE_VOCAB_SIZE)
     return materialize(counts, "bigrams")
 
 
@@ -480,7 +480,7 @@ def bigram_counts(spark, sf):
 @query
 def token_nll(spark, sf):
     """The pairs of both splits are counted in one pass; the scorer learns from those of training."""
-    counted = materialize(scorer.bigram_counts(scorer.token_pairs(_shifted(spark, sf), ["split"]), ["split"]), "split-bigrams")
+    counted = materialize(scorer.window_bigrams(_shifted(spark, sf), BYTE_VOCAB_SIZE, ["split"]), "split-bigrams")
     learned = counted.where(F.col("split") == "train").drop("split")
     sums = scorer.loss_sums(counted, learned, BYTE_VOCAB_SIZE, ["split"], times="n")
     return sums.select(

@@ -115,3 +115,14 @@ def test_chunks_of_a_batch_are_written_by_split_where_they_lie(spark, path):
     whole.run_batch(docs.unionByName(more), 0)
     sums = [[v["sha256"] for v in r["train"]["verification"]] for r in (both, whole.close(spark))]
     assert sums[0] == sums[1]
+
+
+def test_pairs_of_windows_are_counted_without_a_row_each(spark):
+    rows = [("train", [5, 6, 7], [6, 7, 8]), ("val", [5, 6, 7], [6, 7, 5]), ("train", [6, 6, 6], [6, 6, 6]), ("train", [], [])]
+    shifted = spark.createDataFrame(rows, "split STRING, x ARRAY<INT>, y ARRAY<INT>")
+    for by in ([], ["split"]):
+        slow = scorer.bigram_counts(scorer.token_pairs(shifted, by), by)
+        fast = scorer.window_bigrams(shifted, 260, by)
+        assert slow.schema == fast.schema or slow.dtypes == fast.dtypes
+        assert sorted(slow.collect()) == sorted(fast.collect()) == sorted(scorer.window_bigrams(shifted, 60_000, by).collect())
+        assert "Generate" not in fast._jdf.queryExecution().executedPlan().toString()
