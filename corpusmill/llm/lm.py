@@ -21,20 +21,20 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.recurrent import Adam, Shape, score, train
-from corpusmill.llm.tokens import slices
-from corpusmill.llm.words import lower_words, worker_state
+from corpusmill.llm.tokens import text_slices
+from corpusmill.llm.words import word_arrays, worker_state
 from corpusmill.session import materialize
 
 END = b""
@@ -44,6 +44,10 @@ ROUNDS = 3
 FOLDS = 10
 CHUNK_TOKENS = 4_000_000
 COUNTER_WORDS = 200_000
+# Counts are held up to this multiple before equal words are put together.
+HELD_TIMES = 4
+BYTES_AT_ONCE = 4 << 20
+ROWS_OUT = 2_000
 STEPS_PER_DOUBLING = 64
 PIECE = 4_096
 SALTS = 16
@@ -57,22 +61,25 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): occurrences of every word, and of the end token as the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
-
-        for batch in slices(batches):
-            for body in batch.column(0).to_pylist():
-                counts.update(lower_words(body))
-                counts[END] += 1
-            if len(counts) > COUNTER_WORDS:
-                yield flushed()
-        yield flushed()
-
-    parts = docs.select(F.col(text).cast("string")).mapInArrow(run, "word BINARY, n BIGINT")
+        held, ends = [], 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for batch in text_slices(batches, most=BYTES_AT_ONCE):
+            found = word_arrays(batch.column("text"))[0].value_counts()
+            held.append(pa.table([found.field("values"), found.field("counts")], ["word", "n"]))
+            ends += batch.num_rows
+            if sum(map(len, held)) > HELD_TIMES * COUNTER_WORDS:
+                held = [merged()]
+                if len(held[0]) > COUNTER_WORDS:
+                    yield from held.pop().to_batches(max_chunksize=COUNTER_WORDS)
+        if held:
+            yield from merged().to_batches(max_chunksize=COUNTER_WORDS)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
+
+    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word BINARY, n BIGINT")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -86,7 +93,6 @@ class Model:
     distinct: int
     shape: Shape
     flat: np.ndarray
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def own_words(self) -> int:
@@ -109,47 +115,54 @@ class Model:
         found[-1] = max(self.rare_mass, 1.0)
         return found
 
-    def lookup(self) -> dict[bytes, int]:
-        return worker_state(("lm", self.name), lambda: {w: i for i, w in enumerate(self.words)})
 
-    def ids(self, at: np.ndarray) -> np.ndarray:
-        """Token ids of head places (-1: not in the head), with the end after them."""
-        own = (at >= 0) & (at < self.own_words)
-        return np.append(np.where(own, at + 1, self.shape.vocabulary - 1), 0).astype(np.int32)
+def places(words: pa.Array, table: pa.Array) -> np.ndarray:
+    """Where each word stands in ``table``; -1: nowhere."""
+    return pc.fill_null(pc.index_in(words, value_set=table), -1).to_numpy(zero_copy_only=False)
 
 
-def places(lookup: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(lookup.get, words, repeat(-1)), np.int64, len(words))
+def token_ids(at: np.ndarray, sizes: np.ndarray, own_words: int, vocabulary: int) -> list[np.ndarray]:
+    """Token ids of each text, the end after its words, from its words' places in the head."""
+    ids = np.where((at >= 0) & (at < own_words), at + 1, vocabulary - 1).astype(np.int32)
+    return np.split(np.insert(ids, np.cumsum(sizes), 0), np.cumsum(sizes + 1)[:-1])
 
 
-def _chunks(docs: Iterator, limit: int = CHUNK_TOKENS) -> Iterator[list]:
-    """Lists of (info, ids) with about ``limit`` ids each, or one document if that is longer."""
-    held, size = [], 0
+def _chunks(docs: Iterator, limit: int = CHUNK_TOKENS, size: Callable = len) -> Iterator[list]:
+    """Lists of (info, ids) with about ``limit`` ids each, or one item if that is larger."""
+    held, total = [], 0
     for info, ids in docs:
         held.append((info, ids))
-        size += len(ids)
-        if size >= limit:
+        total += size(ids)
+        if total >= limit:
             yield held
-            held, size = [], 0
+            held, total = [], 0
     if held:
         yield held
 
 
-def _broadcast(docs: DataFrame, model: Model):
+def _broadcast(docs: DataFrame, model: object):
     """The model as bytes that carry its classes: workers need not have the package."""
     return docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
 
 def _round(docs: DataFrame, model: Model, rate: float) -> np.ndarray:
-    """The parameters after every task trained on its documents, averaged by tokens read."""
-    sent = _broadcast(docs, model)
+    """The parameters after every task trained on its documents, averaged by tokens read.
+
+    Only the words with a token of their own are sent: all others are one token here.
+    """
+    sent = _broadcast(docs, (model.shape, model.flat, model.words[: model.own_words]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(sent.value)
-        flat, optimizer, lookup, read = own.flat.copy(), Adam(own.shape.size, rate), own.lookup(), 0
-        texts = ((None, own.ids(places(lookup, lower_words(t)))) for b in slices(batches) for t in b.column(0).to_pylist())
-        for chunk in _chunks(texts):
-            read += train(own.shape, flat, [ids for _, ids in chunk], optimizer)
+        shape, flat, own = pickle.loads(sent.value)
+        flat, optimizer, table, read = flat.copy(), Adam(shape.size, rate), pa.array(own, pa.binary()), 0
+
+        def texts() -> Iterator[tuple]:
+            for batch in text_slices(batches, most=BYTES_AT_ONCE):
+                words, sizes = word_arrays(batch.column("text"))
+                yield from zip(repeat(None), token_ids(places(words, table), sizes, len(own), shape.vocabulary))
+
+        for chunk in _chunks(texts()):
+            read += train(shape, flat, [ids for _, ids in chunk], optimizer)
         if read:
             pieces = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
             salt = TaskContext.get().partitionId() % SALTS
@@ -170,7 +183,7 @@ def _round(docs: DataFrame, model: Model, rate: float) -> np.ndarray:
         return pa.table(columns, ["piece", "salt", "tokens", "data"])
 
     schema = "piece INT, salt INT, tokens BIGINT, data BINARY"
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, schema)
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     # Two steps, so that no group grows with the number of tasks times the model.
     part_means = parts.groupBy("piece", "salt").applyInArrow(average, schema)
     rows = part_means.groupBy("piece").applyInArrow(average, schema).collect()
@@ -220,60 +233,60 @@ SCORED = (
     "model DOUBLE, tail ARRAY<STRUCT<word: BINARY, times: INT>>"
 )
 
+SCORED_NAMES = [part.split(" ")[0] for part in SCORED.split("<")[0].split(", ")]
+
 
 def _score_rows(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
-    sent = _broadcast(docs, model)
+    sent, name = _broadcast(docs, model), uuid.uuid4().hex
+
+    def opened() -> tuple[Model, pa.Array]:
+        own = pickle.loads(sent.value)
+        return own, pa.array(own.words, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = pickle.loads(sent.value), TaskContext.get().partitionId() << 33
-        lookup, known = own.lookup(), bool(own.ends)
+        # Read once per worker, not per task.
+        own, table = worker_state(("lm", name), opened)
+        row, known = TaskContext.get().partitionId() << 33, int(bool(own.ends))
+        # The place -1 is that of words outside of the head.
         logs = np.append(np.log10(own.counts + SMOOTHING), 0.0)
         end_log = np.log10(own.ends + SMOOTHING)
 
-        def texts() -> Iterator[tuple]:
-            for batch in slices(batches):
-                for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = lower_words(body)
-                    at = places(lookup, words)
-                    inside = at >= 0
-                    rare = inside & (at >= own.own_words)
-                    tail = Counter(words[i] for i in np.flatnonzero(~inside))
-                    n_head = int(inside.sum())
-                    info = (
-                        doc_id, len(words) + 1, n_head + known, float(logs[at[inside]].sum() + end_log),
-                        float(logs[at[rare]].sum()), int(rare.sum()) + len(words) - n_head, tail,
-                    )
-                    yield info, own.ids(at)
+        def rows(doc_ids: pa.Array, words: pa.Array, sizes: np.ndarray, at: np.ndarray) -> list:
+            """All columns but the row's number and the model's, which goes before the last."""
+            n, owner, worth = len(sizes), np.repeat(np.arange(len(sizes)), sizes), logs[at]
+            rare, outside = at >= own.own_words, np.flatnonzero(at < 0)
+            n_tail = np.bincount(owner[outside], minlength=n)
+            tail = words.take(pa.array(outside)).dictionary_encode()
+            spread = max(1, len(tail.dictionary))
+            entries, times = np.unique(owner[outside] * spread + tail.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            structs = pa.StructArray.from_arrays([tail.dictionary.take(pa.array(entries % spread)), pa.array(times, pa.int32())], ["word", "times"])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(entries // spread, minlength=n))])
+            return [
+                doc_ids,
+                pa.array(sizes + 1),
+                pa.array(sizes - n_tail + known),
+                pa.array(np.bincount(owner, worth, n) + end_log, pa.float64()),
+                pa.array(np.bincount(owner[rare], worth[rare], n).astype(np.float64)),
+                pa.array(np.bincount(owner[rare], minlength=n) + n_tail),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs),
+            ]
 
-        for chunk in _chunks(texts()):
-            found = score(own.shape, own.flat, [ids for _, ids in chunk]) / np.log(10)
-            infos = [info for info, _ in chunk]
-            for at in range(0, len(infos), 2_000):
-                some = infos[at : at + 2_000]
-                columns = list(zip(*some, strict=True))
-                tails = columns[6]
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
-                entries = pa.StructArray.from_arrays(
-                    [pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for t in tails for n in t.values()], pa.int32())],
-                    ["word", "times"],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + len(some))),
-                        pa.array(columns[0], pa.int64()),
-                        pa.array(columns[1], pa.int64()),
-                        pa.array(columns[2], pa.int64()),
-                        pa.array(columns[3], pa.float64()),
-                        pa.array(columns[4], pa.float64()),
-                        pa.array(columns[5], pa.int64()),
-                        pa.array(found[at : at + 2_000]),
-                        pa.ListArray.from_arrays(pa.array(offsets), entries),
-                    ],
-                    ["row", "doc_id", "n_tokens", "n_head", "head_sum", "rare_sum", "n_rare", "model", "tail"],
-                )
-                row += len(some)
-
-    return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, SCORED)
+        def texts() -> Iterator[tuple]:
+            for batch in text_slices(batches, most=BYTES_AT_ONCE):
+                words, sizes = word_arrays(batch.column("text"))
+                at = places(words, table)
+                yield rows(batch.column("doc_id"), words, sizes, at), token_ids(at, sizes, own.own_words, own.shape.vocabulary)
+
+        for chunk in _chunks(texts(), size=lambda docs: sum(map(len, docs))):
+            found = score(own.shape, own.flat, [ids for _, docs in chunk for ids in docs]) / np.log(10)
+            for columns, docs in chunk:
+                n = len(docs)
+                numbers, scores, found = np.arange(row, row + n), found[:n], found[n:]
+                row += n
+                part = pa.RecordBatch.from_arrays([pa.array(numbers), *columns[:-1], pa.array(scores), columns[-1]], SCORED_NAMES)
+                yield from (part.slice(k, ROWS_OUT) for k in range(0, n, ROWS_OUT))
+
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCORED)
 
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

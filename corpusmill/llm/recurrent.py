@@ -9,6 +9,7 @@ softmax. Output biases start from counts, so that an untrained model is the unig
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,29 +75,31 @@ class Lanes:
             dealt[lane].append(d)
             heapq.heappush(heap, (length + len(docs[d]), lane))
         dealt.sort(key=lambda lane: -sum(len(docs[d]) for d in lane))
-        self.tokens = [np.concatenate([docs[d] for d in lane] or [np.empty(0, np.int32)]) for lane in dealt]
-        sizes = [[len(docs[d]) for d in lane] for lane in dealt]
-        self.docs = [np.repeat(np.array(lane, np.int64), size) for lane, size in zip(dealt, sizes, strict=True)]
-        self.lengths = np.array([len(t) for t in self.tokens])
+        order = [d for lane in dealt for d in lane]
+        sizes = np.array([len(docs[d]) for d in order], np.int64)
+        self.lengths = np.array([sum(len(docs[d]) for d in lane) for lane in dealt], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        # Lanes lie one after the other; a last place stands for what is past a lane's end.
+        self.laid = np.concatenate([docs[d] for d in order] + [np.array([-1])], dtype=np.int32)
+        self.owners = np.append(np.repeat(np.array(order, np.int64), sizes), -1)
+        self.first = np.zeros(len(self.laid), bool)
+        self.first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+
+    @property
+    def tokens(self) -> list[np.ndarray]:
+        return np.split(self.laid[:-1], self.starts[1:])
 
     def windows(self, steps: int = STEPS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(number, tokens, documents, whether a document goes on) of each window; -1 past a lane's end.
 
         The lanes with anything left are always the first ones.
         """
-        last = [-1] * len(self.tokens)
         for number, at in enumerate(range(0, int(self.lengths.max(initial=0)), steps)):
             active = int((self.lengths > at).sum())
-            tokens = np.full((active, steps), -1, np.int32)
-            docs = np.full((active, steps), -1, np.int64)
-            for i in range(active):
-                row = self.tokens[i][at : at + steps]
-                tokens[i, : len(row)] = row
-                docs[i, : len(row)] = self.docs[i][at : at + steps]
-            before = np.concatenate([np.array(last[:active])[:, None], docs[:, :-1]], axis=1)
-            last[:active] = docs[:, -1].tolist()
-            goes_on = (docs == before).astype(np.float32)
-            yield number, np.ascontiguousarray(tokens.T), np.ascontiguousarray(docs.T), np.ascontiguousarray(goes_on.T)
+            places = np.arange(at, at + steps)[:, None] + self.starts[:active]
+            if self.lengths[active - 1] < at + steps:
+                places[np.arange(at, at + steps)[:, None] >= self.lengths[:active]] = len(self.laid) - 1
+            yield number, self.laid.take(places), self.owners.take(places), (~self.first.take(places)).astype(np.float32)
 
 
 def lanes_for(tokens: int) -> int:
@@ -104,43 +107,73 @@ def lanes_for(tokens: int) -> int:
     return int(min(LANES, max(16, tokens // 2_048)))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+class Rooms:
+    """Arrays used again by the next window, so that their memory is not asked for anew."""
 
+    def __init__(self):
+        self.held: dict = {}
 
-def forward(p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray, keep: bool):
-    """States before each token, the state after the last, and what backpropagation needs."""
-    steps, lanes = tokens.shape
-    hidden = state.shape[1]
-    before = np.empty((steps, lanes, hidden), np.float32)
-    saved = np.empty((steps, lanes, 4 * hidden), np.float32) if keep else None
-    given = p["X"][np.maximum(tokens, 0)]
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: type) -> np.ndarray:
+        size, held = math.prod(shape), self.held.get(name)
+        if held is None or held.dtype != dtype or len(held) < size:
+            held = self.held[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
+
+
+def forward(p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray, keep: bool, rooms: Rooms | None = None):
+    """States before each token, the state after the last, and what backpropagation needs.
+
+    Each gate has a block of its own, so that a step's arithmetic runs over whole blocks. Weights
+    of the sigmoid gates are halved (exactly) for sigmoid(x) = tanh(x / 2) / 2 + 1 / 2. The
+    states lie in ``rooms`` and last until the next window.
+    """
+    (steps, lanes), hidden, rooms = tokens.shape, state.shape[1], rooms or Rooms()
+    kind, vocabulary = p["U"].dtype, len(p["X"])
+    half = np.array([0.5, 0.5, 1], kind)[:, None, None]
+    inputs = p["X"].reshape(vocabulary, 3, hidden).transpose(1, 0, 2) * half
+    weights = p["U"].reshape(hidden, 3, hidden).transpose(1, 0, 2) * half
+    bias = rooms("bias", (3, lanes, hidden), kind)
+    bias[:] = p["c"].reshape(3, 1, hidden) * half
+    ids = np.maximum(tokens, 0)[:, None, :] + np.arange(0, 3 * vocabulary, vocabulary)[:, None]
+    given = inputs.reshape(-1, hidden).take(ids, axis=0, out=rooms("given", (steps, 3, lanes, hidden), kind), mode="clip")
+    states = rooms("states", (steps + 1, lanes, hidden), kind)
+    saved = rooms("saved", (steps if keep else 1, 4, lanes, hidden), kind)
+    products = rooms("products", (3, lanes, hidden), kind)
+    starts = [np.flatnonzero(row == 0) for row in goes_on]
+    states[0] = state
     for t in range(steps):
-        state = state * goes_on[t][:, None]
-        before[t] = state
-        g = state @ p["U"] + p["c"]
-        gates = _sigmoid(given[t, :, : 2 * hidden] + g[:, : 2 * hidden])
-        r, z, gn = gates[:, :hidden], gates[:, hidden:], g[:, 2 * hidden :]
-        n = np.tanh(given[t, :, 2 * hidden :] + r * gn)
-        state = n + z * (state - n)
-        if keep:
-            saved[t, :, : 2 * hidden] = gates
-            saved[t, :, 2 * hidden : 3 * hidden] = n
-            saved[t, :, 3 * hidden :] = gn
-    return before, state, saved
-
-
-def output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
+        state, after, (r, z, n, gn) = states[t], states[t + 1], saved[t if keep else 0]
+        gates = saved[t if keep else 0, :2]
+        state[starts[t]] = 0
+        np.matmul(state, weights, out=products)
+        np.add(products, bias, out=products)
+        np.add(given[t, :2], products[:2], out=gates)
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        gn[:] = products[2]
+        np.multiply(r, gn, out=n)
+        n += given[t, 2]
+        np.tanh(n, out=n)
+        np.subtract(state, n, out=after)
+        after *= z
+        after += n
+    return states[:steps], states[steps].copy(), saved if keep else None
+
+
+def output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None = None, rooms: Rooms | None = None):
     """Natural log probability of each target; with ``grads``, their sums and the states' gradient.
 
     Everything is laid out by target class once, so that each class works on a slice.
     """
     classes, members = p["bo"].shape
+    rooms, size = rooms or Rooms(), len(targets)
     kind = (targets // members).astype(np.uint16)
     order = np.argsort(kind, kind="stable")
-    kind, states, member = kind[order].astype(np.intp), states[order], (targets % members)[order]
-    every = np.arange(len(order))
-    logits = states @ p["Wc"]
+    kind, member = kind[order].astype(np.intp), (targets % members)[order]
+    states = states.take(order, axis=0, out=rooms("by class", states.shape, states.dtype), mode="clip")
+    every = np.arange(size)
+    logits = np.matmul(states, p["Wc"], out=rooms("logits", (size, classes), p["Wc"].dtype))
     logits += p["bc"]
     np.exp(logits, out=logits)
     total = logits @ np.ones(classes, logits.dtype)
@@ -151,8 +184,8 @@ def output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
         logits.ravel()[every * classes + kind] -= 1
         grads["Wc"] += states.T @ logits
         grads["bc"] += logits.sum(0)
-        back = logits @ p["Wc"].T
-    inner, ones = np.empty((len(order), members), logits.dtype), np.ones(members, logits.dtype)
+        back = np.matmul(logits, p["Wc"].T, out=rooms("back by class", states.shape, logits.dtype))
+    inner, ones = rooms("inner", (size, members), logits.dtype), np.ones(members, logits.dtype)
     ends = np.cumsum(np.bincount(kind, minlength=classes))
     slices = [(k, slice(int(b - n), int(b))) for k, (b, n) in enumerate(zip(ends, np.diff(ends, prepend=0), strict=True)) if n]
     for k, own in slices:
@@ -161,7 +194,7 @@ def output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
     np.exp(inner, out=inner)
     total = inner @ ones
     share *= inner.ravel()[every * members + member] / total
-    found = np.empty(len(order), share.dtype)
+    found = np.empty(size, share.dtype)
     found[order] = np.log(np.maximum(share, 1e-37))
     if grads is None:
         return found, None
@@ -171,47 +204,70 @@ def output(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
         grads["Wo"][k] += states[own].T @ inner[own]
         grads["bo"][k] += inner[own].sum(0)
         back[own] += inner[own] @ p["Wo"][k].T
-    unsorted = np.empty_like(back)
-    unsorted[order] = back
-    return found, unsorted
+    place = np.empty(size, np.intp)
+    place[order] = every
+    return found, back.take(place, axis=0, out=rooms("back", back.shape, back.dtype), mode="clip")
 
 
-def window_gradient(shape: Shape, p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray, phase: int, every: int = LOSS_EVERY):
+def window_gradient(
+    shape: Shape, p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray, phase: int, every: int = LOSS_EVERY, rooms: Rooms | None = None
+):
     """(summed gradient, tokens counted, state after) of one window; loss at every ``every``-th token."""
-    steps, hidden = len(tokens), shape.hidden
-    before, after, saved = forward(p, tokens, goes_on, state, True)
+    (steps, lanes), hidden, rooms = tokens.shape, shape.hidden, rooms or Rooms()
+    before, after, saved = forward(p, tokens, goes_on, state, True, rooms)
+    kind = before.dtype
     flat = np.zeros(shape.size, np.float32)
     grads = shape.views(flat)
     counted = np.zeros(tokens.shape, bool)
     counted[phase % every :: every] = True
     counted &= tokens >= 0
-    back = np.zeros_like(before)
     n = int(counted.sum())
-    if n:
-        back[counted] = output(p, before[counted], tokens[counted], grads)[1]
-    dg_all = np.empty((steps, tokens.shape[1], 3 * hidden), np.float32)
-    da_all = np.empty_like(dg_all)
-    dh = np.zeros_like(after)
-    real = (tokens >= 0).astype(np.float32)
+    if n == counted.size:
+        back = output(p, before.reshape(-1, hidden), tokens.ravel(), grads, rooms)[1].reshape(before.shape)
+    else:
+        back = np.zeros_like(before)
+        if n:
+            back[counted] = output(p, before[counted], tokens[counted], grads, rooms)[1]
+    # By gate for the inputs' gradient, by lane for the state's.
+    da_all = rooms("da", (3, steps, lanes, hidden), kind)
+    dg_all = rooms("dg", (steps, lanes, 3, hidden), kind)
+    dh, part = np.zeros_like(after), np.empty_like(after)
+    starts = [np.flatnonzero(row == 0) for row in goes_on]
+    ended = [np.flatnonzero(row < 0) for row in tokens]
     for t in range(steps - 1, -1, -1):
-        gates, n_, gn = saved[t, :, : 2 * hidden], saved[t, :, 2 * hidden : 3 * hidden], saved[t, :, 3 * hidden :]
-        r, z = gates[:, :hidden], gates[:, hidden:]
-        dh = dh * real[t][:, None]
-        dan = dh * (1 - z) * (1 - n_ * n_)
-        da, dg = da_all[t], dg_all[t]
-        da[:, :hidden] = dan * gn * r * (1 - r)
-        da[:, hidden : 2 * hidden] = dh * (before[t] - n_) * z * (1 - z)
-        da[:, 2 * hidden :] = dan
-        dg[:, : 2 * hidden] = da[:, : 2 * hidden]
-        dg[:, 2 * hidden :] = dan * r
-        dh = (dh * z + dg @ p["U"].T + back[t]) * goes_on[t][:, None]
+        r, z, n_, gn = saved[t]
+        dr, dz, dan = da_all[:, t]
+        dg = dg_all[t]
+        dh[ended[t]] = 0
+        np.subtract(1, z, out=part)
+        np.multiply(dh, part, out=dan)
+        np.subtract(before[t], n_, out=dz)
+        dz *= dh
+        dz *= z
+        dz *= part
+        np.multiply(n_, n_, out=part)
+        np.subtract(1, part, out=part)
+        dan *= part
+        np.multiply(dan, gn, out=dr)
+        dr *= r
+        np.subtract(1, r, out=part)
+        dr *= part
+        np.multiply(dan, r, out=part)
+        dg[:, 0], dg[:, 1], dg[:, 2] = dr, dz, part
+        dh *= z
+        dh += np.matmul(dg.reshape(lanes, 3 * hidden), p["U"].T, out=part)
+        dh += back[t]
+        dh[starts[t]] = 0
     dg_flat = dg_all.reshape(-1, 3 * hidden)
     grads["U"] += before.reshape(-1, hidden).T @ dg_flat
     grads["c"] += dg_flat.sum(0)
     ids = np.maximum(tokens, 0).ravel()
-    order = np.argsort(ids, kind="stable")
+    # Small integers are sorted in linear time.
+    order = np.argsort(ids.astype(np.uint16) if shape.vocabulary <= 1 << 16 else ids, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0]))
-    grads["X"][ids[order][heads]] += np.add.reduceat(da_all.reshape(-1, 3 * hidden)[order], heads, axis=0)
+    rows = order[:, None] + np.arange(0, 3 * len(order), len(order))
+    da = da_all.reshape(-1, hidden).take(rows, axis=0, out=rooms("sorted", (*rows.shape, hidden), kind), mode="clip")
+    grads["X"][ids[order][heads]] += np.add.reduceat(da.reshape(-1, 3 * hidden), heads, axis=0)
     return flat, n, after
 
 
@@ -234,8 +290,8 @@ def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], optimizer: Ada
     window's tokens, lest one long document steer the model alone.
     """
     laid = Lanes(docs, lanes)
-    p, state = shape.views(flat), None
-    enough = len(laid.tokens) * STEPS // LOSS_EVERY // 2
+    p, state, rooms = shape.views(flat), None, Rooms()
+    enough = len(laid.lengths) * STEPS // LOSS_EVERY // 2
     gathered, counted = np.zeros(shape.size, np.float32), 0
 
     def move() -> None:
@@ -248,7 +304,7 @@ def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], optimizer: Ada
     for number, tokens, _, goes_on in laid.windows():
         active = tokens.shape[1]
         state = np.zeros((active, shape.hidden), np.float32) if state is None else state[:active]
-        gradient, n, state = window_gradient(shape, p, tokens, goes_on, state, number)
+        gradient, n, state = window_gradient(shape, p, tokens, goes_on, state, number, rooms=rooms)
         gathered += gradient
         counted += n
         if counted >= enough and counted:
@@ -263,12 +319,15 @@ def train(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], optimizer: Ada
 
 def score(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], lanes: int | None = None) -> np.ndarray:
     """Natural log probability of each document."""
-    p, state, found = shape.views(flat), None, np.zeros(len(docs))
+    p, state, found, rooms = shape.views(flat), None, np.zeros(len(docs)), Rooms()
     for _, tokens, owners, goes_on in Lanes(docs, lanes).windows():
         active = tokens.shape[1]
         state = np.zeros((active, shape.hidden), np.float32) if state is None else state[:active]
-        before, state, _ = forward(p, tokens, goes_on, state, False)
-        real = tokens >= 0
-        logs, _ = output(p, before[real], tokens[real])
-        found += np.bincount(owners[real], logs.astype(np.float64), len(docs))
+        before, state, _ = forward(p, tokens, goes_on, state, False, rooms)
+        before, real = before.reshape(-1, shape.hidden), tokens.ravel() >= 0
+        tokens, owners = tokens.ravel(), owners.ravel()
+        if not real.all():
+            before, tokens, owners = before[real], tokens[real], owners[real]
+        logs, _ = output(p, before, tokens, rooms=rooms)
+        found += np.bincount(owners, logs.astype(np.float64), len(docs))
     return found

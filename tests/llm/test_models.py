@@ -2,15 +2,19 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusmill.llm import lm, toxicity
-from corpusmill.llm.recurrent import Adam, Lanes, Shape, forward, output, score, train, window_gradient
+from corpusmill.llm.recurrent import Adam, Lanes, Rooms, Shape, forward, output, score, train, window_gradient
+from corpusmill.llm.words import lower_words, word_arrays
 
 from .data import brute_words, documents, odd_rows
 
@@ -155,3 +159,36 @@ def test_every_token_is_learnt_from():
     moved = flat.copy()
     train(shape, moved, [np.array([i % 6], np.int32) for i in range(20)], Adam(shape.size, 0.02))
     assert (moved != flat).any()
+
+
+def test_word_arrays_are_the_words_of_each_text():
+    rng = random.Random(4)
+    signs = [*map(chr, range(128)), *" \t\n\x0b\x0c\r" * 5, "é", "İ", "\x85", "\u2003", "😀"]
+    texts = [None, "", " ", "\r\n", *("".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3_000)), None]
+    for some in (texts, texts[:4], texts[:0]):
+        found, sizes = word_arrays(pa.array(some, pa.string()))
+        assert sizes.tolist() == [len(lower_words(t)) for t in some]
+        assert found.to_pylist() == [w for t in some for w in lower_words(t)]
+
+
+def test_rounds_send_only_the_words_with_a_token(spark, monkeypatch):
+    docs = documents(spark, [(i, " ".join(f"word{i * 40 + k}" for k in range(40)), *[None] * 6) for i in range(300)])
+    sizes, plain = [], lm._broadcast
+    monkeypatch.setattr(lm, "_broadcast", lambda docs, model: (sizes.append(len(cloudpickle.dumps(model))), plain(docs, model))[1])
+    model = lm.fit(docs, lm.word_counts(docs).cache(), shape=Shape(4, 2, 4))
+    assert len(model.words) == 12_000 and len(sizes) == lm.ROUNDS and max(sizes) < 20_000
+
+
+def test_windows_use_their_memory_again():
+    shape, rooms = Shape(), Rooms()
+    p = shape.views(shape.start(np.ones(shape.vocabulary)))
+    tokens = np.random.default_rng(1).integers(0, shape.vocabulary, (32, 512)).astype(np.int32)
+    peaks, found = [], []
+    for _ in range(2):
+        tracemalloc.start()
+        found.append(window_gradient(shape, p, tokens, np.ones((32, 512), np.float32), np.zeros((512, shape.hidden), np.float32), 0, rooms=rooms))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 0.25 * peaks[0]
+    # What the window before left behind does not matter.
+    assert (found[0][0] == found[1][0]).all() and (found[0][2] == found[1][2]).all()
