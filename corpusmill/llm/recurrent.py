@@ -120,6 +120,12 @@ class Rooms:
         return held[:size].reshape(shape)
 
 
+def _by_step(mask: np.ndarray) -> list[np.ndarray]:
+    """The lanes marked at each step."""
+    steps, lanes = np.nonzero(mask)
+    return np.split(lanes, np.searchsorted(steps, np.arange(1, len(mask)))) if len(lanes) else [lanes] * len(mask)
+
+
 def forward(p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray, keep: bool, rooms: Rooms | None = None):
     """States before each token, the state after the last, and what backpropagation needs.
 
@@ -138,20 +144,19 @@ def forward(p: dict, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray,
     given = inputs.reshape(-1, hidden).take(ids, axis=0, out=rooms("given", (steps, 3, lanes, hidden), kind), mode="clip")
     states = rooms("states", (steps + 1, lanes, hidden), kind)
     saved = rooms("saved", (steps if keep else 1, 4, lanes, hidden), kind)
-    products = rooms("products", (3, lanes, hidden), kind)
-    starts = [np.flatnonzero(row == 0) for row in goes_on]
+    starts = _by_step(goes_on == 0)
     states[0] = state
     for t in range(steps):
-        state, after, (r, z, n, gn) = states[t], states[t + 1], saved[t if keep else 0]
-        gates = saved[t if keep else 0, :2]
-        state[starts[t]] = 0
+        state, after, own = states[t], states[t + 1], saved[t if keep else 0]
+        (r, z, gn, n), gates, products = own, own[:2], own[:3]
+        if len(starts[t]):
+            state[starts[t]] = 0
         np.matmul(state, weights, out=products)
-        np.add(products, bias, out=products)
-        np.add(given[t, :2], products[:2], out=gates)
+        products += bias
+        gates += given[t, :2]
         np.tanh(gates, out=gates)
         gates *= 0.5
         gates += 0.5
-        gn[:] = products[2]
         np.multiply(r, gn, out=n)
         n += given[t, 2]
         np.tanh(n, out=n)
@@ -232,13 +237,13 @@ def window_gradient(
     da_all = rooms("da", (3, steps, lanes, hidden), kind)
     dg_all = rooms("dg", (steps, lanes, 3, hidden), kind)
     dh, part = np.zeros_like(after), np.empty_like(after)
-    starts = [np.flatnonzero(row == 0) for row in goes_on]
-    ended = [np.flatnonzero(row < 0) for row in tokens]
+    starts, ended = _by_step(goes_on == 0), _by_step(tokens < 0)
     for t in range(steps - 1, -1, -1):
-        r, z, n_, gn = saved[t]
+        r, z, gn, n_ = saved[t]
         dr, dz, dan = da_all[:, t]
         dg = dg_all[t]
-        dh[ended[t]] = 0
+        if len(ended[t]):
+            dh[ended[t]] = 0
         np.subtract(1, z, out=part)
         np.multiply(dh, part, out=dan)
         np.subtract(before[t], n_, out=dz)
@@ -257,7 +262,8 @@ def window_gradient(
         dh *= z
         dh += np.matmul(dg.reshape(lanes, 3 * hidden), p["U"].T, out=part)
         dh += back[t]
-        dh[starts[t]] = 0
+        if len(starts[t]):
+            dh[starts[t]] = 0
     dg_flat = dg_all.reshape(-1, 3 * hidden)
     grads["U"] += before.reshape(-1, hidden).T @ dg_flat
     grads["c"] += dg_flat.sum(0)
