@@ -14,7 +14,8 @@ Equal fingerprints are one row from the start, so copies never meet each other.
 with very many distinct fingerprints, such as that of a large group of near copies, is cut
 into tiles of bounded size by a hash, and every two tiles meet in a task of their own. A task
 returns a spanning forest of its links, not the pairs. Components follow by repeated label
-exchange along links, with tables written between rounds.
+exchange along links, with tables written between rounds; tasks shorten the paths they hold first,
+so rounds are few, and no table whose rows grow with the corpus is sent through the driver by hint.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like others.
 Repeated rows share a component. A null id never names a component, unless it has no other.
@@ -55,8 +56,10 @@ SHARED = ["shingle", "sid", "at"]
 # Runs up to this many rows list all their pairs, longer ones a spanning forest.
 FEW = 16
 RANGE_BITS, OFTEN, OFTEN_IN_TASK = 22, 4, 2
-# Set numbers up to this many are sent to all workers, to fetch the sets where they lie.
-SENT_IDS = 1 << 19
+# Rows of 64 bits that tell all workers which sets may be asked for, to fetch those where they lie.
+ASKED_BITS = 17
+# A task shortens the paths of this many links at a time.
+HELD_LINKS = 1 << 20
 # Whole sets pass between Spark and its workers and into files in parts of these sizes.
 ROWS_PER_BATCH = 1_000
 ROW_GROUP = {"parquet.block.size": 16 << 20}
@@ -244,27 +247,73 @@ def _runs(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
+def stars(links_: np.ndarray) -> np.ndarray:
+    """Each node of the links (two columns) that can reach a lesser one, and the least it can reach."""
+    nodes, at = np.unique(links_, return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while True:
+        one, two = label[at[:, 0]], label[at[:, 1]]
+        if (one == two).all():
+            break
+        low = np.minimum(one, two)
+        np.minimum.at(label, one, low)
+        np.minimum.at(label, two, low)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[moved], nodes[label[moved]]], axis=1)
+
+
+def _shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``stars`` of the links of a task, of a bounded number at a time."""
+    held, size = [np.empty((0, 2), np.int64)], 0
+
+    def out(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(2)], ["u", "v"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)], axis=1))
+        size += batch.num_rows
+        if size > HELD_LINKS:
+            held = [stars(np.concatenate(held))]
+            size = len(held[0])
+            if 2 * size > HELD_LINKS:
+                yield out(held.pop())
+                size = 0
+    if held:
+        yield out(stars(np.concatenate(held)))
+
+
+def _all_stars(links_: DataFrame) -> bool:
+    """Whether every node that points to another points to one only, and none points to it."""
+    ends = links_.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("points")), F.struct(F.col("v").alias("node"), F.lit(0).alias("points")))).alias("end"))
+    ends = ends.groupBy("end.node").agg(F.sum("end.points").alias("points"), F.count(F.lit(1)).alias("n"))
+    return ends.where("points > 0 and n > 1").count() == 0
+
+
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b) but the roots; a root is its component's least node.
 
     Large-star and small-star rounds: each points a node at the least neighbour known, until
-    nothing changes. Least neighbours are aggregated before they are joined.
+    all components are stars. Least neighbours are aggregated before they are joined, and a star
+    is written before the next one reads it, so no plan holds a round's joins more than once.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     current = materialize(edges.where("a <> b").select(high.alias("u"), low.alias("v")).distinct(), label)
-    mark = None
-    while True:
-        seen = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if seen == mark or not seen.n:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
+    # Few links need few tasks, in which most paths end.
+    current = current.coalesce(1 + current.count() // HELD_LINKS)
+    current = materialize(current.mapInArrow(_shorter, "u BIGINT, v BIGINT").distinct(), label)
+    while not _all_stars(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, label)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        current = materialize(small.mapInArrow(_shorter, "u BIGINT, v BIGINT"), label)
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,8 +403,8 @@ def _frequency_steps(sets: DataFrame) -> np.ndarray:
     mean = float(sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) / (1 << RANGE_BITS)
     steps = np.zeros(1 << RANGE_BITS, np.int8)
     # At most one range in OFTEN can be this far above the mean.
-    for r in counts.where(F.col("n") > F.lit(OFTEN * mean)).collect():
-        steps[r.at] = 1 + int(np.log2(r.n))
+    often = counts.where(F.col("n") > F.lit(OFTEN * mean)).select("at", "n").toArrow()
+    steps[often["at"].to_numpy()] = 1 + np.log2(often["n"].to_numpy()).astype(np.int8)
     return steps
 
 
@@ -546,6 +595,19 @@ def _meeting(sets: DataFrame, facts: DataFrame) -> DataFrame:
     return _dealt(told, MEETING).mapInArrow(_allowed, LINKS)
 
 
+def _asked(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, n, shingles) once for each set in ``members``.
+
+    Sets are many times wider than their numbers, so few others may move: bits by set number, in a
+    table of bounded size, are sent to the workers, and what they let pass is joined by the number itself.
+    """
+    at, bit = F.expr(f"shiftrightunsigned(sid, {64 - ASKED_BITS})"), F.expr("shiftleft(1L, cast(sid & 63 as int))")
+    bits = members.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits"))
+    may = sets.select("sid", "n", "shingles").join(F.broadcast(bits), at == bits["at"]).where(F.col("bits").bitwiseAND(bit) != 0)
+    # Copies are folded in the tasks that read them, before any row moves.
+    return may.select("sid", "n", "shingles").dropDuplicates(["sid"]).join(members.select("sid"), "sid", "left_semi")
+
+
 def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, mark, sid, root) of every row: components of all pairs with five-word shingle sets of similarity 0.8 or more.
 
@@ -557,16 +619,12 @@ def similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     with batch_rows(docs.sparkSession, ROWS_PER_BATCH):
         sets = materialize(shingle_sets(docs, key, text), "shingles", **ROW_GROUP)
         facts = materialize(sets.select("sid", "n", "fingerprint", *SIGNS, "bits").dropDuplicates(["sid"]), "shingle-facts")
-        candidates = materialize(_printed(facts).unionByName(_meeting(sets, facts)).distinct(), "candidates")
+        # Written one after the other: one plan for both would keep all its stages in the driver at once.
+        candidates = materialize(_printed(facts), "candidates").unionByName(materialize(_meeting(sets, facts).distinct(), "candidates"))
         wide = _tiled(_clusters(candidates, "clusters"), "cluster", TILE).join(facts.select("sid", "n", "bits"), "sid")
         agreed = materialize(_dealt(wide, [*IN_CLUSTER, "bits"]).mapInArrow(_linked("bits"), LINKS), "agreed")
         members = materialize(_clusters(agreed, "compared"), "members")
-        asked = members.select("sid")
-        if members.count() <= SENT_IDS:
-            # Else both sides move by set number.
-            asked = F.broadcast(asked)
-        whole = sets.select("sid", "n", "shingles").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
-        whole = materialize(whole, "compared-sets", **ROW_GROUP)
+        whole = materialize(_asked(sets, members), "compared-sets", **ROW_GROUP)
         narrow = _tiled(members, "cluster", SET_TILE).join(whole, "sid")
         found = materialize(_dealt(narrow, [*IN_CLUSTER, "shingles"]).mapInArrow(_linked("shingles"), LINKS), "similar-links")
         roots = components(found, "similar").withColumnRenamed("node", "sid")

@@ -1,5 +1,8 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusmill.llm import simhash
 
@@ -162,3 +165,60 @@ def test_keep_one_lists_no_pairs_of_a_large_group(spark, monkeypatch):
     # A row per set and shingle comes before; links of a group are a few for each set, not its square.
     links = {k: n for k, n in sizes.items() if k in ("candidates", "agreed", "similar-links", "compared-candidates")}
     assert max(links.values()) <= 20 * 300
+
+
+def links_of_groups(rng):
+    """Shuffled links of a path, of trees and of pairs, and the least node of each node's group."""
+    nodes = rng.choice(1 << 40, 900, replace=False).astype(np.int64) - (1 << 39)
+    pairs = [(i, i - 1) for i in range(1, 300)] + [(i, int(rng.integers(300, i))) for i in range(301, 600)] + [(i, i + 1) for i in range(600, 900, 2)]
+    edges = nodes[np.array(pairs)[rng.permutation(len(pairs))]]
+    groups = [nodes[:300], nodes[300:600], *nodes[600:].reshape(-1, 2)]
+    return edges, {int(n): int(g.min()) for g in groups for n in g if n != g.min()}
+
+
+@pytest.mark.parametrize("held", [7, 1 << 20])
+def test_stars_of_links_held_in_parts_keep_their_closure(held, monkeypatch):
+    edges, expected = links_of_groups(np.random.default_rng(6))
+    monkeypatch.setattr(simhash, "HELD_LINKS", held)
+    while True:
+        parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], ["u", "v"]) for part in np.array_split(edges, 50)]
+        found = np.concatenate([np.stack([c.to_numpy() for c in b.columns], axis=1) for b in simhash._shorter(iter(parts))])
+        if held > len(edges) or len(found) == len(edges) and (found == edges).all():
+            break
+        edges = found
+    assert (found[:, 0] > found[:, 1]).all()
+    if held > len(edges):
+        assert {int(u): int(v) for u, v in found} == expected and len(found) == len(expected)
+    assert {int(u): int(v) for u, v in simhash.stars(found)} == expected
+
+
+@pytest.mark.parametrize("held", [1 << 20, 100])
+def test_components_are_found_in_plans_of_one_join(spark, monkeypatch, held):
+    plans, write = [], simhash.materialize
+
+    def materialize(df, label, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label, **options)
+
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    monkeypatch.setattr(simhash, "HELD_LINKS", held, raising=False)
+    edges, expected = links_of_groups(np.random.default_rng(7))
+    frame = spark.createDataFrame([*map(tuple, edges.tolist()), (5, 5)], "a BIGINT, b BIGINT").repartition(7)
+    assert sorted((r.node, r.root) for r in simhash.components(frame).collect()) == sorted(expected.items())
+    # Few links become stars in the first task that holds them; each step of a later round is a plan of its own.
+    assert max(p.count("Join ") for p in plans) <= 1 and (len(plans) == 2 or held == 100)
+
+
+def test_the_sets_asked_for_are_told_by_a_table_of_bounded_size(spark, monkeypatch):
+    sent, broadcast = [], F.broadcast
+
+    def counted(df):
+        sent.append(df.count())
+        return broadcast(df)
+
+    monkeypatch.setattr(simhash.F, "broadcast", counted)
+    monkeypatch.setattr(simhash, "ASKED_BITS", 3, raising=False)
+    texts = [f"{k} " + " ".join(f"g{g}-{i}" for i in range(60)) for g in range(40) for k in ("one", "two")] + [" ".join(f"alone{g}-{i}" for i in range(60)) for g in range(20)]
+    kept = simhash.keep_one(documents(spark, [(i, t, *[None] * 6) for i, t in enumerate(texts)]))
+    assert {r.doc_id for r in kept.collect()} == {*range(0, 80, 2), *range(80, 100)}
+    assert 0 < max(sent) <= 8
