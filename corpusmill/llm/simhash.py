@@ -15,7 +15,8 @@ with very many distinct fingerprints, such as that of a large group of near copi
 into tiles of bounded size by a hash, and every two tiles meet in a task of their own. A task
 returns a spanning forest of its links, not the pairs. Components follow by repeated label
 exchange along links, with tables written between rounds; tasks shorten the paths they hold first,
-so rounds are few, and no table whose rows grow with the corpus is sent through the driver by hint.
+so rounds are few where paths are short. By hint only bounded tables go through the driver, and in
+``keep_one`` one row per group of more than one tile, a row for ``TILE`` or ``SET_TILE`` of theirs at most.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like others.
 Repeated rows share a component. A null id never names a component, unless it has no other.
